@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,50 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def pieces_of(spark: SparkSession, n_bytes: int, piece_bytes: int) -> int:
     """How many pieces of about piece_bytes the bytes make; at least the shuffle's partitions, so that all tasks have work."""
     return max(shuffle_partitions(spark), -(-int(n_bytes) // piece_bytes))
+
+
+def _packed_block(block: int, docs: list[tuple[int | None, bool, bytes]]) -> tuple[int, bytes, bytes]:
+    ids = np.array([0 if d is None else d for d, _, _ in docs], np.int64)
+    marks = np.array([(d is None) + 2 * bool(f) for d, f, _ in docs], np.uint8)
+    head = np.concatenate([ids, np.array([len(t) for _, _, t in docs], np.int64)]).tobytes() + marks.tobytes()
+    press = zstandard.ZstdCompressor(3).compress
+    return block, press(head), press(b"".join(t for _, _, t in docs))
+
+
+def _pack(batches: Iterator[pa.RecordBatch], flush_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, list] = {}
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for block, docs in blocks.items():
+            cols = [[x] for x in _packed_block(block, docs)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "heads", "texts"])
+
+    for b in batches:
+        for block, doc_id, flag, text in zip(b.column("block").to_pylist(), b.column("doc_id").to_pylist(), b.column("flag").to_pylist(), b.column("text").to_pylist(), strict=True):
+            blocks.setdefault(block, []).append((doc_id, flag, text))
+            held += len(text)
+        if held >= flush_bytes:
+            yield from flush()
+            blocks, held = {}, 0
+    yield from flush()
+
+
+def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """Deals documents (doc_id, flag boolean, text binary) to blocks by a hash of the id. Each map task sends its part of a block as one
+    compressed row (block, heads, texts), so that a shuffle of texts is about as small as their files."""
+    at = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", F.col("flag"), F.col("text"))
+    return at.mapInArrow(_pack, "block long, heads binary, texts binary").repartition(n_blocks, "block")
+
+
+def unpacked(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int | None, bool, bytes]]:
+    """(block, doc_id, flag, text) of each document in the packed rows."""
+    press = zstandard.ZstdDecompressor().decompress
+    for block, head, text in zip(rows.column("block"), rows.column("heads"), rows.column("texts"), strict=True):
+        raw, body = press(head.as_py()), press(text.as_py())
+        n = len(raw) // 17
+        ids, lengths, marks = np.frombuffer(raw, np.int64, n).tolist(), np.frombuffer(raw, np.int64, n, 8 * n).tolist(), raw[16 * n :]
+        at = 0
+        for d, k, m in zip(ids, lengths, marks, strict=True):
+            yield block.as_py(), None if m & 1 else d, bool(m & 2), body[at : at + k]
+            at += k

@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, table, text_of
+from .common import blocked, pieces_of, stored, table, text_of, unpacked
 
 LENGTH = 50
 GRAM = 24
@@ -60,28 +61,51 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return h * _A
 
 
-def minimizers(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each LENGTH-byte window: the smallest hash of its grams; and all hashes."""
-    h = gram_hashes(b)
-    m, have, want = h, 1, LENGTH - GRAM + 1
+def minimizers(b: np.ndarray) -> np.ndarray:
+    """For each LENGTH-byte window: the smallest hash of its grams."""
+    m, have, want = gram_hashes(b), 1, LENGTH - GRAM + 1
     while have < want:
         step = min(have, want - have)
         m = np.minimum(m[: len(m) - step], m[step:])
         have += step
-    return m, h
+    return m
 
 
 def _starts(m: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
 
 
-def _bytes_of(text: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer() is not None else np.empty(0, np.uint8)
+def _press(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(x if isinstance(x, bytes) else x.tobytes())
 
 
-def _by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice, np.ndarray]]:
-    """Sorted by bucket: yields bucket and the indices that fall in it."""
-    bucket = (h % np.uint64(n_buckets)).astype(np.int64)
+def _unpress(x: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), kind)
+
+
+def _sent(h: np.ndarray) -> bytes:
+    """Sorted 48-bit hashes as 4-byte steps. A longer step is walked through hashes that no gram has, which do no harm: what is
+    sent only selects places to look at."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    long = np.flatnonzero(steps >> np.uint64(32))
+    if len(long) > 64:
+        return b"\x08" + h.tobytes()
+    most = np.uint64(0xFFFFFFFF)
+    for i in long[::-1].tolist():
+        n, rest = divmod(int(steps[i]), int(most))
+        steps = np.concatenate([steps[:i], np.full(n, most), np.array([rest], np.uint64), steps[i + 1 :]])
+    return b"\x04" + steps.astype(np.uint32).tobytes()
+
+
+def _got(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, np.uint64, offset=1)
+    return np.cumsum(np.frombuffer(raw, np.uint32, offset=1), dtype=np.uint64)
+
+
+def _by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of 48-bit hashes by range: yields bucket and the indices that fall in it."""
+    bucket = ((h * np.uint64(n_buckets)) >> np.uint64(48)).astype(np.int64) if n_buckets < 1 << 16 else (h % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     at = bucket[order]
     cuts = np.flatnonzero(np.diff(at)) + 1
@@ -92,32 +116,33 @@ def _by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice, np.n
 
 def _anchors(n_buckets: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct minimizers of each block, those of two documents twice."""
         blocks: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
-                data = _bytes_of(text)
-                if len(data) >= LENGTH:
-                    m, _ = minimizers(data)
-                    blocks.setdefault(block, []).append(np.unique(m[_starts(m)]))
+            for block, _, _, text in unpacked(b):
+                if len(text) >= LENGTH:
+                    m = minimizers(np.frombuffer(text, np.uint8))
+                    blocks.setdefault(block, []).append(np.unique(m[_starts(m)] >> np.uint64(16)))
         for block, each in blocks.items():
             h, n = np.unique(np.concatenate(each), return_counts=True)
-            rows = [(bucket, block, h[ix].tobytes(), np.packbits(n[ix] > 1).tobytes()) for bucket, ix in _by_bucket(h, n_buckets)]
+            h = np.repeat(h, np.minimum(n, 2))
+            rows = [(bucket, block, _sent(h[ix])) for bucket, ix in _by_bucket(h, n_buckets)]
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "block", "hashes", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["bucket", "block", "hashes"])
 
     return packed
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """The hashes of a bucket that more than one document holds, for each block that holds them."""
-    hs = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
-    again = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)).astype(bool) for x, h in zip(t.column("again"), hs, strict=True)]
-    every = np.sort(np.concatenate([*hs, *[h[a] for h, a in zip(hs, again, strict=True)]]))
+    hs = [_got(x.as_py()) for x in t.column("hashes")]
+    every = np.sort(np.concatenate(hs))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     rows = []
     for block, h in zip(t.column("block").to_pylist(), hs, strict=True):
-        if len(own := h[np.isin(h, twice, assume_unique=True)]):
-            rows.append((block, own.tobytes()))
+        own = np.unique(h)
+        if len(own := own[np.isin(own, twice, assume_unique=True)]):
+            rows.append((block, _sent(own)))
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -129,34 +154,34 @@ def _supergrams(n_buckets: int):
         out = []
         if docs.num_rows and shared.num_rows:
             block = docs.column("block")[0].as_py()
-            known = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in shared.column("hashes")]))
-            seen: dict[bytes, tuple[int, int, int]] = {}  # super-gram -> smallest doc, start, minimizer
+            known = np.sort(np.concatenate([_got(x.as_py()) for x in shared.column("hashes")]))
+            seen: dict[bytes, int] = {}  # super-gram -> its number; first come, smallest doc_id
+            doc, start, mini = [], [], []
             covered: list[tuple[int, int, int]] = []
-            ids = [_NULL if x is None else x for x in docs.column("doc_id").to_pylist()]
-            texts = docs.column("text")
-            for i in sorted(range(len(ids)), key=ids.__getitem__):
-                data = _bytes_of(texts[i])
-                if len(data) < LENGTH:
-                    continue
-                m, _ = minimizers(data)
+            texts = sorted(((_NULL if d is None else d, t) for _, d, _, t in unpacked(docs) if len(t) >= LENGTH), key=lambda x: x[0])
+            for key, raw in texts:
+                m = minimizers(np.frombuffer(raw, np.uint8))
                 starts = _starts(m)
                 ends = np.append(starts[1:], len(m)) + LENGTH - 1
-                at = np.searchsorted(known, m[starts])
+                short = m[starts] >> np.uint64(16)
+                at = np.searchsorted(known, short)
                 at[at == len(known)] = 0
-                hit = known[at] == m[starts]
-                raw = data.tobytes()
-                for s, e, h in zip(starts[hit].tolist(), ends[hit].tolist(), m[starts[hit]].tolist(), strict=True):
-                    first = seen.setdefault(raw[s:e], (ids[i], s, h))
-                    if first[0] < ids[i]:
-                        covered.append((ids[i], s, e))
-            if seen:
-                grams, where = list(seen), list(seen.values())
-                h = np.array([w[2] for w in where], np.uint64)
-                doc, start = np.array([w[0] for w in where], np.int64), np.array([w[1] for w in where], np.int32)
-                cov = np.array(covered, np.int64).reshape(-1, 3)
-                for bucket, ix in _by_bucket(h, n_buckets):
-                    own = cov if not out else cov[:0]  # travels with the block's first row
-                    out.append((bucket, block, b"".join(grams[i] for i in ix.tolist()), np.array([len(grams[i]) for i in ix.tolist()], np.uint16).tobytes(), doc[ix].tobytes(), start[ix].tobytes(), own[:, 0].tobytes(), own[:, 1].tobytes(), own[:, 2].tobytes()))
+                hit = known[at] == short
+                for s, e, h in zip(starts[hit].tolist(), ends[hit].tolist(), short[hit].tolist(), strict=True):
+                    k = seen.setdefault(raw[s:e], len(doc))
+                    if k == len(doc):
+                        doc.append(key)
+                        start.append(s)
+                        mini.append(h)
+                    elif doc[k] < key:
+                        covered.append((key, s, e))
+            grams = list(seen)
+            doc, start = np.array(doc, np.int64), np.array(start, np.int32)
+            cov = np.array(covered, np.int64).reshape(-1, 3)
+            for bucket, ix in _by_bucket(np.array(mini, np.uint64), n_buckets):
+                own = cov if not out else cov[:0]  # travels with the block's first row
+                own_grams = [grams[i] for i in ix.tolist()]
+                out.append((bucket, block, _press(b"".join(own_grams)), _press(np.array([len(g) for g in own_grams], np.uint16)), _press(doc[ix]), _press(start[ix]), *(_press(own[:, k]) for k in range(3))))
         cols = list(zip(*out, strict=True)) if out else [[]] * 9
         names = ["bucket", "block", "texts", "lengths", "docs", "starts", "covered_docs", "covered_starts", "covered_ends"]
         return pa.table({n: pa.array(c, pa.int64() if n in ("bucket", "block") else pa.binary()) for n, c in zip(names, cols, strict=True)})
@@ -187,10 +212,10 @@ def previous_factors(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _factors(t: pa.Table) -> pa.Table:
     """Intervals of covered windows in one bucket, by block."""
-    data = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("texts")])
-    lengths = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in t.column("lengths")]
-    docs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("docs")])
-    starts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in t.column("starts")]).astype(np.int64)
+    data = np.concatenate([_unpress(x, np.uint8) for x in t.column("texts")])
+    lengths = [_unpress(x, np.uint16).astype(np.int64) for x in t.column("lengths")]
+    docs = np.concatenate([_unpress(x, np.int64) for x in t.column("docs")])
+    starts = np.concatenate([_unpress(x, np.int32) for x in t.column("starts")]).astype(np.int64)
     block_of = np.repeat(np.array(t.column("block").to_pylist(), np.int64), [len(x) for x in lengths])
     length = np.concatenate(lengths)
     n = length - LENGTH + 1
@@ -211,9 +236,9 @@ def _factors(t: pa.Table) -> pa.Table:
     rows = []
     for b in np.unique(block).tolist():
         mine = block == b
-        rows.append((b, doc[mine].tobytes(), start[mine].tobytes(), end[mine].tobytes()))
+        rows.append((b, *(_press(x[mine]) for x in (doc, start, end))))
     for b, d, s, e in zip(t.column("block").to_pylist(), *(t.column(f"covered_{k}") for k in ("docs", "starts", "ends")), strict=True):
-        if len(d.as_py()):
+        if len(_unpress(d, np.int64)):
             rows.append((b, d.as_py(), s.as_py(), e.as_py()))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
     return pa.table({"block": pa.array(cols[0], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("docs", "starts", "ends"), cols[1:], strict=True)}})
@@ -231,15 +256,15 @@ def _sortable(windows: np.ndarray) -> np.ndarray:
 def _removed(docs: pa.Table, covered: pa.Table) -> pa.Table:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    d, s, e = (np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x.as_py(), np.int64) for x in covered.column(k)]]) if covered.num_rows else np.empty(0, np.int64) for k in ("docs", "starts", "ends"))
+    d, s, e = (np.concatenate([np.empty(0, np.int64), *[_unpress(x, np.int64) for x in covered.column(k)]]) if covered.num_rows else np.empty(0, np.int64) for k in ("docs", "starts", "ends"))
     order = np.lexsort((s, d))
     d, s, e = d[order], s[order], e[order]
     rows = []
-    for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        data, key = _bytes_of(text), _NULL if doc_id is None else doc_id
+    for _, doc_id, _, text in unpacked(docs):
+        data, key = np.frombuffer(text, np.uint8), _NULL if doc_id is None else doc_id
         lo, hi = np.searchsorted(d, key), np.searchsorted(d, key, side="right")
         if lo == hi:
-            rows.append((doc_id, len(data), 0, 0, hashlib.sha256(data.tobytes()).hexdigest()))
+            rows.append((doc_id, len(data), 0, 0, hashlib.sha256(text).hexdigest()))
             continue
         mark = np.zeros(len(data) + 1, np.int32)
         ok = e[lo:hi] <= len(data)
@@ -257,10 +282,11 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     spark = docs.sparkSession
     n_bytes = docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
     n = pieces_of(spark, n_bytes, block_bytes)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", text_of().alias("text")).repartition(n, "block")
-    blobs = dealt.mapInArrow(_anchors(n), "bucket long, block long, hashes binary, again binary")
+    dealt = blocked(docs.select("doc_id", F.lit(False).alias("flag"), text_of().cast("binary").alias("text")), n)
+    blobs = dealt.mapInArrow(_anchors(n), "bucket long, block long, hashes binary")
     shared = blobs.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary")
-    grams = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_supergrams(n), SUPER)
+    # windows take many times the room of their super-grams: smaller buckets
+    grams = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_supergrams(4 * n), SUPER)
     covered = stored(grams.groupBy("bucket").applyInArrow(_factors, "block long, docs binary, starts binary, ends binary"))
     return dealt.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
