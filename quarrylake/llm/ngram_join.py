@@ -1,17 +1,19 @@
 """N-gram Jaccard join: prefix-tree join over globally ordered sets of word shingles.
 
 1. Each text becomes its set of 64-bit shingle hashes; texts with one set are one class (128-bit signature).
-2. Global order: shingles that a bounded sample finds in many classes come last, all others by hash. Any fixed
-   order gives exact results; this one only keeps a passage that many texts share out of the prefixes.
-3. Two sets with 100 * intersection >= 75 * union share a shingle among the first n - ceil(0.75 n) + 1 of each. Prefixes
-   are packed by hash range (numpy blocks, deduplicated in each map task) and dealt to buckets; a bucket chains classes that
+2. Global order: by how many classes hold a shingle, then by hash, so that only texts most of which is shared have candidates. All shingles are
+   counted: packed by hash range (numpy blocks, deduplicated in each map task), dealt to buckets, and those that occur more than once
+   go back to their block. Shingles that a bounded sample finds in many classes are not counted; they come last.
+3. Two sets with 100 * intersection >= 75 * union share a shingle among the first n - ceil(0.75 n) + 1 of each (any fixed order is exact). What
+   is left of these prefixes is packed and dealt to buckets again; a bucket chains classes that
    share a shingle and whose sizes allow a link: a chain, never all pairs.
 4. Chains give candidate clusters (connected components by star contraction, distributed). Only their texts are shuffled.
 5. Within a cluster the ordered sets stand in a trie. Each set walks it once, sharing the overlap of common paths; a subtree is
    left when overlap + what remains on both sides cannot reach the bound. Links feed a union-find.
    A cluster beyond max_cluster shingles is first thinned: all members are compared with a leader (salted join). Those that link to it
    are one component, and by the triangle inequality of Jaccard distance a member at distance r_m of it can
-   link to a non-member at r_f only if r_m >= r_f - 0.25; whoever cannot matter any more leaves, and the rest are clustered anew.
+   link to a non-member at r_f only if r_m >= r_f - 0.25; whoever cannot matter any more leaves, and the rest are clustered anew. Where
+   that leaves more than 0.7 of the shingles, members are dealt to chunks of half of max_cluster and each pair of chunks is one trie.
 6. Components of links give the result.
 
 Defined results: null or blank text has an empty set, n_shingles 0, links with nothing and is its own component;
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +90,11 @@ def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def common_part(s: np.ndarray, common: np.ndarray) -> int:
+    """How many of the set are in common (sorted)."""
+    return int(np.isin(s, common, assume_unique=True).sum()) if len(common) else 0
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(x.as_py()) for x in b.column("text")]
@@ -101,24 +109,48 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _prefixes(common: np.ndarray, n_buckets: int):
+def _steps(h: np.ndarray) -> bytes:
+    """Sorted integers: the first, then 4-byte steps; 8 bytes each where a step is longer."""
+    d = np.diff(h)
+    if len(d) and d.max() >> np.uint64(32):
+        return b"\x08" + h.tobytes()
+    return b"\x04" + h[:1].tobytes() + d.astype(np.uint32).tobytes()
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, np.uint64, offset=1)
+    first = np.frombuffer(raw, np.uint64, 1, 1)
+    return np.concatenate([first, first + np.cumsum(np.frombuffer(raw, np.uint32, offset=9), dtype=np.uint64)])
+
+
+def _bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of 48-bit hashes by range."""
+    return ((h >> np.uint64(16)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+PACKED = "bucket long, flush long, hashes binary, owners binary, sigs binary, sizes binary, n_late binary, late binary, late_owners binary"
+
+
+def _packed_sets(common: np.ndarray, n_buckets: int, flush_at: int = 2_000_000):
+    """All shingles (48 bits) of each class of a flush, packed by hash range, without those that are known to be common. One head row
+    a flush has the classes, and the common shingles of those whose prefix reaches into them."""
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, sigs, sizes, index, held = [], [], [], [], {}, 0
+        task, n_flush = TaskContext.get().partitionId(), 0
+        hashes, owners, sigs, sizes, n_late, late, index, held = [], [], [], [], [], [], {}, 0
 
         def flush() -> pa.RecordBatch:
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            bucket = (h % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((h, bucket))
-            h, o, bucket = h[order], o[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            all_sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 16)
-            all_sizes = np.array(sizes, np.uint32)
-            rows = []
-            for hs, os_, bs in zip(np.split(h, cuts), np.split(o, cuts), np.split(bucket, cuts), strict=True):
-                own, local = np.unique(os_, return_inverse=True)
-                rows.append((int(bs[0]), hs.tobytes(), local.astype(np.uint32).tobytes(), all_sigs[own].tobytes(), all_sizes[own].tobytes()))
+            name = (task << 24) + n_flush
+            h, o = np.concatenate(hashes), np.repeat(np.arange(len(hashes), dtype=np.uint16), [len(x) for x in hashes])
+            order = np.argsort(h, kind="stable")
+            h, o = h[order], o[order]
+            cuts = np.flatnonzero(np.diff(_bucket_of(h, n_buckets))) + 1
+            rows = [(int(_bucket_of(x[:1], n_buckets)[0]), name, _steps(x), y.tobytes(), None, None, None, None, None) for x, y in zip(np.split(h, cuts), np.split(o, cuts), strict=True) if len(x)]
+            ends = np.repeat(np.arange(len(late), dtype=np.uint16), [len(x) for x in late])
+            rows.append((name % n_buckets, name, None, None, b"".join(sigs), np.array(sizes, np.uint32).tobytes(), np.array(n_late, np.uint32).tobytes(), np.concatenate(late).tobytes(), ends.tobytes()))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "hashes", "owners", "sigs", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], [x.split()[0] for x in PACKED.split(", ")])
 
         for b in batches:
             for x in b.column("text"):
@@ -128,19 +160,89 @@ def _prefixes(common: np.ndarray, n_buckets: int):
                 index[sig] = len(sigs)
                 sigs.append(sig)
                 sizes.append(len(s))
-                front = ordered(s, common)[: prefix_length(len(s))]
-                hashes.append(front)
-                owners.append(np.full(len(front), index[sig], np.uint32))
-                held += len(front)
-            if held > 2_000_000:
-                yield flush()
-                hashes, owners, sigs, sizes, index, held = [], [], [], [], {}, 0
+                in_order = ordered(s, common) >> np.uint64(16)
+                early = len(s) - common_part(s, common)
+                n_late.append(len(s) - early)
+                hashes.append(in_order[:early])
+                late.append(in_order[early : max(early, prefix_length(len(s)))])
+                held += len(s)
+                if held >= flush_at or len(sigs) == 60_000:
+                    yield flush()
+                    n_flush += 1
+                    hashes, owners, sigs, sizes, n_late, late, index, held = [], [], [], [], [], [], {}, 0
         if held:
             yield flush()
 
     return packed
 
 
+COUNTED = "flush long, hashes binary, owners binary, counts binary, sigs binary, sizes binary, n_late binary, late binary, late_owners binary"
+
+
+def _counted(t: pa.Table) -> pa.Table:
+    """One hash range: the shingles that occur more than once, with their number (255 at most), for each flush; head rows pass."""
+    rows = []
+    each = []
+    for r in t.select([x.split()[0] for x in PACKED.split(", ")][1:]).to_pylist():
+        if r["hashes"] is None:
+            rows.append((r["flush"], None, None, None, *(r[k] for k in ("sigs", "sizes", "n_late", "late", "late_owners"))))
+        else:
+            each.append((r["flush"], _unsteps(r["hashes"]), np.frombuffer(r["owners"], np.uint16)))
+    if each:
+        _, back, n = np.unique(np.concatenate([h for _, h, _ in each]), return_inverse=True, return_counts=True)
+        n, at = np.minimum(n, 255).astype(np.uint8)[back], 0
+        for flush, h, o in each:
+            mine = n[at : at + len(h)]
+            at += len(h)
+            if (more := mine > 1).any():
+                rows.append((flush, _steps(h[more]), o[more].tobytes(), mine[more].tobytes(), None, None, None, None, None))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+    return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+
+def _fronts(n_buckets: int):
+    def fronts(t: pa.Table) -> pa.Table:
+        """One flush: the prefix of each class in the order (number of occurrences, hash), without shingles that occur once; packed by
+        hash range."""
+        head = next(r for r in t.to_pylist() if r["sigs"] is not None)
+        hs, os_, ns = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint8)]
+        for h, o, n in zip(t.column("hashes"), t.column("owners"), t.column("counts"), strict=True):
+            if h.is_valid:
+                hs.append(_unsteps(h.as_py()))
+                os_.append(np.frombuffer(o.as_py(), np.uint16))
+                ns.append(np.frombuffer(n.as_py(), np.uint8))
+        h, o, n = np.concatenate(hs), np.concatenate(os_).astype(np.int64), np.concatenate(ns)
+        sizes = np.frombuffer(head["sizes"], np.uint32).astype(np.int64)
+        shared = np.bincount(o, minlength=len(sizes))
+        single = sizes - np.frombuffer(head["n_late"], np.uint32) - shared
+        take = sizes - -(-sizes * NUM // DEN) + 1 - single
+        order = np.lexsort((h, n, o))
+        h, o = h[order], o[order]
+        inside = np.arange(len(o)) - (np.cumsum(shared) - shared)[o] < take[o]
+        h = np.concatenate([h[inside], np.frombuffer(head["late"], np.uint64)])
+        o = np.concatenate([o[inside], np.frombuffer(head["late_owners"], np.uint16).astype(np.int64)])
+        order = np.argsort(h, kind="stable")
+        h, o = h[order], o[order]
+        cuts = np.flatnonzero(np.diff(_bucket_of(h, n_buckets))) + 1
+        sigs = np.frombuffer(head["sigs"], np.uint8).reshape(-1, 16)
+        rows = []
+        for x, y in zip(np.split(h, cuts), np.split(o, cuts), strict=True):
+            if len(x):
+                own, local = np.unique(y, return_inverse=True)
+                rows.append((int(_bucket_of(x[:1], n_buckets)[0]), x.tobytes(), local.astype(np.uint32).tobytes(), sigs[own].tobytes(), sizes[own].astype(np.uint32).tobytes()))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "hashes", "owners", "sigs", "sizes"])
+
+    return fronts
+
+
+def candidate_edges(texts: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
+    """Chains (a, b) of classes whose prefixes share a shingle, for all texts."""
+    counted = texts.select("text").mapInArrow(_packed_sets(common, n_buckets), PACKED).groupBy("bucket").applyInArrow(_counted, COUNTED)
+    fronts = counted.groupBy("flush").applyInArrow(_fronts(n_buckets), "bucket long, hashes binary, owners binary, sigs binary, sizes binary")
+    return fronts.groupBy("bucket").applyInArrow(_chains, "a binary, b binary").distinct()
+
+
 def _chains(t: pa.Table) -> pa.Table:
     """Within one bucket: classes that share a shingle, ordered by size, each with the next if their sizes allow a link."""
     hashes, owners, sigs, sizes, base = [], [], [], [], 0
@@ -362,32 +464,41 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     often = sample.mapInArrow(_sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST)
     common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
-    n_buckets = pieces_of(spark, int(n_shingles or 0) * 4, 24 << 20)
-    blocks = rows.where("doc_id is not null").mapInArrow(_prefixes(common, n_buckets), "bucket long, hashes binary, owners binary, sigs binary, sizes binary")
-    edges = stored(blocks.groupBy("bucket").applyInArrow(_chains, "a binary, b binary").distinct())
+    n_buckets = min(1 << 16, pieces_of(spark, int(n_shingles or 0) * 8, 24 << 20))
+    edges = stored(candidate_edges(rows.where("doc_id is not null"), common, n_buckets))
     # one row stands for each class
     stand = nodes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     proven: list[DataFrame] = []
+    before = None
     while True:
         clusters = stored(components(edges).select(F.col("node").alias("sig"), F.col("root").alias("cluster")).join(stand, "sig"))
         large = clusters.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "sig")).alias("lead")).where(F.col("size") > max_cluster)
-        large = stored(large.select("cluster", F.col("lead.sig").alias("lead")))
+        large = stored(large.select("cluster", F.col("lead.sig").alias("lead"), "size"))
+        now = large.agg(F.sum("size")).first()[0] or 0
         held = clusters.join(large, "cluster", "left_anti")
+        if before is not None and now > 0.7 * before:
+            # leaders no longer thin these out: each pair of chunks is one task's work
+            k = F.ceil(2 * F.col("size") / max_cluster).cast("long")
+            chunk = F.pmod(F.xxhash64("sig", F.lit(3)), k)
+            parts = clusters.join(large.select("cluster", "size"), "cluster").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+            pair = F.concat("cluster", F.concat_ws("-", F.least(chunk, "other"), F.greatest(chunk, "other")).cast("binary"))
+            held = held.select("sig", "doc_id", "n", "cluster").unionAll(parts.select("sig", "doc_id", "n", pair.alias("cluster")))
+            large, now = large.limit(0), 0
         proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, 0, 1), "cluster").sortWithinPartitions("cluster").mapInArrow(_joined(common), "a binary, b binary")))
-        if large.isEmpty():
+        if not now:
             break
+        before = now
         # one distributed round against a leader; leaders are repeated over salts, members dealt to them
         texts = stored(_with_text(rows, clusters.join(large, "cluster")))
         members = texts.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)))
-        leaders = texts.where("sig = lead").select("lead", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+        leaders = texts.where("sig = lead").select("lead", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         far = stored(members.join(leaders, ["lead", "salt"]).select("sig", "lead", "text", "lead_text").mapInArrow(_distances, "sig binary, lead binary, r double, near boolean"))
         proven.append(far.where("near and sig <> lead").select(F.col("sig").alias("a"), F.col("lead").alias("b")))
         least = far.where("not near").groupBy("lead").agg(F.min("r").alias("r_far"))
         rest = far.join(least, "lead").where(~F.col("near") | (F.col("r") >= F.col("r_far") - (1 - NUM / DEN) - 1e-9)).where("sig <> lead").select("sig")
         rest = stored(rest)
         again = _with_text(rows, stand.join(rest, "sig").withColumn("cluster", F.col("sig"))).select("text")
-        blocks = again.mapInArrow(_prefixes(common, n_buckets), "bucket long, hashes binary, owners binary, sigs binary, sizes binary")
-        edges = stored(blocks.groupBy("bucket").applyInArrow(_chains, "a binary, b binary").distinct())
+        edges = stored(candidate_edges(again, common, n_buckets))
     links = proven[0]
     for more in proven[1:]:
         links = links.unionAll(more)

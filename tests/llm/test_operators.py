@@ -84,6 +84,22 @@ def test_ngram_join(spark, max_cluster):
     assert {r.doc_id for r in stay.collect()} == {k for k, v in links.items() if k == v}
 
 
+def test_ngram_join_of_a_large_family(spark):
+    """Clusters beyond max_cluster go through rounds against a leader; members at several distances, and texts that only share a passage."""
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in r.choice(120, int(r.integers(0, 5)), replace=False):
+            w[k] = f"x{i}_{k}"
+        if i % 3 == 0:
+            w = w[:60] + [f"y{i}_{k}" for k in range(int(r.integers(0, 60)))]
+        rows.append((i + 1, " ".join(w), *[None] * 11))
+    got = rows_of(ngram_join.link_components(frame(spark, rows), max_cluster=400, salts=3))
+    assert sorted(got) == brute_components(rows)
+
+
 def test_join_cluster_equals_pairs():
     rng = np.random.default_rng(3)
     for _ in range(40):
