@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,18 +141,22 @@ class Codec:
             self.bare = build(self.model)
             self.bare.normalizer = normalizers.Sequence([])
             self.cut = regex.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+").findall
-            self.known: dict[str, list[int]] = {}
+            self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str], known_most: int = 300_000) -> list[list[int]]:
+    def encode_raw(self, texts: list[str], known_most: int = 200_000) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
         if not self.plain:
-            return [e.ids if t else [] for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+            return [np.array(e.ids if t else [], np.int32).tobytes() for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         split = [self.cut(self.prefix + t.replace(" ", MARKER)) if t else [] for t in texts]
         if len(self.known) > known_most:
             self.known.clear()
         known = self.known
         new = list({s for s in chain.from_iterable(split) if s not in known})
-        known.update((s, e.ids) for s, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
+        known.update((s, np.array(e.ids, np.int32).tobytes()) for s, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_raw(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -182,29 +187,43 @@ def verify_parity(raw: bytes, texts: list[str]) -> int:
     return sum(a != b for a, b in zip(codec(raw).encode(texts), sp.encode(texts), strict=True))
 
 
-def _encoded(shared):
+def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters each, so that long texts never add up in a worker's memory."""
+    start = held = 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def _encoded(shared, slice_chars: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            others = [b.column(n) for n in b.schema.names if n != "text"]
-            texts = b.column("text").to_pylist()
-            ids = c.encode(texts)
-            same = [c.normalised(t) == d for t, d in zip(texts, c.decode(ids), strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)), pa.array(same, pa.bool_())], [*[n for n in b.schema.names if n != "text"], "ids", "n_tokens", "round_trip"])
+            column = b.column("text")
+            for lo, hi in _slices(pa.compute.utf8_length(column).to_pylist(), slice_chars):
+                texts = column.slice(lo, hi - lo).to_pylist()
+                raw = c.encode_raw(texts)
+                same = [c.normalised(t) == d for t, d in zip(texts, c.decode([np.frombuffer(x, np.int32).tolist() for x in raw]), strict=True)]
+                counts = np.array([len(x) // 4 for x in raw], np.int64)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids, pa.array(counts), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return encoded
 
 
-def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, round_trip. The model file is read once, on the driver, and broadcast (its size is
     the vocabulary's, not the input's)."""
     with open(model_path, "rb") as f:
         raw = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(raw)
     rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(_encoded(shared), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(_encoded(shared, slice_chars), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
