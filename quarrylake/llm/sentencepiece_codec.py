@@ -143,18 +143,28 @@ class Codec:
             self.cut = regex.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+").findall
             self.known: dict[str, bytes] = {}
 
-    def encode_raw(self, texts: list[str], known_most: int = 200_000) -> list[bytes]:
+    def encode_raw(self, texts: list[str], known_most: int = 400_000) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         if not self.plain:
             return [np.array(e.ids if t else [], np.int32).tobytes() for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-        split = [self.cut(self.prefix + t.replace(" ", MARKER)) if t else [] for t in texts]
+        split = [self._stretches(t) for t in texts]
         if len(self.known) > known_most:
             self.known.clear()
         known = self.known
-        new = list({s for s in chain.from_iterable(split) if s not in known})
-        known.update((s, np.array(e.ids, np.int32).tobytes()) for s, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        new = list(set().union(*split) - known.keys())
+        marked = [s if s.startswith(MARKER) or not self.prefix else MARKER + s for s in new]
+        known.update((s, np.array(e.ids, np.int32).tobytes()) for s, e in zip(new, self.bare.encode_batch_fast(marked, add_special_tokens=False), strict=True))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
+    def _stretches(self, text: str) -> list[str]:
+        """The text's parts, each from a run of markers to the next; a single marker in front is left out, if the model puts one there."""
+        if not text:
+            return []
+        if self.prefix and text[0] != " " and "  " not in text and MARKER not in text:
+            return text.split(" ")
+        parts = self.cut(self.prefix + text.replace(" ", MARKER))
+        return [p[1:] if p[:1] == MARKER and p[1:2] != MARKER else p for p in parts] if self.prefix else parts
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(x, np.int32).tolist() for x in self.encode_raw(texts)]
 
