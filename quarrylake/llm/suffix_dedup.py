@@ -10,7 +10,7 @@ two documents share matter.
    super-grams of a block travel once, with the smallest doc_id: later ones in the block are covered by it. So a passage
    that a third of all rows hold travels at most once a block.
 3. A bucket holds all windows of its minimizers. They are put in suffix order (to depth 50). In that order the previous and the next
-   entry of a smaller document are the only candidates for the longest previous factor; it reaches 50 bytes where no
+   entry of a smaller document are the only candidates for the longest previous factor (windows whose digest is unique are left out of the order, the rest go through in portions); it reaches 50 bytes where no
    boundary of neighbours that differ within 50 bytes lies between. Arrays of running minima find both.
 4. Covered intervals go back to the blocks, which unite them and digest what is left.
 
@@ -210,6 +210,32 @@ def previous_factors(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows that start at these places."""
+    w, h = _words8(data), np.zeros(len(at), np.uint64)
+    for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        h += w[at + j]
+        h *= _B
+        h ^= h >> np.uint64(29)
+    return h * _A
+
+
+def _alike(digest: np.ndarray, most: int = 200_000) -> Iterator[np.ndarray]:
+    """Indices of the windows whose digest occurs twice, in portions that keep equal ones together; the others have no earlier match."""
+    order = np.argsort(digest, kind="stable")
+    d = digest[order]
+    twice = np.zeros(len(d), bool)
+    twice[1:] = d[1:] == d[:-1]
+    twice[:-1] |= twice[1:]
+    order, d = order[twice], d[twice]
+    start = 0
+    while start < len(order):
+        end = min(start + most, len(order))
+        end = int(np.searchsorted(d, d[end - 1], side="right"))
+        yield order[start:end]
+        start = end
+
+
 def _factors(t: pa.Table) -> pa.Table:
     """Intervals of covered windows in one bucket, by block."""
     data = np.concatenate([_unpress(x, np.uint8) for x in t.column("texts")])
@@ -222,8 +248,13 @@ def _factors(t: pa.Table) -> pa.Table:
     first = np.cumsum(length) - length
     own = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[first[own] + inner]
-    hit = previous_factors(_sortable(windows), docs[own])
+    hit = np.zeros(len(own), bool)
+    at = first[own] + inner
+    digest = _digests(data, at)
+    for ix in _alike(digest):
+        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[ix]]
+        hit[ix] = previous_factors(_sortable(windows), docs[own[ix]])
+    del digest
     # neighbouring covered windows of one super-gram make one interval
     h = np.flatnonzero(hit)
     new = np.ones(len(h), bool)
