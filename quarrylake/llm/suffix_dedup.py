@@ -35,6 +35,7 @@ from .common import blocked, pieces_of, stored, table, text_of, unpacked
 LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 12 << 20
+PORTION = 1 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 _NULL = np.iinfo(np.int64).max
@@ -246,11 +247,19 @@ def _factors(t: pa.Table) -> pa.Table:
     length = np.concatenate(lengths)
     n = length - LENGTH + 1
     first = np.cumsum(length) - length
-    own = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    digests, owns, places = [], [], []
+    cuts = np.searchsorted(first, np.arange(PORTION, len(data), PORTION))
+    for part in np.split(np.arange(len(n), dtype=np.int32), np.unique(cuts)):
+        if len(part):
+            lo, k = int(first[part[0]]), n[part]
+            own = np.repeat(part, k)
+            at = first[own] - lo + np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
+            digests.append(_digests(data[lo : lo + int(length[part].sum())], at))
+            owns.append(own)
+            places.append((at + lo).astype(np.int32))
+    digest, own, at = np.concatenate(digests), np.concatenate(owns), np.concatenate(places)
+    del digests, owns, places
     hit = np.zeros(len(own), bool)
-    at = first[own] + inner
-    digest = _digests(data, at)
     for ix in _alike(digest):
         windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[ix]]
         hit[ix] = previous_factors(_sortable(windows), docs[own[ix]])
@@ -259,11 +268,12 @@ def _factors(t: pa.Table) -> pa.Table:
     h = np.flatnonzero(hit)
     new = np.ones(len(h), bool)
     new[1:] = (own[h][1:] != own[h][:-1]) | (h[1:] != h[:-1] + 1)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(h)) - 1 if len(at) else at
-    doc = docs[own[h[at]]]
-    start, end = starts[own[h[at]]] + inner[h[at]], starts[own[h[at]]] + inner[h[last]] + LENGTH
-    block = block_of[own[h[at]]]
+    new_at = np.flatnonzero(new)
+    last = np.append(new_at[1:], len(h)) - 1 if len(new_at) else new_at
+    doc = docs[own[h[new_at]]]
+    shift = starts[own[h[new_at]]] - first[own[h[new_at]]]
+    start, end = shift + at[h[new_at]], shift + at[h[last]] + LENGTH
+    block = block_of[own[h[new_at]]]
     rows = []
     for b in np.unique(block).tolist():
         mine = block == b
