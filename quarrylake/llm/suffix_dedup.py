@@ -182,7 +182,7 @@ def _supergrams(n_buckets: int):
             for bucket, ix in _by_bucket(np.array(mini, np.uint64), n_buckets):
                 own = cov if not out else cov[:0]  # travels with the block's first row
                 own_grams = [grams[i] for i in ix.tolist()]
-                out.append((bucket, block, _press(b"".join(own_grams)), _press(np.array([len(g) for g in own_grams], np.uint16)), _press(doc[ix]), _press(start[ix]), *(_press(own[:, k]) for k in range(3))))
+                out.append((bucket, block, _press(b"".join(own_grams)), _press(np.array([len(g) for g in own_grams], np.uint32)), _press(doc[ix]), _press(start[ix]), *(_press(own[:, k]) for k in range(3))))
         cols = list(zip(*out, strict=True)) if out else [[]] * 9
         names = ["bucket", "block", "texts", "lengths", "docs", "starts", "covered_docs", "covered_starts", "covered_ends"]
         return pa.table({n: pa.array(c, pa.int64() if n in ("bucket", "block") else pa.binary()) for n, c in zip(names, cols, strict=True)})
@@ -240,7 +240,7 @@ def _alike(digest: np.ndarray, most: int = 200_000) -> Iterator[np.ndarray]:
 def _factors(t: pa.Table) -> pa.Table:
     """Intervals of covered windows in one bucket, by block."""
     data = np.concatenate([_unpress(x, np.uint8) for x in t.column("texts")])
-    lengths = [_unpress(x, np.uint16).astype(np.int64) for x in t.column("lengths")]
+    lengths = [_unpress(x, np.uint32).astype(np.int64) for x in t.column("lengths")]
     docs = np.concatenate([_unpress(x, np.int64) for x in t.column("docs")])
     starts = np.concatenate([_unpress(x, np.int32) for x in t.column("starts")]).astype(np.int64)
     block_of = np.repeat(np.array(t.column("block").to_pylist(), np.int64), [len(x) for x in lengths])

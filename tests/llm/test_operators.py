@@ -140,6 +140,14 @@ def test_suffix_dedup(spark):
         assert got[d] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """One character 100,000 times has one minimizer throughout."""
+    n = 100_000
+    rows = [(1, "=" * n, *[None] * 11), (2, "z" * 10 + "=" * (n + 5), *[None] * 11), (3, "ab" * n, *[None] * 11)]
+    got = {r[0]: r[1:4] for r in rows_of(suffix_dedup.without_repeats(frame(spark, rows)))}
+    assert got == {1: (n, 0, 0), 2: (n + 15, n + 5, 1), 3: (2 * n, 0, 0)}
+
+
 def test_lm_score(spark):
     rows = corpus()
     got = rows_of(lm_score.scored(frame(spark, rows), block_bytes=4000, share=0.002))
