@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, pieces_of, stored, table, text_of
+from .common import SPACE, pieces_of, small_batches, stored, table, text_of
 
 PREFIX_CHARS = 32
 PIECE_BYTES = 32 << 20
@@ -66,6 +66,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
     # Python's and Java's class agree on these six characters
     rows = rows.select("doc_id", (-F.char_length("text")).cast("long").alias("neg_chars"), F.regexp_replace("text", f"[{SPACE}]+", "").alias("norm"))

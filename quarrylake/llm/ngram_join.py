@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, table, text_of
+from .common import pieces_of, small_batches, stored, table, text_of
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -456,6 +456,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs: int = SAMPLE_DOCS, salts: int = 16) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
     nodes = stored(rows.mapInArrow(_sets, "doc_id long, n long, sig binary"))
     n_rows, n_shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()

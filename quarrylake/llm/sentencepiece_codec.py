@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -143,7 +143,7 @@ class Codec:
             self.cut = regex.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+").findall
             self.known: dict[str, bytes] = {}
 
-    def encode_raw(self, texts: list[str], known_most: int = 400_000) -> list[bytes]:
+    def encode_raw(self, texts: list[str], known_most: int = 250_000) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         if not self.plain:
             return [np.array(e.ids if t else [], np.int32).tobytes() for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
@@ -226,11 +226,12 @@ def _encoded(shared, slice_chars: int):
     return encoded
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 500_000) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, round_trip. The model file is read once, on the driver, and broadcast (its size is
     the vocabulary's, not the input's)."""
     with open(model_path, "rb") as f:
         raw = f.read()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.mapInArrow(_encoded(shared, slice_chars), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
@@ -240,6 +241,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
     """tokens: doc_id, ids. One row for each: doc_id, text."""
     with open(model_path, "rb") as f:
         raw = f.read()
+    small_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(raw)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

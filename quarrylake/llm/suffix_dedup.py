@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, pieces_of, stored, table, text_of, unpacked
+from .common import blocked, pieces_of, small_batches, stored, table, text_of, unpacked
 
 LENGTH = 50
 GRAM = 24
@@ -321,6 +321,7 @@ def _removed(docs: pa.Table, covered: pa.Table) -> pa.Table:
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
+    small_batches(spark)
     n_bytes = docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
     n = pieces_of(spark, n_bytes, block_bytes)
     dealt = blocked(docs.select("doc_id", F.lit(False).alias("flag"), text_of().cast("binary").alias("text")), n)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, table, text_of
+from .common import pieces_of, small_batches, stored, table, text_of
 
 K, S = 16, 8
 SIZE = 32
@@ -130,6 +130,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
     n_bytes = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), "text"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table, text_of
+from .common import fold_of, small_batches, table, text_of
 
 FIT_ROWS = 20_000
 LEAST_DOCS = 5
@@ -144,6 +144,7 @@ def _document_counts(keep: frozenset[str] | None):
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, fit_rows: int = FIT_ROWS) -> Lexicon:
     """Learns from the labelled rows of docs outside the held-out fold, at most fit_rows of them, the first by hash of doc_id."""
+    small_batches(docs.sparkSession)
     base = Lexicon({f" {w} ": v for w, v in BASE_LEXICON.items()}, {f" {e} " for e in BASE_EXCEPTIONS}, (-4.0, 3.0, 1.0, 1.0))
     usable = labels.where("doc_id is not null and toxic is not null").where(fold_of() != held_out_fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -222,6 +223,7 @@ def _scores(lexicon):
 
 def scores(docs: DataFrame, lexicon: Lexicon, held_out_fold: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, n_hits."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = docs.select("doc_id", (fold_of() == held_out_fold).alias("held_out"), text_of().alias("text"))
     return rows.mapInArrow(_scores(shared), "doc_id long, held_out boolean, score double, predicted int, n_hits int")
@@ -229,6 +231,7 @@ def scores(docs: DataFrame, lexicon: Lexicon, held_out_fold: int = 0) -> DataFra
 
 def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the lexicon does not find toxic, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
