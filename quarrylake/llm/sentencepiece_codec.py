@@ -5,7 +5,8 @@ normaliser (precompiled character map, white space rules), the metaspace marker,
 BPE models, merges ranked by piece scores; byte fallback in both. Batches are encoded on all threads that the task may use.
 
 Texts are cut before each run of markers that follows another character, provided that no piece of the vocabulary crosses such a place; then
-no merge can, so the cut changes nothing and each distinct stretch of a batch is encoded once.
+no merge can, so the cut changes nothing and each distinct stretch of a batch is encoded once, and decoded once: a text decodes back to
+itself if all its stretches do. Texts with a stretch that does not are decoded whole.
 
 verify_parity holds a tokenizer against the sentencepiece library itself; every row is checked by a round trip.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -136,25 +138,42 @@ class Codec:
         self.prefix = MARKER if self.model.add_dummy_prefix else ""
         if self.plain:
             import regex
-            from tokenizers import normalizers
+            from tokenizers import decoders, normalizers
 
             self.bare = build(self.model)
             self.bare.normalizer = normalizers.Sequence([])
+            self.bare.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()])
             self.cut = regex.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+").findall
             self.known: dict[str, bytes] = {}
+            self.odd: set[str] = set()
 
-    def encode_raw(self, texts: list[str], known_most: int = 250_000) -> list[bytes]:
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         if not self.plain:
             return [np.array(e.ids if t else [], np.int32).tobytes() for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         split = [self._stretches(t) for t in texts]
+        self._learn(split)
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, and whether they decode to what they stand for."""
+        raw = self.encode_raw(texts)
+        same = [self.plain and (not self.odd or self.odd.isdisjoint(self._stretches(t))) for t in texts]
+        whole = [i for i, s in enumerate(same) if not s]
+        for i, d in zip(whole, self.decode([np.frombuffer(raw[i], np.int32).tolist() for i in whole]), strict=True):
+            same[i] = self.normalised(texts[i]) == d
+        return raw, same
+
+    def _learn(self, split: list[list[str]], known_most: int = 250_000) -> None:
+        """Encodes and decodes stretches that are not known yet; those that do not decode to themselves are odd."""
         if len(self.known) > known_most:
             self.known.clear()
-        known = self.known
-        new = list(set().union(*split) - known.keys())
+            self.odd.clear()
+        new = list(set().union(*split) - self.known.keys())
         marked = [s if s.startswith(MARKER) or not self.prefix else MARKER + s for s in new]
-        known.update((s, np.array(e.ids, np.int32).tobytes()) for s, e in zip(new, self.bare.encode_batch_fast(marked, add_special_tokens=False), strict=True))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        ids = [e.ids for e in self.bare.encode_batch_fast(marked, add_special_tokens=False)]
+        self.known.update((s, array("i", x).tobytes()) for s, x in zip(new, ids, strict=True))
+        self.odd.update(s for s, m, d in zip(new, marked, self.bare.decode_batch(ids, skip_special_tokens=False), strict=True) if m.replace(MARKER, " ") != d)
 
     def _stretches(self, text: str) -> list[str]:
         """The text's parts, each from a run of markers to the next; a single marker in front is left out, if the model puts one there."""
@@ -216,8 +235,7 @@ def _encoded(shared, slice_chars: int):
             column = b.column("text")
             for lo, hi in _slices(pa.compute.utf8_length(column).to_pylist(), slice_chars):
                 texts = column.slice(lo, hi - lo).to_pylist()
-                raw = c.encode_raw(texts)
-                same = [c.normalised(t) == d for t, d in zip(texts, c.decode([np.frombuffer(x, np.int32).tolist() for x in raw]), strict=True)]
+                raw, same = c.encode_checked(texts)
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
