@@ -76,6 +76,23 @@ def sessions(events: DataFrame, gap: int) -> DataFrame:
     return runs.groupBy("key", "run").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")).select("key", "first_t", "last_t", "n", (F.col("last_t") + gap).alias("fires_at"))
 
 
+def capped_sessions(events: DataFrame, quiet: int, most: int) -> DataFrame:
+    """events: key, t. Bursts that end with a silence of quiet, or with the first event at least `most` after their first: key, first_t, last_t, n,
+    fires_at."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        key, t = row
+        if not state or t - state["last"] >= quiet or state["last"] - state["first"] >= most:
+            state.update(first=t, burst=state.get("burst", 0) + 1)
+        state["last"] = t
+        return key, t, state["burst"]
+
+    bursts = fold(events.select("key", "t"), "key", ["t"], "key long, t long, burst long", step)
+    out = bursts.groupBy("key", "burst").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n"))
+    fires = F.when(F.col("last_t") - F.col("first_t") >= most, F.col("last_t")).otherwise(F.col("last_t") + quiet)
+    return out.select("key", "first_t", "last_t", "n", fires.alias("fires_at"))
+
+
 def latest(rows: DataFrame, key: str, order: Column, values: dict[str, Column]) -> DataFrame:
     """For each key the last non-null value of each expression."""
     return rows.groupBy(key).agg(*[F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), order)).alias(k) for k, v in values.items()])
