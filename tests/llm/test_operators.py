@@ -333,3 +333,16 @@ def test_toxicity(spark):
     assert stay.columns == frame(spark, docs).columns and {r.doc_id for r in stay.collect()} == {i for i in range(300) if i % 3}
     none = toxicity.fit(frame(spark, docs), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.entries and rows_of(toxicity.scores(spark.createDataFrame([], SCHEMA), none)) == []
+
+
+def test_texts_with_odd_stretches_are_decoded_whole():
+    from quarrylake.llm import sentencepiece_codec as sp
+
+    with open(sp.MODEL, "rb") as f:
+        c = sp.Codec(f.read())
+    texts = ["some words here", "", "  two", "words again"]
+    ids, same = c.encode_checked(texts)
+    c.odd.add("words")
+    assert c.encode_checked(texts) == (ids, same) and same == [True] * 4
+    c.normalised = lambda text: "another"
+    assert c.encode_checked(texts)[1] == [False, True, True, False]
