@@ -4,12 +4,13 @@ The automaton: each kept word sequence is a state with arcs to its continuations
 state of its longest kept suffix (log10 backoff weight). A text is read once, left to right: the state follows an arc where
 there is one, else it adds the failure weight and tries again from the shorter state, down to the root, whose arcs are all words.
 
-Two parts, by how they grow:
-* Root arcs (word counts) cover the whole corpus and grow with it. They never sit in one place: blocks of
-  documents send their distinct words, packed by bucket, and get back the counts of just these words.
-* States of two words and more are those sequences whose count reaches `share` of all tokens; there are at most
-  1 / share of each order, whatever the input, so they are broadcast. As every part of a frequent sequence is frequent, one
-  counting pass an order suffices, over all training texts.
+Every sequence of two to `order` words that the training texts hold MIN_COUNT times is kept, at every size of the input. So the automaton grows with
+the corpus and never sits in one place: blocks of documents ask for the parts that their texts visit.
+1. Each block sends its distinct words and sequences with their counts, packed by bucket; a bucket adds up and answers each block.
+2. A state's backoff weight needs all its kept continuations. Of each kept sequence one block is told that it is the owner; blocks send the
+   sums over the sequences they own by context, packed by bucket, and get back the sums of all blocks.
+3. Each block has the arcs and failure weights of its states and reads its texts, all places of a level at once.
+Sequences travel as sorted 64-bit hashes; two of N sequences share one with a chance of about N^2 / 2^65 (words travel as they are).
 
 Smoothing: absolute discounting, interpolated weights stored backoff-style: a kept sequence's arcs give
 (c - D) / c(h) + gamma(h) p(w | shorter), everything else gamma(h) p(w | shorter), so each state's
@@ -23,21 +24,23 @@ empty table: empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocked, fold_of, pieces_of, small_batches, stored, table, text_of, unpacked
 
 ORDER = 3
-SHARE = 5e-5
+MIN_COUNT = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
 END = b"\n"  # no word holds white space
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens_of(text: str | bytes | None) -> list[bytes]:
@@ -55,107 +58,218 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))], pa.int64()), pa.array([tokens], pa.int64())], ["n_bytes", "tokens"])
 
 
-def _bucket(words: list[bytes], n: int) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest as one
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of sequences, each longer by a word than those of h."""
+    z = (h ^ (h >> np.uint64(32))) * _A + w
+    z ^= z >> np.uint64(29)
+    z *= _B
+    return z ^ (z >> np.uint64(32))
 
-    return (np.fromiter(map(one, words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
 
+def _press(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, their first bytes side by side, then their second ..."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
-def _requests(n_buckets: int):
-    """For each block: its distinct words and how often its training texts hold them, packed by bucket."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, tuple[Counter, set]] = {}
-        for b in batches:
-            for block, _, train, text in unpacked(b):
-                known, other = blocks.setdefault(block, (Counter(), set()))
-                (known if train else other).update(tokens_of(text))
-        for block, (known, other) in blocks.items():
-            words = sorted(known.keys() | other)
-            bucket = _bucket(words, n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            rows = []
-            for ix in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                own = [words[i] for i in ix.tolist()]
-                rows.append((int(bucket[ix[0]]), block, b" ".join(own), np.array([known[w] for w in own], np.int64).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "block", "words", "counts"])
+def _unpress(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(b.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    return _press(np.diff(h, prepend=np.uint64(0)))
+
+
+def _walked(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpress(raw), dtype=np.uint64)
+
+
+def _cuts(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Where the buckets of sorted hashes begin: buckets are ranges."""
+    return np.searchsorted(h, np.array([-(-(b << 64) // n_buckets) for b in range(n_buckets)], np.uint64)).tolist() + [len(h)]
+
+
+class _Block:
+    """The texts of a block as word numbers, and their sequences: for n words, at[n] are the places where they start, seqs[n] the sorted distinct
+    hashes, which[n] the number of the sequence at each place and one[n] a place of each sequence."""
+
+    def __init__(self, docs: pa.Table, order: int):
+        from xxhash import xxh3_64_intdigest as hash_of
+
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        self.doc_ids, self.train, parts = [], [], []
+        for _, doc_id, train, text in unpacked(docs):
+            words = tokens_of(text)
+            self.doc_ids.append(doc_id)
+            self.train.append(train)
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.words = list(number)
+        self.length = np.array([len(x) for x in parts], np.int64)
+        self.w = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.length)
+        self.in_train = np.repeat(np.array(self.train, bool), self.length)
+        self.word_hash = np.fromiter(map(hash_of, self.words), np.uint64, len(self.words))
+        self.at, self.seqs, self.which, self.one = {}, {}, {1: self.w}, {}
+        own = self.word_hash[self.w]
+        h = own
+        for n in range(2, order + 1):
+            m = max(0, len(own) - n + 1)
+            h = _mixed(h[:m], own[n - 1 :][:m])
+            self.at[n] = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :][:m]).astype(np.int32)
+            self.seqs[n], one, which = np.unique(h[self.at[n]], return_index=True, return_inverse=True)
+            self.one[n], self.which[n] = one.astype(np.int32), which.astype(np.int32)
+            del one, which
+
+    def dealt_words(self, n_buckets: int) -> tuple[np.ndarray, list[int]]:
+        """The numbers of the words by bucket and hash, and where each bucket begins. The order is the same in all runs."""
+        bucket = (self.word_hash % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((self.word_hash, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1)).tolist()
+
+    def counts(self, n: int) -> np.ndarray:
+        at = self.at[n] if n > 1 else np.arange(len(self.w))
+        return np.bincount(self.which[n][self.in_train[at]], minlength=len(self.seqs[n]) if n > 1 else len(self.words))
+
+    def context(self, n: int) -> np.ndarray:
+        """The number of the first n - 1 words of each sequence of n."""
+        place = self.at[n][self.one[n]]
+        return self.w[place] if n == 2 else self.which[n - 1][np.searchsorted(self.at[n - 1], place)]
+
+
+ASKED = "bucket long, block long, words binary, counts binary, seqs array<binary>, seq_counts array<binary>"
+
+
+def _requests(n_buckets: int, order: int):
+    def packed(docs: pa.Table) -> pa.Table:
+        """A block's distinct words and sequences and how often its training texts hold them, packed by bucket."""
+        b = _Block(docs, order)
+        count = b.counts(1)
+        by_bucket, edge = b.dealt_words(n_buckets)
+        cuts = {n: _cuts(b.seqs[n], n_buckets) for n in b.seqs}
+        each = {n: b.counts(n) for n in b.seqs}
+        block, rows = docs.column("block")[0].as_py(), []
+        for k in range(n_buckets):
+            ix = by_bucket[edge[k] : edge[k + 1]]
+            parts = [(n, slice(cuts[n][k], cuts[n][k + 1])) for n in b.seqs]
+            if len(ix) or any(p.stop > p.start for _, p in parts):
+                rows.append((k, block, b" ".join([b.words[i] for i in ix.tolist()]), _press(count[ix]), [_steps(b.seqs[n][p]) for n, p in parts], [_press(each[n][p]) for n, p in parts]))
+        return _as_table(rows, ASKED)
 
     return packed
 
 
+def _as_table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.table({k: pa.array(c, kinds[t]) for (k, t), c in zip(fields, cols, strict=True)})
+
+
 def _unpack(words: bytes) -> list[bytes]:
     # the end token is white space itself; the join puts spaces between words, so only a space parts them
     return words.split(b" ")
 
 
-COUNTS = "block long, words binary, counts binary, bucket_types long, frequent array<struct<word:binary,count:long>>"
+ANSWER = "block long, kind long, bucket long, counts binary, parts array<binary>, bucket_types long"
+
+
+def _split(x: np.ndarray, each: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum([len(e) for e in each])[:-1])
 
 
 def _counted(least: float):
     def merged(t: pa.Table) -> pa.Table:
-        """Adds up one bucket's words and answers each block; the bucket's totals and frequent words go with its first row."""
+        """Adds up one bucket's words and sequences and answers each block in the order it asked: the counts of words; for a kept sequence twice its count,
+        and 1 more for its owner; the bucket's number of word types goes with its first row."""
         total: Counter = Counter()
         each = []
         for words, counts in zip(t.column("words"), t.column("counts"), strict=True):
-            w, c = _unpack(words.as_py()), np.frombuffer(counts.as_py(), np.int64)
+            w, c = _unpack(words.as_py()), _unpress(counts.as_py())
+            w = w if len(c) else []
             each.append(w)
             for x, n in zip(w, c.tolist(), strict=True):
                 total[x] += n
-        rows = []
-        for block, w in zip(t.column("block").to_pylist(), each, strict=True):
-            rows.append((block, b" ".join(w), np.array([total[x] for x in w], np.int64).tobytes(), 0, []))
-        often = [{"word": w, "count": n} for w, n in total.items() if n and n >= least]
-        rows[0] = (*rows[0][:3], sum(1 for n in total.values() if n), often)
-        cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.struct([("word", pa.binary()), ("count", pa.int64())])))], names=["block", "words", "counts", "bucket_types", "frequent"])
+        asked, given = t.column("seqs").to_pylist(), t.column("seq_counts").to_pylist()
+        answers: list[list[bytes]] = [[] for _ in asked]
+        for n in range(len(asked[0])):
+            hs = [_walked(x[n]) for x in asked]
+            seqs, first, which = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+            count = np.bincount(which, np.concatenate([_unpress(x[n]) for x in given]), len(seqs)).astype(np.int64)
+            count[count < least] = 0
+            reply = 2 * count[which]
+            reply[first] += count > 0
+            for row, x in zip(answers, _split(reply, hs), strict=True):
+                row.append(_press(x))
+        types = sum(1 for n in total.values() if n)
+        at, bucket = t.column("block").to_pylist(), t.column("bucket")[0].as_py()
+        return _as_table([(at[i], 0, bucket, _press(np.array([total[x] for x in w], np.int64)), answers[i], 0 if i else types) for i, w in enumerate(each)], ANSWER)
 
     return merged
 
 
-def _sequences(ids: dict[bytes, int], shorter: np.ndarray | None, n: int, flush_at: int = 4_000_000):
-    """Counts of n-word sequences of frequent words whose first n - 1 and last n - 1 words are frequent sequences. A sequence is an
-    integer: word numbers in base len(ids) + 1."""
-    base = len(ids) + 1
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            keys, k = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k.astype(np.int64))], ["seq", "n"])
-
-        for b in batches:
-            for text in b.column("text"):
-                words = tokens_of(text.as_py())
-                if len(words) < n:
-                    continue
-                w = np.fromiter((ids.get(x, 0) for x in words), np.int64, len(words))
-                m = len(w) - n + 1
-                seq, ok = np.zeros(m, np.int64), np.ones(m, bool)
-                for j in range(n):
-                    seq = seq * base + w[j : j + m]
-                    ok &= w[j : j + m] > 0
-                if n > 2 and shorter is not None:
-                    head, tail = seq // base, seq % base ** (n - 1)
-                    for part in (head, tail):
-                        at = np.searchsorted(shorter, part)
-                        at[at == len(shorter)] = 0
-                        ok &= (shorter[at] == part) if len(shorter) else False
-                if len(got := seq[ok]):
-                    held.append(got)
-                    size += len(got)
-            if size >= flush_at:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return counted
+class _Counts:
+    """The answers to a block: count[n] of its words and kept sequences, owned[n] of its sequences."""
+
+    def __init__(self, b: _Block, answers: pa.Table, order: int, n_buckets: int):
+        rows = sorted((r for r in answers.to_pylist() if not r["kind"]), key=lambda r: r["bucket"])
+        words = np.empty(len(b.words), np.int64)
+        words[b.dealt_words(n_buckets)[0]] = np.concatenate([_unpress(r["counts"]) for r in rows])
+        self.count, self.owned = {1: words}, {}
+        for n in range(2, order + 1):
+            reply = np.concatenate([np.empty(0, np.uint64), *[_unpress(r["parts"][n - 2]) for r in rows]]).astype(np.int64)
+            self.count[n], self.owned[n] = reply >> 1, (reply & 1) > 0
+
+    def states(self, b: _Block, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the n-word contexts that may be states, by hash."""
+        ix = np.flatnonzero(self.count[n] >= least)
+        h = b.word_hash[ix] if n == 1 else b.seqs[n][ix]
+        by_hash = np.argsort(h, kind="stable")
+        return ix[by_hash], h[by_hash]
+
+
+HELD = "bucket long, block long, seqs array<binary>, sums array<binary>, types array<binary>"
+
+
+def _contexts(n_buckets: int, order: int, least: float):
+    def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """The contexts of a block, with the counts and the number of the continuations that it owns."""
+        if not docs.num_rows:
+            return _as_table([], HELD)
+        b = _Block(docs, order)
+        c, levels = _Counts(b, answers, order, n_buckets), []
+        for n in range(1, order):
+            ix, h = c.states(b, n, least)
+            mine, size = b.context(n + 1)[c.owned[n + 1]], len(c.count[n])
+            sums, types = np.bincount(mine, c.count[n + 1][c.owned[n + 1]], size), np.bincount(mine, minlength=size)
+            levels.append((h, sums[ix], types[ix], _cuts(h, n_buckets)))
+        block, rows = docs.column("block")[0].as_py(), []
+        for k in range(n_buckets):
+            own = [(h[e[k] : e[k + 1]], s[e[k] : e[k + 1]], t[e[k] : e[k + 1]]) for h, s, t, e in levels]
+            if any(len(h) for h, _, _ in own):
+                rows.append((k, block, [_steps(h) for h, _, _ in own], [_press(s) for _, s, _ in own], [_press(t) for _, _, t in own]))
+        return _as_table(rows, HELD)
+
+    return cut
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """Adds up the continuations of a bucket's contexts: each block gets sums and numbers in the order it asked."""
+    asked = t.column("seqs").to_pylist()
+    answers: list[list[bytes]] = [[] for _ in asked]
+    for n in range(len(asked[0])):
+        hs = [_walked(x[n]) for x in asked]
+        seqs, which = np.unique(np.concatenate(hs), return_inverse=True)
+        for column in ("sums", "types"):
+            every = np.bincount(which, np.concatenate([_unpress(x[n]) for x in t.column(column).to_pylist()]), len(seqs)).astype(np.int64)
+            for row, x in zip(answers, _split(every[which], hs), strict=True):
+                row.append(_press(x))
+    bucket = t.column("bucket")[0].as_py()
+    return _as_table([(block, 1, bucket, _press(np.empty(0, np.int64)), a, 0) for block, a in zip(t.column("block").to_pylist(), answers, strict=True)], ANSWER)
 
 
 class Automaton:
-    """States are numbers: 0 is the root. arcs: (state, word number) -> (weight, next state); fail: state -> (weight, state).
+    """The automaton in one place, read word by word; `scored` gives the same weights (for small models and tests). States are numbers: 0 is the root. arcs: (state, word number) -> (weight, next state); fail: state -> (weight, state).
     Words that occur in no kept sequence have number 0 and lead to the root."""
 
     def __init__(self, ids: dict[bytes, int], counts: list[int], sequences: list[tuple[np.ndarray, np.ndarray]], tokens: int, types: int, discount: float):
@@ -244,53 +358,56 @@ class Automaton:
         return total
 
 
-def _scored(model):
-    def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        m: Automaton = model.value
-        known: dict[bytes, int] = {}
-        for words, c in zip(counts.column("words"), counts.column("counts"), strict=True):
-            known.update(zip(_unpack(words.as_py()), np.frombuffer(c.as_py(), np.int64).tolist(), strict=True))
-        numbers, denominator = m.ids, m.tokens + 0.5 * (m.types + 1)
-        rows = []
-        for _, doc_id, train, text in unpacked(docs):
-            words = tokens_of(text)
-            c = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-            value = m.walk([numbers.get(w, 0) for w in words], m.root_weights(c).tolist())
-            rows.append((doc_id, not train, len(words), int((c > 0).sum()), m.tokens, float(np.log10((c + 0.5) / denominator).sum()), value))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table({k: pa.array(x, t) for k, x, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), cols, types, strict=True)})
+def _scored(n_buckets: int, order: int, least: float, tokens: int, types: int, discount: float):
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not docs.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+        b = _Block(docs, order)
+        b.one, b.in_train = {}, None
+        c = _Counts(b, answers, order, n_buckets)
+        sums = sorted((r for r in answers.to_pylist() if r["kind"]), key=lambda r: r["bucket"])
+        n_docs, count = len(b.doc_ids), c.count[1]
+        # the root's arcs; D for each word type is the mass of the unknown word
+        weight = np.log10(np.where(count > 0, (count - discount) / tokens, discount * types / tokens))[b.w] if tokens else np.zeros(len(b.w))
+        for n in range(2, order + 1):
+            ix, _ = c.states(b, n - 1, least)
+            kept, kinds_of = (np.concatenate([np.empty(0), *[_unpress(r["parts"][2 * (n - 2) + j]) for r in sums]]) for j in (0, 1))
+            fail = np.zeros(len(c.count[n - 1]))
+            fail[ix] = np.log10(1 - (kept - discount * kinds_of) / c.count[n - 1][ix])
+            # at each place: the state before the last word, and the arc from it where there is one
+            start = b.at[n]
+            state = b.w[start] if n == 2 else b.which[n - 1][np.searchsorted(b.at[n - 1], start)]
+            seen, last = c.count[n][b.which[n]], start + n - 1
+            short = fail[state] + weight[last]
+            arc = seen > 0
+            short[arc] = np.log10((seen[arc] - discount) / c.count[n - 1][state[arc]] + 10 ** short[arc])
+            weight[last] = short
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))[b.w]
+        per_doc = lambda x: np.bincount(b.doc, x, n_docs)
+        cols = [b.doc_ids, ~np.array(b.train, bool), b.length, per_doc(count[b.w] > 0).astype(np.int64), [tokens] * n_docs, per_doc(base), per_doc(weight)]
+        return pa.table({k: pa.array(x, t) for k, x, t in zip(names, cols, kinds, strict=True)})
 
     return score
 
 
-def scored(docs: DataFrame, held_out_fold: int = 1, order: int = ORDER, share: float = SHARE, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(docs: DataFrame, held_out_fold: int = 1, order: int = ORDER, share: float = 0.0, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A share above 0 asks for a smaller model: only
+    sequences that make up this share of all tokens."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", (fold_of() != held_out_fold).alias("train"), text_of().cast("binary").alias("text"))
     n_bytes, tokens = rows.mapInArrow(_sizes, "n_bytes long, tokens long").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    least = max(2.0, share * tokens)
+    least = max(float(MIN_COUNT), share * tokens)
     n = pieces_of(spark, n_bytes, block_bytes)
     dealt = blocked(rows.withColumnRenamed("train", "flag"), n)
-    blobs = dealt.mapInArrow(_requests(n), "bucket long, block long, words binary, counts binary")
-    counts = stored(blobs.groupBy("bucket").applyInArrow(_counted(least), COUNTS))
+    asked = dealt.groupBy("block").applyInArrow(_requests(n, order), ASKED)
+    counts = stored(asked.groupBy("bucket").applyInArrow(_counted(least), ANSWER))
     types = counts.agg(F.coalesce(F.sum("bucket_types"), F.lit(0))).first()[0]
-    # at most 1 / share words
-    often = counts.select(F.explode("frequent").alias("f")).select("f.word", "f.count").orderBy(F.col("count").desc(), "word").collect()
-    ids = {bytes(r["word"]): i + 1 for i, r in enumerate(often)}
-    sequences: list[tuple[np.ndarray, np.ndarray]] = []
-    train = rows.where("train").select("text")
-    for k in range(2, order + 1):
-        if (len(ids) + 1) ** k >= 1 << 62 or not ids:
-            break
-        shorter = sequences[-1][0] if sequences else None
-        got = train.mapInArrow(_sequences(ids, shorter, k), "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("seq").collect()
-        if not got:
-            break
-        sequences.append((np.array([r.seq for r in got], np.int64), np.array([r.n for r in got], np.int64)))
-    model = spark.sparkContext.broadcast(Automaton(ids, [r["count"] for r in often], sequences, tokens, types, discount))
-    return dealt.groupBy("block").cogroup(counts.select("block", "words", "counts").groupBy("block")).applyInArrow(_scored(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    held = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_contexts(n, order, least), HELD)
+    answers = counts.unionAll(held.groupBy("bucket").applyInArrow(_summed, ANSWER))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, order, least, tokens, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,43 @@ def test_lm_score(spark):
         assert r[5] == pytest.approx(want[r[0]][4]) and r[6] < 0
 
 
+def brute_lm(texts, train, discount=0.75):
+    """log10 score of each text by a model of all 2- and 3-grams that occur twice."""
+    grams = [Counter(), Counter(), Counter(), Counter()]
+    for words in train:
+        for n in (1, 2, 3):
+            grams[n].update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    total, types = sum(grams[1].values()), len(grams[1])
+    kept = {g: c for n in (2, 3) for g, c in grams[n].items() if c >= 2}
+    after = defaultdict(list)
+    for g, c in kept.items():
+        after[g[:-1]].append(c)
+    count = lambda h: grams[len(h)][h]
+
+    def p(g):
+        if len(g) == 1:
+            return (count(g) - discount) / total if count(g) else discount * types / total
+        h = g[:-1]
+        gamma = 1 - (sum(after[h]) - discount * len(after[h])) / count(h) if h in after else 1.0
+        return (max(0, kept[g] - discount) / count(h) if g in kept else 0.0) + gamma * p(g[1:])
+
+    return [sum(math.log10(p(tuple(words[max(0, i - 2) : i + 1]))) for i in range(len(words))) for words in texts]
+
+
+def test_lm_score_keeps_rare_sequences_of_a_large_corpus(spark):
+    """2- and 3-grams seen twice are kept, also where all tokens are so many (over 40,000) that a share of 5e-5 is more than that."""
+    r = np.random.default_rng(5)
+    rows = corpus() + [(100_000 + i, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 500) % 5000), *[None] * 11) for i in range(150)]
+    words = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    train = [words(x[1]) for x in rows if fold(x[0]) != 1]
+    assert sum(map(len, train)) * 5e-5 > 2
+    want = dict(zip([x[0] for x in rows], brute_lm([words(x[1]) for x in rows], train), strict=True))
+    got = rows_of(lm_score.scored(frame(spark, rows), block_bytes=40_000))
+    assert len(got) == len(rows)
+    for x in got:
+        assert x[6] == pytest.approx(want[x[0]], rel=1e-9)
+
+
 def test_lm_states_sum_to_one():
     words = [b"a", b"b", b"a", b"c", b"a", b"b", b"\n", b"a", b"b", b"d"] * 5
     c = Counter(words)
