@@ -7,7 +7,7 @@ two documents share matter.
 1. Documents are dealt to blocks by id (the one shuffle of texts, read three times). Each block packs its minimizers' hashes by
    hash range and learns which of them occur in more than one document anywhere.
 2. For these, a block cuts the runs of windows with one minimizer ("super-grams", about 65 bytes for 14 windows). Equal
-   super-grams of a block travel once, with the smallest doc_id: later ones in the block are covered by it. So a passage
+   super-grams of a block travel once, with the smallest doc_id and all their places in its text: later documents of the block are covered by it. So a passage
    that a third of all rows hold travels at most once a block.
 3. A bucket holds all windows of its minimizers. They are put in suffix order (to depth 50). In that order the previous and the next
    entry of a smaller document are the only candidates for the longest previous factor (windows whose digest is unique are left out of the order, the rest go through in portions); it reaches 50 bytes where no
@@ -147,7 +147,17 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
 
 
-SUPER = "bucket long, block long, texts binary, lengths binary, docs binary, starts binary, covered_docs binary, covered_starts binary, covered_ends binary"
+SUPER = "bucket long, block long, texts binary, lengths binary, docs binary, n_places binary, rows binary, starts binary, covered_rows binary, covered_starts binary, covered_ends binary"
+
+
+def _ordered(docs: pa.Table) -> list[tuple[int, bytes, int | None]]:
+    """The rows of a block by id and text: a row's number in this order is its key."""
+    return sorted(((_NULL if d is None else d, t, d) for _, d, _, t in unpacked(docs)), key=lambda x: x[:2])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), then those from first[1]."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _supergrams(n_buckets: int):
@@ -157,10 +167,12 @@ def _supergrams(n_buckets: int):
             block = docs.column("block")[0].as_py()
             known = np.sort(np.concatenate([_got(x.as_py()) for x in shared.column("hashes")]))
             seen: dict[bytes, int] = {}  # super-gram -> its number; first come, smallest doc_id
-            doc, start, mini = [], [], []
+            doc, row, start, mini = [], [], [], []
+            again: list[tuple[int, int, int]] = []  # further places in the document of a super-gram: its number, row, start
             covered: list[tuple[int, int, int]] = []
-            texts = sorted(((_NULL if d is None else d, t) for _, d, _, t in unpacked(docs) if len(t) >= LENGTH), key=lambda x: x[0])
-            for key, raw in texts:
+            for at_row, (key, raw, _) in enumerate(_ordered(docs)):
+                if len(raw) < LENGTH:
+                    continue
                 m = minimizers(np.frombuffer(raw, np.uint8))
                 starts = _starts(m)
                 ends = np.append(starts[1:], len(m)) + LENGTH - 1
@@ -172,19 +184,26 @@ def _supergrams(n_buckets: int):
                     k = seen.setdefault(raw[s:e], len(doc))
                     if k == len(doc):
                         doc.append(key)
+                        row.append(at_row)
                         start.append(s)
                         mini.append(h)
                     elif doc[k] < key:
-                        covered.append((key, s, e))
+                        covered.append((at_row, s, e))
+                    else:
+                        again.append((k, at_row, s))
             grams = list(seen)
-            doc, start = np.array(doc, np.int64), np.array(start, np.int32)
+            doc, more = np.array(doc, np.int64), np.array(again, np.int64).reshape(-1, 3)
+            of = np.concatenate([np.arange(len(doc)), more[:, 0]])
+            by_gram, n_places = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(doc))
+            row, start = (np.concatenate([np.array(x, np.int32), more[:, k].astype(np.int32)])[by_gram] for k, x in ((1, row), (2, start)))
+            first = np.cumsum(n_places) - n_places
             cov = np.array(covered, np.int64).reshape(-1, 3)
             for bucket, ix in _by_bucket(np.array(mini, np.uint64), n_buckets):
                 own = cov if not out else cov[:0]  # travels with the block's first row
                 own_grams = [grams[i] for i in ix.tolist()]
-                out.append((bucket, block, _press(b"".join(own_grams)), _press(np.array([len(g) for g in own_grams], np.uint32)), _press(doc[ix]), _press(start[ix]), *(_press(own[:, k]) for k in range(3))))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 9
-        names = ["bucket", "block", "texts", "lengths", "docs", "starts", "covered_docs", "covered_starts", "covered_ends"]
+                out.append((bucket, block, _press(b"".join(own_grams)), _press(np.array([len(g) for g in own_grams], np.uint32)), _press(doc[ix]), _press(n_places[ix].astype(np.uint32)), _press(row[places := _ranges(first[ix], n_places[ix])]), _press(start[places]), *(_press(own[:, k]) for k in range(3))))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 11
+        names = ["bucket", "block", "texts", "lengths", "docs", "n_places", "rows", "starts", "covered_rows", "covered_starts", "covered_ends"]
         return pa.table({n: pa.array(c, pa.int64() if n in ("bucket", "block") else pa.binary()) for n, c in zip(names, cols, strict=True)})
 
     return cut
@@ -242,7 +261,7 @@ def _factors(t: pa.Table) -> pa.Table:
     data = np.concatenate([_unpress(x, np.uint8) for x in t.column("texts")])
     lengths = [_unpress(x, np.uint32).astype(np.int64) for x in t.column("lengths")]
     docs = np.concatenate([_unpress(x, np.int64) for x in t.column("docs")])
-    starts = np.concatenate([_unpress(x, np.int32) for x in t.column("starts")]).astype(np.int64)
+    n_places = np.concatenate([_unpress(x, np.uint32) for x in t.column("n_places")])
     block_of = np.repeat(np.array(t.column("block").to_pylist(), np.int64), [len(x) for x in lengths])
     length = np.concatenate(lengths)
     n = length - LENGTH + 1
@@ -270,19 +289,22 @@ def _factors(t: pa.Table) -> pa.Table:
     new[1:] = (own[h][1:] != own[h][:-1]) | (h[1:] != h[:-1] + 1)
     new_at = np.flatnonzero(new)
     last = np.append(new_at[1:], len(h)) - 1 if len(new_at) else new_at
-    doc = docs[own[h[new_at]]]
-    shift = starts[own[h[new_at]]] - first[own[h[new_at]]]
-    start, end = shift + at[h[new_at]], shift + at[h[last]] + LENGTH
-    block = block_of[own[h[new_at]]]
+    gram = own[h[new_at]]
+    start, end = at[h[new_at]] - first[gram], at[h[last]] + LENGTH - first[gram]
+    # an interval of a super-gram holds at each of its places
+    k = n_places[gram].astype(np.int64)
+    places = _ranges((np.cumsum(n_places, dtype=np.int64) - n_places)[gram], k)
+    row, shift = (np.concatenate([_unpress(x, np.int32) for x in t.column(c)])[places].astype(np.int64) for c in ("rows", "starts"))
+    start, end, block = np.repeat(start, k) + shift, np.repeat(end, k) + shift, np.repeat(block_of[gram], k)
     rows = []
     for b in np.unique(block).tolist():
         mine = block == b
-        rows.append((b, *(_press(x[mine]) for x in (doc, start, end))))
-    for b, d, s, e in zip(t.column("block").to_pylist(), *(t.column(f"covered_{k}") for k in ("docs", "starts", "ends")), strict=True):
+        rows.append((b, *(_press(x[mine]) for x in (row, start, end))))
+    for b, d, s, e in zip(t.column("block").to_pylist(), *(t.column(f"covered_{k}") for k in ("rows", "starts", "ends")), strict=True):
         if len(_unpress(d, np.int64)):
             rows.append((b, d.as_py(), s.as_py(), e.as_py()))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.table({"block": pa.array(cols[0], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("docs", "starts", "ends"), cols[1:], strict=True)}})
+    return pa.table({"block": pa.array(cols[0], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("rows", "starts", "ends"), cols[1:], strict=True)}})
 
 
 def _sortable(windows: np.ndarray) -> np.ndarray:
@@ -297,20 +319,19 @@ def _sortable(windows: np.ndarray) -> np.ndarray:
 def _removed(docs: pa.Table, covered: pa.Table) -> pa.Table:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    d, s, e = (np.concatenate([np.empty(0, np.int64), *[_unpress(x, np.int64) for x in covered.column(k)]]) if covered.num_rows else np.empty(0, np.int64) for k in ("docs", "starts", "ends"))
+    d, s, e = (np.concatenate([np.empty(0, np.int64), *[_unpress(x, np.int64) for x in covered.column(k)]]) if covered.num_rows else np.empty(0, np.int64) for k in ("rows", "starts", "ends"))
     order = np.lexsort((s, d))
     d, s, e = d[order], s[order], e[order]
     rows = []
-    for _, doc_id, _, text in unpacked(docs):
-        data, key = np.frombuffer(text, np.uint8), _NULL if doc_id is None else doc_id
-        lo, hi = np.searchsorted(d, key), np.searchsorted(d, key, side="right")
+    for at_row, (_, text, doc_id) in enumerate(_ordered(docs)):
+        data = np.frombuffer(text, np.uint8)
+        lo, hi = np.searchsorted(d, at_row), np.searchsorted(d, at_row, side="right")
         if lo == hi:
             rows.append((doc_id, len(data), 0, 0, hashlib.sha256(text).hexdigest()))
             continue
         mark = np.zeros(len(data) + 1, np.int32)
-        ok = e[lo:hi] <= len(data)
-        np.add.at(mark, s[lo:hi][ok], 1)
-        np.add.at(mark, e[lo:hi][ok], -1)
+        np.add.at(mark, s[lo:hi], 1)
+        np.add.at(mark, e[lo:hi], -1)
         gone = np.cumsum(mark)[:-1] > 0
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
@@ -329,7 +350,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     shared = blobs.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary")
     # windows take many times the room of their super-grams: smaller buckets
     grams = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_supergrams(4 * n), SUPER)
-    covered = stored(grams.groupBy("bucket").applyInArrow(_factors, "block long, docs binary, starts binary, ends binary"))
+    covered = stored(grams.groupBy("bucket").applyInArrow(_factors, "block long, rows binary, starts binary, ends binary"))
     return dealt.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -161,6 +161,36 @@ def test_lm_score(spark):
         assert r[5] == pytest.approx(want[r[0]][4]) and r[6] < 0
 
 
+def brute_removed(rows):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, sorted; a null id is greater than all others."""
+    keyed = [(math.inf if r[0] is None else r[0], (r[1] or "").encode(), r[0]) for r in rows]
+    first, out = {}, []
+    for key, b, _ in sorted(keyed, key=lambda x: x[0]):
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], key)
+    for key, b, d in keyed:
+        gone = [False] * len(b)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < key:
+                gone[i : i + 50] = [True] * 50
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_suffix_dedup_of_a_line_that_the_later_document_repeats(spark):
+    """All places of a line go, in whichever blocks the documents are."""
+    r = np.random.default_rng(3)
+    some = lambda n: "".join(chr(97 + int(x)) for x in r.integers(0, 26, n))
+    rows = []
+    for i in range(12):
+        line = some(90)
+        rows.append((50 + i, f"{some(70)} {line} {some(60)}", *[None] * 11))
+        rows.append((500 + i, f"{line} {some(30)} {line}\n{line} {some(80)}\n{line}", *[None] * 11))
+    got = rows_of(suffix_dedup.without_repeats(frame(spark, rows), block_bytes=300))
+    assert sorted(got, key=repr) == brute_removed(rows)
+
+
 def brute_lm(texts, train, discount=0.75):
     """log10 score of each text by a model of all 2- and 3-grams that occur twice."""
     grams = [Counter(), Counter(), Counter(), Counter()]
