@@ -191,6 +191,20 @@ def test_suffix_dedup_of_a_line_that_the_later_document_repeats(spark):
     assert sorted(got, key=repr) == brute_removed(rows)
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    """What goes from one row stays in another of the same id, or of no id either."""
+    r = np.random.default_rng(4)
+    some = lambda n: "".join(chr(97 + int(x)) for x in r.integers(0, 26, n))
+    rows = []
+    for i in range(6):
+        line = some(120)
+        rows.append((i, some(40) + line + some(50), *[None] * 11))
+        for d in (None, 300 + i // 2):
+            rows += [(d, some(20 + 9 * i) + line + some(200), *[None] * 11), (d, some(400), *[None] * 11)]
+    got = rows_of(suffix_dedup.without_repeats(frame(spark, rows), block_bytes=300))
+    assert sorted(got, key=repr) == brute_removed(rows)
+
+
 def brute_lm(texts, train, discount=0.75):
     """log10 score of each text by a model of all 2- and 3-grams that occur twice."""
     grams = [Counter(), Counter(), Counter(), Counter()]
