@@ -5,12 +5,14 @@ normaliser (precompiled character map, white space rules), the metaspace marker,
 BPE models, merges ranked by piece scores; byte fallback in both. Batches are encoded on all threads that the task may use.
 
 Texts are cut before each run of markers that follows another character, provided that no piece of the vocabulary crosses such a place; then
-no merge can, so the cut changes nothing and each distinct stretch of a batch is encoded once, and decoded once: a text decodes back to
-itself if all its stretches do. Texts with a stretch that does not are decoded whole.
+no merge can, so the cut changes nothing and each distinct stretch is encoded once, and decoded once: a text decodes back to
+itself if all its stretches do. Texts with a stretch that does not are decoded whole. Cutting and looking up stretches is Arrow's work, and the
+ids of a slice of texts are one gather from the ids of its stretches.
 
 verify_parity holds a tokenizer against the sentencepiece library itself; every row is checked by a round trip.
 
-Defined results: null text is empty and has no tokens; repeated rows give equal rows; empty table: empty result. Texts are
+Defined results: null text is empty and has no tokens; repeated rows give equal rows; a very long text is a slice of its own and gets all its ids
+in one row; other columns are not looked at, whatever their names; empty table: empty result. Texts are
 Unicode, so that decoding gives the normalised text back exactly (the model's normaliser may itself change text).
 """
 
@@ -18,18 +20,17 @@ from __future__ import annotations
 
 import os
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import released, small_batches, table, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -129,13 +130,14 @@ def separable(m: Model) -> bool:
 
 
 class Codec:
-    """Encodes and decodes batches; built once a Python worker."""
+    """Encodes and decodes batches. Stretches that it has met stay known, their ids side by side in one array, until their text passes known_bytes."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, known_bytes: int = 2 << 20):
         self.model = parse(raw)
-        self.tok = build(self.model)
         self.plain = separable(self.model) and not self.model.charsmap and not self.model.remove_extra_whitespaces and not any(k == USER_DEFINED for _, _, k in self.model.pieces)
         self.prefix = MARKER if self.model.add_dummy_prefix else ""
+        self.known_bytes = known_bytes
+        self._tok = None
         if self.plain:
             import regex
             from tokenizers import decoders, normalizers
@@ -144,48 +146,115 @@ class Codec:
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()])
             self.cut = regex.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+").findall
-            self.known: dict[str, bytes] = {}
-            self.odd: set[str] = set()
-
-    def encode_raw(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
+            # what each piece decodes to; what stands for no text of its own has none, and so never passes for one
+            each = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() if kind == NORMAL else b"" for p, _, kind in self.model.pieces]
+            self.piece_bytes, self.piece_ends = np.frombuffer(b"".join(each), np.uint8), np.cumsum([len(x) for x in each], dtype=np.int64)
+            self.forget()
+
+    @property
+    def tok(self):
+        """The whole pipeline; plain models seldom need it."""
+        if self._tok is None:
+            self._tok = build(self.model)
+        return self._tok
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.odd: set[str] = set()
+
+    def encode_arrow(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, where each text's ids end, and whether they decode to what they stand for."""
         if not self.plain:
-            return [np.array(e.ids if t else [], np.int32).tobytes() for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-        split = [self._stretches(t) for t in texts]
-        self._learn(split)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+            texts = column.to_pylist()
+            each = [e.ids if t else [] for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+            same = [self.normalised(t) == d for t, d in zip(texts, self.decode(each), strict=True)]
+            return np.fromiter(chain.from_iterable(each), np.int32), np.cumsum([len(x) for x in each], dtype=np.int64), np.array(same, bool)
+        lists = self._stretch_lists(column)
+        parts = lists.flatten().dictionary_encode()
+        at = self._places(parts.dictionary)
+        stretch = at[parts.indices.to_numpy(zero_copy_only=False)]
+        size = np.diff(self.ends)[stretch]
+        total = np.concatenate([[0], np.cumsum(size)])
+        of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        ids = self.ids[np.repeat(self.ends[stretch] - total[:-1], size) + np.arange(total[-1])]
+        ends = total[of_text[1:]]
+        same = np.ones(len(column), bool)
+        if self.odd:
+            strange = np.concatenate([[0], np.cumsum(pc.is_in(parts.dictionary, pa.array(self.odd, pa.string())).to_numpy(zero_copy_only=False)[parts.indices.to_numpy(zero_copy_only=False)])])
+            for i in np.flatnonzero(strange[of_text[1:]] > strange[of_text[:-1]]).tolist():
+                same[i] = self.normalised(column[i].as_py()) == self.decode([ids[ends[i - 1] if i else 0 : ends[i]].tolist()])[0]
+        return ids, ends, same
 
     def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text, and whether they decode to what they stand for."""
-        raw = self.encode_raw(texts)
-        same = [self.plain and (not self.odd or self.odd.isdisjoint(self._stretches(t))) for t in texts]
-        whole = [i for i, s in enumerate(same) if not s]
-        for i, d in zip(whole, self.decode([np.frombuffer(raw[i], np.int32).tolist() for i in whole]), strict=True):
-            same[i] = self.normalised(texts[i]) == d
-        return raw, same
-
-    def _learn(self, split: list[list[str]], known_most: int = 250_000) -> None:
-        """Encodes and decodes stretches that are not known yet; those that do not decode to themselves are odd."""
-        if len(self.known) > known_most:
-            self.known.clear()
-            self.odd.clear()
-        new = list(set().union(*split) - self.known.keys())
-        marked = [s if s.startswith(MARKER) or not self.prefix else MARKER + s for s in new]
+        """The ids of each text as 32-bit integers, and whether they decode to what they stand for."""
+        ids, ends, same = self.encode_arrow(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])][: len(texts)], same.tolist()
+
+    def _places(self, wanted: pa.Array) -> np.ndarray:
+        """The numbers of these stretches. Those that are not known yet are encoded, and decoded: the ones that do not give themselves back are odd."""
+        if self.known.nbytes > self.known_bytes:
+            self.forget()
+        at = pc.index_in(wanted, value_set=self.known)
+        if at.null_count:
+            new = wanted.filter(at.is_null())
+            easy = pc.invert(pc.or_(pc.equal(pc.binary_length(new), 0), pc.match_substring(new, MARKER))) if self.prefix else pa.array([False] * len(new))
+            for part, encoded in ((new.filter(easy), self._side_by_side), (new.filter(pc.invert(easy)), self._one_by_one)):
+                if len(part):
+                    ids, ends = encoded(part)
+                    self.known = pa.concat_arrays([self.known, part])
+                    self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends])
+            at = pc.index_in(wanted, value_set=self.known)
+        return at.to_numpy(zero_copy_only=False)
+
+    def _side_by_side(self, words: pa.Array, together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without markers, and where each word's ids end. Words stand one after another in a few long texts, for no merge crosses the marker between
+        them; the bytes that the ids stand for must be these texts again, and their lengths tell where a word ends."""
+        cuts = pa.array([*range(0, len(words), together), len(words)], pa.int32())
+        joined = pc.binary_join_element_wise("", pc.binary_join(pa.ListArray.from_arrays(cuts, words), MARKER), MARKER)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined.to_pylist(), add_special_tokens=False)])
+        size = np.diff(self.piece_ends, prepend=0)[ids]
+        reached = np.cumsum(size)
+        meant = np.frombuffer("".join(joined.to_pylist()).replace(MARKER, " ").encode(), np.uint8)
+        stops = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends = np.searchsorted(reached, stops) + 1
+        if reached[-1] == len(meant) and (reached[ends - 1] == stops).all() and (self.piece_bytes[np.repeat(self.piece_ends[ids] - reached, size) + np.arange(len(meant))] == meant).all():
+            return ids, ends
+        return self._one_by_one(words)
+
+    def _one_by_one(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = stretches.to_pylist()
+        marked = [s if s.startswith(MARKER) or not self.prefix else MARKER + s for s in words]
         ids = [e.ids for e in self.bare.encode_batch_fast(marked, add_special_tokens=False)]
-        self.known.update((s, array("i", x).tobytes()) for s, x in zip(new, ids, strict=True))
-        self.odd.update(s for s, m, d in zip(new, marked, self.bare.decode_batch(ids, skip_special_tokens=False), strict=True) if m.replace(MARKER, " ") != d)
+        self.odd.update(s for s, m, d in zip(words, marked, self.bare.decode_batch(ids, skip_special_tokens=False), strict=True) if m.replace(MARKER, " ") != d)
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+    def _stretch_lists(self, column: pa.Array) -> pa.Array:
+        """The stretches of each text. Texts with single spaces alone are split at these in Arrow."""
+        if self.prefix:
+            rare = pc.or_(pc.or_(pc.equal(pc.binary_length(column), 0), pc.starts_with(column, " ")), pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, MARKER)))
+            rare = np.flatnonzero(rare.to_numpy(zero_copy_only=False)).tolist()
+            lists = pc.split_pattern(column, " ")
+        else:
+            rare, lists = range(len(column)), None
+        out, start = [], 0
+        for i in rare:
+            if start < i:
+                out.append(lists.slice(start, i - start))
+            out.append(pa.array([self._stretches(column[i].as_py())], pa.list_(pa.string())))
+            start = i + 1
+        if start < len(column):
+            out.append(lists.slice(start))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
     def _stretches(self, text: str) -> list[str]:
         """The text's parts, each from a run of markers to the next; a single marker in front is left out, if the model puts one there."""
         if not text:
             return []
-        if self.prefix and text[0] != " " and "  " not in text and MARKER not in text:
-            return text.split(" ")
         parts = self.cut(self.prefix + text.replace(" ", MARKER))
         return [p[1:] if p[:1] == MARKER and p[1:2] != MARKER else p for p in parts] if self.prefix else parts
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_raw(texts)]
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_checked(texts)[0]]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -198,14 +267,18 @@ class Codec:
         return out[1:] if self.model.add_dummy_prefix and out.startswith(" ") else out
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
 def codec(raw: bytes) -> Codec:
-    if (k := hash(raw)) not in _CODECS:
+    """The codec of a Python worker: its size is the vocabulary's."""
+    if raw not in _CODECS:
+        # a task has one of its executor's cores; a second thread fills the gaps
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        _CODECS[k] = Codec(raw)
-    return _CODECS[k]
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
+        _CODECS.clear()
+        _CODECS[raw] = Codec(raw)
+    return _CODECS[raw]
 
 
 def verify_parity(raw: bytes, texts: list[str]) -> int:
@@ -213,7 +286,7 @@ def verify_parity(raw: bytes, texts: list[str]) -> int:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
-    return sum(a != b for a, b in zip(codec(raw).encode(texts), sp.encode(texts), strict=True))
+    return sum(a != b for a, b in zip(Codec(raw).encode(texts), sp.encode(texts), strict=True))
 
 
 def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -229,22 +302,23 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def _encoded(shared, slice_chars: int):
+    @released
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
             column = b.column("text")
-            for lo, hi in _slices(pa.compute.utf8_length(column).to_pylist(), slice_chars):
-                texts = column.slice(lo, hi - lo).to_pylist()
-                raw, same = c.encode_checked(texts)
-                counts = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids, pa.array(counts), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+            for lo, hi in _slices(pc.utf8_length(column).to_pylist(), slice_chars):
+                ids, ends, same = c.encode_arrow(column.slice(lo, hi - lo))
+                ends = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), lists, pa.array(np.diff(ends)), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
+        if c.plain:
+            c.forget()
 
     return encoded
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 4_000_000) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, round_trip. The model file is read once, on the driver, and broadcast (its size is
     the vocabulary's, not the input's)."""
     with open(model_path, "rb") as f:
@@ -262,6 +336,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
     small_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(raw)
 
+    @released
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
