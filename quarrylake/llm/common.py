@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,19 @@ def released(work):
     return tidy
 
 
+def each_released(work):
+    """work, a function of the tables of a group, in the same way after each group."""
+
+    def tidy(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            release()
+
+    # Spark asks for the number of parameters
+    return (lambda one: tidy(one)) if len(inspect.signature(work).parameters) == 1 else (lambda one, other: tidy(one, other))
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
@@ -97,6 +111,7 @@ def _packed_block(block: int, docs: list[tuple[int | None, bool, bytes]]) -> tup
     return block, press(head), press(b"".join(t for _, _, t in docs))
 
 
+@released
 def _pack(batches: Iterator[pa.RecordBatch], flush_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, list] = {}
     held = 0

@@ -8,7 +8,8 @@ its size asks for. What is left at partition edges is at most two runs a partiti
 
 Defined results: null text is empty; a null doc_id sorts after all others and keep_id is then null
 only if no row of the group has an id; repeated rows count as many times as they occur and all but the first
-are dropped; an empty table gives an empty result; other columns of the input are not looked at.
+are dropped; an empty table gives an empty result; other
+columns of the input are not looked at, whatever their names; very long texts are compared whole, one at a time.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, pieces_of, small_batches, stored, table, text_of
+from .common import SPACE, pieces_of, released, small_batches, stored, table, text_of
 
 PREFIX_CHARS = 32
 PIECE_BYTES = 32 << 20
+BROADCAST_ROWS = 200_000
 RUNS = "part int, run long, nth long, doc_id long, text_sha256 string, head_id long, head_chars long, run_size long, edge binary"
 FIELDS = pa.schema(
     [("part", pa.int32()), ("run", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("head_id", pa.int64()), ("head_chars", pa.int64()), ("run_size", pa.int64()), ("edge", pa.binary())]
 )
 
 
+@released
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbouring full comparisons over one sorted partition. Rows of a run carry its head (its first row in
     sort order: most code points, then smallest id) and its size in this partition; one row of
@@ -95,11 +98,16 @@ def groups(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that share doc_id and normalised text one, whichever, stays."""
-    key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha)
-    kept = groups(docs, piece_bytes).where("kept").select(key("text_sha256").alias("__key"))
+    """The rows of docs that stay, with all their columns. Of rows that share doc_id and normalised text one, whichever, stays. Only keys that lose rows are
+    joined to docs, so that texts which stay are not shuffled again while these keys are few (they are counted)."""
+    key = lambda sha: F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha).cast("binary"), 256)
+    rows = groups(docs, piece_bytes).select(key("text_sha256").alias("__key"), F.col("kept").cast("int").alias("__kept"))
+    lost = stored(rows.groupBy("__key").agg(F.max("__kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).where("__kept = 0 or __rows > 1").select("__key", "__kept"))
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
     keyed = docs.withColumn("__key", key(F.sha2(F.regexp_replace(text_of(), f"[{SPACE}]+", "").cast("binary"), 256)))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    alone = keyed.join(lost, "__key", "left_anti")
+    repeated = keyed.join(lost.where("__kept = 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return alone.select(*docs.columns).unionAll(repeated.select(*docs.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

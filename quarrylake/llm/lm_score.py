@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, fold_of, pieces_of, small_batches, stored, table, text_of, unpacked
+from .common import blocked, each_released, fold_of, pieces_of, released, small_batches, stored, table, text_of, unpacked
 
 ORDER = 3
 MIN_COUNT = 2
@@ -398,16 +398,16 @@ def scored(docs: DataFrame, held_out_fold: int = 1, order: int = ORDER, share: f
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", (fold_of() != held_out_fold).alias("train"), text_of().cast("binary").alias("text"))
-    n_bytes, tokens = rows.mapInArrow(_sizes, "n_bytes long, tokens long").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n_bytes, tokens = rows.mapInArrow(released(_sizes), "n_bytes long, tokens long").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     least = max(float(MIN_COUNT), share * tokens)
     n = pieces_of(spark, n_bytes, block_bytes)
     dealt = blocked(rows.withColumnRenamed("train", "flag"), n)
-    asked = dealt.groupBy("block").applyInArrow(_requests(n, order), ASKED)
-    counts = stored(asked.groupBy("bucket").applyInArrow(_counted(least), ANSWER))
+    asked = dealt.groupBy("block").applyInArrow(each_released(_requests(n, order)), ASKED)
+    counts = stored(asked.groupBy("bucket").applyInArrow(each_released(_counted(least)), ANSWER))
     types = counts.agg(F.coalesce(F.sum("bucket_types"), F.lit(0))).first()[0]
-    held = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_contexts(n, order, least), HELD)
-    answers = counts.unionAll(held.groupBy("bucket").applyInArrow(_summed, ANSWER))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, order, least, tokens, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    held = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(each_released(_contexts(n, order, least)), HELD)
+    answers = counts.unionAll(held.groupBy("bucket").applyInArrow(each_released(_summed), ANSWER))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each_released(_scored(n, order, least, tokens, types, discount)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, small_batches, stored, table, text_of
+from .common import each_released, pieces_of, released, small_batches, stored, table, text_of
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -238,9 +238,9 @@ def _fronts(n_buckets: int):
 
 def candidate_edges(texts: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
     """Chains (a, b) of classes whose prefixes share a shingle, for all texts."""
-    counted = texts.select("text").mapInArrow(_packed_sets(common, n_buckets), PACKED).groupBy("bucket").applyInArrow(_counted, COUNTED)
-    fronts = counted.groupBy("flush").applyInArrow(_fronts(n_buckets), "bucket long, hashes binary, owners binary, sigs binary, sizes binary")
-    return fronts.groupBy("bucket").applyInArrow(_chains, "a binary, b binary").distinct()
+    counted = texts.select("text").mapInArrow(released(_packed_sets(common, n_buckets)), PACKED).groupBy("bucket").applyInArrow(each_released(_counted), COUNTED)
+    fronts = counted.groupBy("flush").applyInArrow(each_released(_fronts(n_buckets)), "bucket long, hashes binary, owners binary, sigs binary, sizes binary")
+    return fronts.groupBy("bucket").applyInArrow(each_released(_chains), "a binary, b binary").distinct()
 
 
 def _chains(t: pa.Table) -> pa.Table:
@@ -458,12 +458,12 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
-    nodes = stored(rows.mapInArrow(_sets, "doc_id long, n long, sig binary"))
+    nodes = stored(rows.mapInArrow(released(_sets), "doc_id long, n long, sig binary"))
     n_rows, n_shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
     # the order's sample: bounded, and of no effect on which pairs link
     part = min(1.0, sample_docs / max(1, n_rows))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    often = sample.mapInArrow(_sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST)
+    often = sample.mapInArrow(released(_sampled), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST)
     common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
     n_buckets = min(1 << 16, pieces_of(spark, int(n_shingles or 0) * 8, 24 << 20))
     edges = stored(candidate_edges(rows.where("doc_id is not null"), common, n_buckets))
@@ -485,7 +485,7 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
             pair = F.concat("cluster", F.concat_ws("-", F.least(chunk, "other"), F.greatest(chunk, "other")).cast("binary"))
             held = held.select("sig", "doc_id", "n", "cluster").unionAll(parts.select("sig", "doc_id", "n", pair.alias("cluster")))
             large, now = large.limit(0), 0
-        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, 0, 1), "cluster").sortWithinPartitions("cluster").mapInArrow(_joined(common), "a binary, b binary")))
+        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, 0, 1), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
         if not now:
             break
         before = now
@@ -493,7 +493,7 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
         texts = stored(_with_text(rows, clusters.join(large, "cluster")))
         members = texts.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)))
         leaders = texts.where("sig = lead").select("lead", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        far = stored(members.join(leaders, ["lead", "salt"]).select("sig", "lead", "text", "lead_text").mapInArrow(_distances, "sig binary, lead binary, r double, near boolean"))
+        far = stored(members.join(leaders, ["lead", "salt"]).select("sig", "lead", "text", "lead_text").mapInArrow(released(_distances), "sig binary, lead binary, r double, near boolean"))
         proven.append(far.where("near and sig <> lead").select(F.col("sig").alias("a"), F.col("lead").alias("b")))
         least = far.where("not near").groupBy("lead").agg(F.min("r").alias("r_far"))
         rest = far.join(least, "lead").where(~F.col("near") | (F.col("r") >= F.col("r_far") - (1 - NUM / DEN) - 1e-9)).where("sig <> lead").select("sig")

@@ -8,7 +8,8 @@ Weights, exception phrases and the logistic curve are learnt from labelled rows
 taken, by hash order (the documented bound; they also bound the lexicon, which is broadcast). Everything else reads all rows and whole texts.
 Neither labels nor lang, source or doc_id enter a score.
 
-Defined results: null or empty text has no hit and gets the curve's value there (under 0.5); without usable labels (none, or one class)
+Defined results: null or empty text has no hit and gets the curve's value there (under 0.5); a very long text is read whole, and its hits are weighed against its length; entries that start
+at one place count once, by the heaviest; without usable labels (none, or one class)
 the built-in lexicon alone decides; repeated rows get equal scores; empty table: empty result.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches, table, text_of
+from .common import fold_of, released, shuffle_partitions, small_batches, stored, table, text_of
 
 FIT_ROWS = 20_000
 LEAST_DOCS = 5
@@ -130,6 +131,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2
 
 
 def _document_counts(keep: frozenset[str] | None):
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for b in batches:
@@ -152,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, fit_rows: in
     if len({y for _, y in picked}) < 2:
         return base
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    # written once: the passes below read at most fit_rows texts instead of all
+    rows = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").coalesce(max(1, shuffle_partitions(docs.sparkSession))))
     n_toxic, n_clean = sum(y for _, y in picked), sum(1 - y for _, y in picked)
     count = lambda df, keep: df.select("text").mapInArrow(_document_counts(keep), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     toxic = {r.feature: r.n for r in count(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS).collect()}
@@ -169,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, fit_rows: in
             entries[f" {w} "] = v
     a = Lexicon(entries, set(), base.curve).automaton()
 
+    @released
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two-word phrases around hits, with the label's counts."""
         found: Counter = Counter()
@@ -196,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, fit_rows: in
     lexicon = Lexicon(entries, exceptions, base.curve)
     made = lexicon.automaton()
 
+    @released
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -211,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, fit_rows: in
 
 
 def _scores(lexicon):
+    @released
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lexicon.value
         a = made.automaton()
@@ -234,6 +240,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFram
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @released
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
         a = made.automaton()

@@ -123,9 +123,10 @@ def test_join_cluster_equals_pairs():
         assert same(roots, lambda i: roots[i]) == same(sets, find)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("crowd", [1 << 16, 3])
+def test_suffix_dedup(spark, crowd):
     rows = corpus()
-    got = {r[0]: r[1:] for r in rows_of(suffix_dedup.without_repeats(frame(spark, rows), block_bytes=4000))}
+    got = {r[0]: r[1:] for r in rows_of(suffix_dedup.without_repeats(frame(spark, rows), block_bytes=4000, crowd=crowd))}
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     first = {}
     for d in sorted(texts):
