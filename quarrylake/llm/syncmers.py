@@ -1,23 +1,29 @@
-"""Document fingerprints from closed syncmers.
+"""Document fingerprints from closed syncmers, matched by position.
 
 A k-byte string is a closed syncmer if its smallest inner s-byte string (by hash) is its first or its last. Whether it is depends on
-these k bytes alone, so an edit moves only anchors that it touches, and every window of 2 k - s - 1 bytes holds one. The operator's anchors
-are (position, hash) pairs; the fingerprint is a bottom sketch: the SIZE smallest distinct 32-bit anchor hashes in ascending order, and its
-likeness to another is the Jaccard estimate over the SIZE smallest of their union.
+these k bytes alone, so an edit moves only anchors that it touches, and every window of 2 k - s - 1 bytes holds one. The fingerprint is
+all anchors of the text, each with its position and 32-bit hash, whatever the length: as base64, the steps between positions as bytes
+(no step is longer than k - s), then the hashes.
 
-To compare each document with the next one by doc_id, texts are dealt to ranges of doc_id and read in order with one row held
-back. The first row of a partition also answers the last row of the one before it: these at most two rows a partition are
-kept with their texts and joined afterwards.
+Likeness matches anchors by position: the i-th anchor of a hash in one text stands for the i-th of it in the other, and a match counts where
+its shift is that of the matched anchor before or after it, so that anchors which agree by chance or out of place do not. With m matches that count, likeness is
+m / (anchors of both - m).
+
+To compare each document with the next one by doc_id, texts are dealt to ranges of doc_id and read in order with one row held back. A range
+also gets one text more: the first one of the next range, which a pass over the rows with the ranges' first ids picks out.
 
 Defined results: null text is empty; a text without a syncmer (under k bytes) is one anchor as a whole, and an empty text has the
 empty fingerprint; likeness of equal fingerprints is 1, also of two empty ones; the document after the last is the first, so a single
-row is its own next; rows with one doc_id are ordered by text; null doc_ids come last; an empty table gives an empty result.
+row is its own next; rows with one doc_id are ordered by text and share a range; null doc_ids come last; a very long text is read whole, and its fingerprint
+grows with it; other columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, small_batches, stored, table, text_of
+from .common import pieces_of, released, small_batches, table, text_of
 
-K, S = 16, 8
-SIZE = 32
+K, S = 32, 8
 PIECE_BYTES = 16 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,16 +68,40 @@ def anchors(raw: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     return at, (g >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(raw: bytes, size: int = SIZE) -> np.ndarray:
-    return np.unique(anchors(raw)[1])[:size]
+class Marks(NamedTuple):
+    """A text's anchors: positions, hashes, and the hash with its number among equal ones, so that no two are alike."""
+
+    at: np.ndarray
+    hashes: np.ndarray
+    keys: np.ndarray
+
+
+def marks(text: str) -> Marks:
+    at, h = anchors(text.encode("utf-8", "surrogatepass"))
+    order = np.argsort(h, kind="stable")
+    one = h[order]
+    begins = np.ones(len(one), bool)
+    begins[1:] = one[1:] != one[:-1]
+    places = np.arange(len(one))
+    keys = np.empty(len(one), np.uint64)
+    keys[order] = (one.astype(np.uint64) << np.uint64(32)) | (places - np.maximum.accumulate(np.where(begins, places, 0))).astype(np.uint64)
+    return Marks(at, h, keys)
+
 
+def fingerprint(m: Marks) -> str:
+    return base64.b64encode(np.diff(m.at, prepend=0).astype(np.uint8).tobytes() + m.hashes.astype(">u4").tobytes()).decode()
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:size]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(union, both, assume_unique=True).sum() / len(union))
+
+def likeness(a: Marks, b: Marks) -> float:
+    if len(a.at) == len(b.at) and (a.hashes == b.hashes).all() and (a.at == b.at).all():
+        return 1.0
+    _, i, j = np.intersect1d(a.keys, b.keys, assume_unique=True, return_indices=True)
+    order = np.argsort(a.at[i])
+    shift = b.at[j[order]] - a.at[i[order]]
+    same = np.zeros(len(shift) + 1, bool)
+    same[1:-1] = shift[1:] == shift[:-1]
+    m = int((same[1:] | same[:-1]).sum()) if len(shift) else 0
+    return m / (len(a.at) + len(b.at) - m)
 
 
 def edited(text: str, following: str) -> str:
@@ -81,50 +110,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-FIELDS = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-        ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string()),
-    ]
-)
-TABLE = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, edge string, text string"
+FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+TABLE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(doc_id: int | None, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> tuple:
+def _row(doc_id: int | None, text: str, mark: Marks, following: str, next_mark: Marks) -> tuple:
     new = edited(text, following)
-    raw = new.encode("utf-8", "surrogatepass")
-    own = fingerprint(raw)
-    return (doc_id, len(text), hashlib.sha256(raw).hexdigest(), mark.astype(">u4").tobytes(), own.astype(">u4").tobytes(), likeness(mark, own), likeness(mark, next_mark))
+    own = marks(new)
+    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(mark), fingerprint(own), likeness(mark, own), likeness(mark, next_mark))
 
 
+@released
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
-    rows: list[tuple] = []
+    """Rows of a range come by doc_id, the one that is ahead last: each row with the next."""
+    held, rows, chars = None, [], 0
     for b in batches:
-        for part, doc_id, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        for ahead, doc_id, text in zip(b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             text = text.as_py()
-            mark = fingerprint(text.encode("utf-8", "surrogatepass"))
-            if held is None:
-                rows.append((None, None, None, None, None, None, None, part, "head", text))
-            else:
-                rows.append((*_row(*held, text, mark), part, None, None))
-            held = doc_id, text, mark
-        if len(rows) >= 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=FIELDS)
-            rows = []
-    if held is not None:
-        rows.append((held[0], None, None, None, None, None, None, part, "tail", held[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=FIELDS)
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc_id, text, following in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("following").to_pylist(), strict=True):
-            rows.append(_row(doc_id, text, fingerprint(text.encode("utf-8", "surrogatepass")), following, fingerprint(following.encode("utf-8", "surrogatepass"))))
-        if rows:
-            fields = pa.schema(list(FIELDS)[:7])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+            mark = marks(text)
+            if held is not None:
+                rows.append(_row(*held, text, mark))
+                chars += len(text)
+            held = None if ahead else (doc_id, text, mark)
+            if chars >= 4_000_000:
+                yield _batch(rows)
+                rows, chars = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=FIELDS)
 
 
 def fingerprints(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -132,20 +148,24 @@ def fingerprints(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
-    n_bytes = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_last(), "text"]
-    # the range key holds no text: equal ids share a partition
-    dealt = rows.repartitionByRange(pieces_of(spark, n_bytes, piece_bytes), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    made = stored(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_in_order, TABLE))
-    # numbers of the partitions that hold rows, at most as many as there are partitions
-    parts = sorted(r.part for r in made.where("edge = 'head'").select("part").collect())
-    after = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")
-    tails = made.where("edge = 'tail'").select("part", "doc_id", "text").join(after, "part")
-    heads = made.where("edge = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    columns = TABLE.split(", part")[0]
-    last = tails.join(heads, "next_part").select("doc_id", "text", "following").mapInArrow(_edges, columns)
-    out = made.where("edge is null").select(*last.columns).unionAll(last)
-    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    n_bytes, nulls = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    n = pieces_of(spark, n_bytes, piece_bytes)
+    # the first id of each range: one number a piece
+    ranges = rows.select("doc_id").where("doc_id is not null").repartitionByRange(n, "doc_id").select(F.spark_partition_id().alias("part"), "doc_id")
+    firsts = sorted(r.first for r in ranges.groupBy("part").agg(F.min("doc_id").alias("first")).collect())
+    n_ranges = len(firsts) + bool(nulls)
+    shared = spark.sparkContext.broadcast(np.array(firsts, np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right") - 1
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(shared.value), at).astype(np.int32))
+
+    starts = spark.createDataFrame([(d, (i - 1) % n_ranges) for i, d in enumerate([*firsts, *([None] if nulls else [])])], "first long, part int")
+    heads = rows.join(F.broadcast(starts), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("part").agg(F.min("text").alias("text"))
+    dealt = rows.select(range_of("doc_id").alias("part"), F.lit(False).alias("ahead"), "doc_id", "text").unionAll(heads.select("part", F.lit(True), F.lit(None).cast("long"), "text"))
+    order = ["part", "ahead", F.col("doc_id").asc_nulls_last(), "text"]
+    return dealt.repartitionById(max(1, n_ranges), "part").sortWithinPartitions(*order).select("ahead", "doc_id", "text").mapInArrow(_in_order, TABLE)
 
 
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

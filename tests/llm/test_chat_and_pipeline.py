@@ -21,9 +21,9 @@ def test_perspectives(spark):
     got = {(r.conv_id, r.perspective): r for r in chat_format.perspectives(spark.createDataFrame(rows, TURNS)).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (2, None), (None, "ann")}
     ann = got[1, "ann"]
-    assert ann.rendered == "<|im_start|>user name=unknown\n<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n< |im_end|><|im_end|>\n"
+    assert ann.rendered == "<|im_start|>user name=unknown\n<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n< |im_end|><|im_end|>\n" + "<|im_start|>user name=bob\n< |im_end|><|im_end|>\n"
     assert [ann.rendered[m.start : m.end] for m in ann.mask] == ["hi<|im_end|>"] and ann.n_masked == 12
-    assert got[2, None].mask == [] and got[1, "bob"].n_turns == 4
+    assert got[2, None].mask == [] and got[1, "bob"].n_turns == 5
 
 
 def test_long_conversation_is_cut(spark):
@@ -34,6 +34,20 @@ def test_long_conversation_is_cut(spark):
     assert chat_format.perspectives(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_crowded_turn(spark, tmp_path):
+    """One turn, and one utterance, with a third of all rows."""
+    rows = [turn(1, None, "ann", f"said {i}") for i in range(700)] + [turn(1, None, "bob", "again")] * 600 + [turn(2, 3, "ann", "hi")] * 2
+    made = spark.createDataFrame(rows, TURNS)
+    got = chat_format.perspectives(made).collect()
+    assert sum(r.n_turns for r in got) == 2 * 1300 + 2 and max(r.n_turns for r in got) < 512 and len({r.piece for r in got if r.conv_id == 1}) == 6
+    made.select("conv_id", "turn", "role", "text").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = QUERIES["op9_chat_format"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op9_chat_format']})").fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small corpora, and their defined results on awkward ones."""
 
+import base64
 import hashlib
 import math
 import re
@@ -345,37 +346,81 @@ def test_license_template_with_edits(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def naive_anchors(raw, k=syncmers.K, s=syncmers.S):
+    """(position, bytes) of the closed syncmers of raw, by definition."""
+    a, b, mask = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+
+    def h(x):
+        v = int.from_bytes(x, "little") * a & mask
+        v ^= v >> 32
+        return v * b & mask
+
+    if len(raw) < k:
+        return [(0, raw)] if raw else []
+    inner = [h(raw[i : i + s]) for i in range(len(raw) - s + 1)]
+    w = k - s + 1
+    return [(i, raw[i : i + k]) for i in range(len(raw) - k + 1) if min(inner[i : i + w]) in (inner[i], inner[i + w - 1])]
+
+
+def naive_likeness(x, y):
+    """Positional matching of two anchor lists by plain loops."""
+    if x == y:
+        return 1.0
+    places = defaultdict(list)
+    for at, g in y:
+        places[g].append(at)
+    nth, shifts = Counter(), []
+    for at, g in x:
+        if nth[g] < len(places[g]):
+            shifts.append(places[g][nth[g]] - at)
+        nth[g] += 1
+    m = sum(s in shifts[max(0, i - 1) : i] + shifts[i + 1 : i + 2] for i, s in enumerate(shifts))
+    return m / (len(x) + len(y) - m)
+
+
 def test_syncmers(spark):
-    rows = [r for r in {r[0]: r for r in corpus()}.values()]
-    got = {r[0]: r[1:] for r in rows_of(syncmers.fingerprints(frame(spark, rows), piece_bytes=2000))}
-    ids = sorted(r[0] for r in rows)
-    text = {r[0]: r[1] or "" for r in rows}
-    print_of = lambda t: syncmers.fingerprint(t.encode())
-    for i, d in enumerate(ids):
-        following = text[ids[(i + 1) % len(ids)]]
-        half = len(text[d]) // 2
-        new = text[d][: len(text[d]) - half] + following[:half]
-        assert got[d][0] == len(text[d]) and got[d][1] == hashlib.sha256(new.encode()).hexdigest()
-        assert got[d][2] == print_of(text[d]).astype(">u4").tobytes().hex() and got[d][3] == print_of(new).astype(">u4").tobytes().hex()
-        assert got[d][5] == syncmers.likeness(print_of(text[d]), print_of(following))
+    """Against anchors by definition and matching by plain loops, for long texts, repeats, rows that share an id and rows without one."""
+    rows = corpus() + [(None, "no id here, but words enough for an anchor or two", *[None] * 11), (None, None, *[None] * 11)]
+    got = Counter(rows_of(syncmers.fingerprints(frame(spark, rows), piece_bytes=2000)))
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    text = [r[1] or "" for r in rows]
+    mine = [naive_anchors(t.encode()) for t in text]
+    want, prints, by_text = Counter(), {}, {}
+    for i, r in enumerate(rows):
+        following = (i + 1) % len(rows)
+        half = len(text[i]) // 2
+        new = text[i][: len(text[i]) - half] + text[following][:half]
+        anchors = naive_anchors(new.encode())
+        sha = hashlib.sha256(new.encode()).hexdigest()
+        want[r[0], len(text[i]), sha, naive_likeness(mine[i], anchors), naive_likeness(mine[i], mine[following])] += 1
+        prints[sha] = new, anchors
+        by_text[r[0], len(text[i]), sha] = text[i]
+    assert Counter((*r[:3], *r[5:]) for r in got.elements()) == want
+    seen = defaultdict(set)
+    for r in got:
+        new, anchors = prints[r[2]]
+        raw = base64.b64decode(r[4])
+        assert r[4] == syncmers.fingerprint(syncmers.marks(new)) and np.cumsum(np.frombuffer(raw, np.uint8, len(raw) // 5)).tolist() == [at for at, _ in anchors]
+        seen[by_text[r[:3]]].add(r[3])
+    assert all(len(v) == 1 for v in seen.values()) and len(set(map(frozenset, seen.values()))) > len(seen) - 5
 
 
 def test_closed_syncmers_by_definition():
     raw = "Das ist ein längerer Text, aus dem Anker gewählt werden; er hat keine Wiederholung.".encode()
     at, _ = syncmers.anchors(raw)
-    a, b, mask = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+    want = [i for i, _ in naive_anchors(raw)]
+    assert at.tolist() == want and len(want) > 1 and all(b - a <= syncmers.K - syncmers.S + 1 for a, b in zip(want, want[1:]))
 
-    def h(x):
-        v = int.from_bytes(x, "little") * a & mask
-        v ^= v >> 32
-        return v * b & mask
 
-    want = []
-    for i in range(len(raw) - 15):
-        inner = [h(raw[i + j : i + j + 8]) for j in range(9)]
-        if min(inner) in (inner[0], inner[-1]):
-            want.append(i)
-    assert at.tolist() == want and all(b - a <= 9 for a, b in zip(want, want[1:]))
+def test_likeness_needs_order():
+    r = np.random.default_rng(1)
+    some = lambda n: "".join(chr(97 + int(x)) for x in r.integers(0, 26, n))
+    a, b, c = some(3000), some(3000), some(150)
+    like = lambda x, y: syncmers.likeness(syncmers.marks(x), syncmers.marks(y))
+    assert like(a, a) == 1 and like("", "") == 1 and like("", a) == 0 and like(a, b) == 0
+    assert like(a, a[:1500] + "x" + a[1500:]) > 0.95 and like(a + b, b + a) > 0.95
+    # a passage of two percent shows
+    assert 0 < like(a + c + b, some(3000) + c + some(3000)) < 0.05
 
 
 def test_sentencepiece(spark):
