@@ -35,12 +35,15 @@ def fold_of(modulus: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and all runs in one process,
+    as in tests, a temporary folder takes its place."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrylake-"))
         found = sc.getCheckpointDir()
     return found
 

@@ -17,7 +17,7 @@
 6. Components of links give the result.
 
 Defined results: null or blank text has an empty set, n_shingles 0, links with nothing and is its own component;
-fewer than five words: the whole sequence is the one shingle; rows that repeat are equal sets, hence linked;
+fewer than five words: the whole sequence is the one shingle; a very long text is one set like any other; other columns are not looked at, whatever their names; rows that repeat are equal sets, hence linked;
 a row whose doc_id is null takes no part in links and its component_id is null; empty table: empty result.
 Hashes of 64 bits stand for shingles and 128 bits for sets: a false link needs a collision.
 """
@@ -465,10 +465,10 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     often = sample.mapInArrow(released(_sampled), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST)
     common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
-    n_buckets = min(1 << 16, pieces_of(spark, int(n_shingles or 0) * 8, 24 << 20))
+    n_buckets = pieces_of(spark, int(n_shingles or 0) * 8, 24 << 20)
     edges = stored(candidate_edges(rows.where("doc_id is not null"), common, n_buckets))
     # one row stands for each class
-    stand = nodes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    stand = nodes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     proven: list[DataFrame] = []
     before = None
     while True:
@@ -485,7 +485,8 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
             pair = F.concat("cluster", F.concat_ws("-", F.least(chunk, "other"), F.greatest(chunk, "other")).cast("binary"))
             held = held.select("sig", "doc_id", "n", "cluster").unionAll(parts.select("sig", "doc_id", "n", pair.alias("cluster")))
             large, now = large.limit(0), 0
-        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, 0, 1), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
+        n_held = clusters.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, n_held * 16, 24 << 20), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
         if not now:
             break
         before = now
@@ -498,18 +499,21 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
         least = far.where("not near").groupBy("lead").agg(F.min("r").alias("r_far"))
         rest = far.join(least, "lead").where(~F.col("near") | (F.col("r") >= F.col("r_far") - (1 - NUM / DEN) - 1e-9)).where("sig <> lead").select("sig")
         rest = stored(rest)
-        again = _with_text(rows, stand.join(rest, "sig").withColumn("cluster", F.col("sig"))).select("text")
+        # written, since the places of its rows name them
+        again = stored(_with_text(rows, stand.join(rest, "sig").withColumn("cluster", F.col("sig"))).select("text"))
         edges = stored(candidate_edges(again, common, n_buckets))
     links = proven[0]
     for more in proven[1:]:
         links = links.unionAll(more)
     roots = components(links)
-    named = nodes.join(roots, F.col("sig") == F.col("node"), "left").withColumn("class", F.coalesce("root", "sig"))
+    # from here on one row a class, until classes meet their rows: a join that Spark can split where a class has many rows
+    linked = stored(stand.join(roots, F.col("sig") == F.col("node")).select("sig", "root", "doc_id"))
+    least = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    joined = linked.join(least, "root").select(F.col("sig").alias("__sig"), "component_id")
+    several = stand.join(joined, F.col("sig") == F.col("__sig"), "left").where("rows > 1 or component_id is not null").select(F.col("sig").alias("__sig"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = nodes.join(stored(several), (F.col("sig") == F.col("__sig")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     # the empty set is no class: each such row is its own component
-    full, empty = named.where("n > 0 and doc_id is not null"), named.where("n = 0 or doc_id is null")
-    ids = full.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
