@@ -132,7 +132,7 @@ def _bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
 PACKED = "bucket long, flush long, hashes binary, owners binary, sigs binary, sizes binary, n_late binary, late binary, late_owners binary"
 
 
-def _packed_sets(common: np.ndarray, n_buckets: int, flush_at: int = 2_000_000):
+def _packed_sets(common: np.ndarray, n_buckets: int, flush_at: int = 1_000_000):
     """All shingles (48 bits) of each class of a flush, packed by hash range, without those that are known to be common. One head row
     a flush has the classes, and the common shingles of those whose prefix reaches into them."""
 
@@ -465,7 +465,7 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     often = sample.mapInArrow(released(_sampled), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST)
     common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
-    n_buckets = pieces_of(spark, int(n_shingles or 0) * 8, 24 << 20)
+    n_buckets = pieces_of(spark, int(n_shingles or 0) * 8, 12 << 20)
     edges = stored(candidate_edges(rows.where("doc_id is not null"), common, n_buckets))
     # one row stands for each class
     stand = nodes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -486,7 +486,7 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
             held = held.select("sig", "doc_id", "n", "cluster").unionAll(parts.select("sig", "doc_id", "n", pair.alias("cluster")))
             large, now = large.limit(0), 0
         n_held = clusters.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, n_held * 16, 24 << 20), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
+        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, n_held * 16, 12 << 20), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
         if not now:
             break
         before = now

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, table, text_of
+from .common import release, released, small_batches, table, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -149,6 +149,8 @@ class Codec:
             # what each piece decodes to; what stands for no text of its own has none, and so never passes for one
             each = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() if kind == NORMAL else b"" for p, _, kind in self.model.pieces]
             self.piece_bytes, self.piece_ends = np.frombuffer(b"".join(each), np.uint8), np.cumsum([len(x) for x in each], dtype=np.int64)
+            del each
+            release()  # what the building took
             self.forget()
 
     @property
@@ -318,7 +320,7 @@ def _encoded(shared, slice_chars: int):
     return encoded
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, slice_chars: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, round_trip. The model file is read once, on the driver, and broadcast (its size is
     the vocabulary's, not the input's)."""
     with open(model_path, "rb") as f:
