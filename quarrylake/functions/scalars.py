@@ -44,7 +44,8 @@ def backoff(tries: Column, base: int, most: int) -> Column:
 
 @cache
 def _accents() -> tuple[str, str]:
-    pairs = [(chr(c), base) for c in range(0xC0, 0x250) if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)]
+    """Latin letters with accents, and without: all that decompose to an ASCII letter and marks."""
+    pairs = [(chr(c), base) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -57,26 +58,38 @@ def search_tokens(c: Column) -> Column:
     return F.filter(F.split(unaccented(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Closing marks that do not belong to a link; named entities.
+CLOSING = ".,;:!?、。；，！？：）)】》»\"'"
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    """Named and numbered HTML entities undone; those that stand for an ampersand last."""
+    number = F.regexp_extract_all(c, F.lit(r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1))
+    code = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("int")
+    real = lambda x: ((code(x) > 0) & (code(x) < 0xD800)) | ((code(x) > 0xDFFF) & (code(x) < 0x110000))
+    letter = lambda x: F.when(real(x), F.decode(F.unhex(F.lpad(F.hex(code(x).cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    plain = F.aggregate(F.array_distinct(number), c, lambda s, x: F.replace(s, F.concat(F.lit("&#"), x, F.lit(";")), letter(x)))
+    for name, value in ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(value))
+    return plain
+
+
 def normal_url(c: Column) -> Column:
     """Entities undone, white space and closing punctuation cut off."""
-    u = c
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        u = F.replace(u, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.trim(u), r"[.,;:!?)\]]+$", "")
+    return F.rtrim(F.trim(unescaped(c)), F.lit(CLOSING))
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Lower case, with each run of digits padded to one width."""
+def natural_key(c: Column) -> Column:
+    """Lower case, with each run of digits in front of which its length stands (without leading zeros), so that numbers of any length compare as numbers."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 8, "0"), bare(x))).otherwise(x)), "")
 
 
-def size_text(n: Column) -> Column:
-    """1023 B, 1.0 KB, 1.5 GB."""
-    steps = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for unit, power in (("KB", 1), ("MB", 2), ("GB", 3)):
-        steps = steps.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / float(1024**power)))
-    return steps.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+def natural_order(c: Column) -> list[Column]:
+    """Order keys of file names: numbers as numbers, Chinese by the collation of the language."""
+    return [F.collate(natural_key(c), "zh").asc(), c.asc()]
 
 
 def day_label(day: Column, today: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], overwrite:
 
 
 def scan_diff(existing: DataFrame, found: DataFrame) -> DataFrame:
-    """path and change (added, changed, kept, removed) by path without case; changed: another size, or dimensions unknown."""
-    e = existing.select(F.lower("path").alias("path"), "id", F.col("file_size").alias("__size"), F.lit(True).alias("__old"))
+    """path and change (added, changed, kept, removed) by path without case; changed: another size, or one of the columns width, height and duration, as far as existing has them,
+    is not known."""
+    unknown = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("width", "height", "duration") if c in existing.columns], F.lit(False))
+    e = existing.select(F.lower("path").alias("path"), "id", F.col("file_size").alias("__size"), unknown.alias("__unknown"), F.lit(True).alias("__old"))
     f = found.select(F.lower("path").alias("path"), "file_size", F.lit(True).alias("__new"))
     j = e.join(f, "path", "full_outer")
-    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(~F.col("__size").eqNullSafe(F.col("file_size")), "changed").otherwise("kept")
+    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(~F.col("__size").eqNullSafe(F.col("file_size")) | F.col("__unknown"), "changed").otherwise("kept")
     return j.select("path", "id", change.alias("change"))
 
 

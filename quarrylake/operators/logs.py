@@ -50,3 +50,19 @@ def log_events(lines: DataFrame) -> DataFrame:
     )
     timed = lines.select("id", plain_line(line).alias("line")).where(line.rlike(TIMED) & (F.octet_length("line") > 14))
     return timed.select("id", event.alias("e")).where("e is not null").select("id", "e.*")
+
+
+def log_stages(lines: DataFrame, key: str) -> DataFrame:
+    """lines: key, id (their order), line. What each log tells at its end, the latest of each kind: account, qr, login_error (until a later code is shown), version, panel, ready, stamp."""
+    named = lines.select(F.struct(key, "id").alias("id"), "line")
+    e = log_events(named).select(f"id.{key}", F.col("id.id").alias("id"), "event", "detail")
+    last = lambda name: F.max_by(F.when(F.col("event") == name, F.col("detail")), F.when(F.col("event") == name, F.col("id")))
+    at = lambda name: F.max(F.when(F.col("event") == name, F.col("id")))
+    seen = e.groupBy(key).agg(
+        last("quick_login").alias("account"), last("qr_saved").alias("qr"), last("login_error").alias("__error"), at("login_error").alias("__error_at"), at("qr_saved").alias("__qr_at"),
+        last("core_version").alias("version"), last("panel_url").alias("panel"), at("adapter_ready").alias("__ready"),
+    )
+    stamp = F.regexp_extract(plain_line(F.col("line")), r"^(\d\d-\d\d \d\d:\d\d:\d\d)", 1)
+    stamps = lines.select(key, "id", F.when(stamp != "", stamp).alias("s")).groupBy(key).agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("id"))).alias("stamp"))
+    error = F.when(F.coalesce(F.col("__error_at") > F.coalesce("__qr_at", F.lit(-1)), F.lit(False)), F.col("__error"))
+    return stamps.join(seen, key, "left").select(key, "account", "qr", error.alias("login_error"), "version", "panel", F.col("__ready").isNotNull().alias("ready"), "stamp")

@@ -56,13 +56,22 @@ def history(messages: DataFrame, limit: int = 500) -> DataFrame:
     return with_group(messages.orderBy(F.coalesce("parent", "id").desc(), "id").limit(n)).where("kind <> 'forward'")
 
 
+def _failures(messages: DataFrame) -> DataFrame:
+    return messages.where("dl = 'dead' and name is not null and name <> ''")
+
+
 def collapsed_failures(messages: DataFrame) -> DataFrame:
-    """Dead rows with one kind and name fold into the one that failed last: kind, name, id, n, member_ids."""
-    dead = messages.where("dl = 'dead' and name is not null and name <> ''")
-    g = dead.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("dead_at", -F.col("id"))).alias("id"), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("member_ids"))
+    """Dead rows with one kind and name fold into the one that failed last: kind, name, id, n, first_id, last_id. Their ids are rows of failure_members: a name may fail without end."""
+    g = _failures(messages).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("dead_at", -F.col("id"))).alias("id"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     return g.where("n >= 2")
 
 
+def failure_members(messages: DataFrame) -> DataFrame:
+    """kind, name, id of all rows that collapsed_failures folds."""
+    dead, folded = _failures(messages), collapsed_failures(messages).select("kind", "name")
+    return dead.join(folded, ["kind", "name"], "left_semi").select("kind", "name", "id")
+
+
 def forward_progress(messages: DataFrame) -> DataFrame:
     return messages.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("dl") == "ok").alias("done"))
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ascii_lower
-from ..functions.scalars import URL, normal_url, search_tokens
+from ..functions.scalars import URL, normal_url, unaccented
 
 
 def prefix_match(columns: list[Column], term: str) -> Column | None:
-    """All words of the term begin some token of some column; None if the term is blank or holds a quotation mark."""
-    words = term.split()
+    """All words of the term are found in some column: a word's tokens follow each other, the last one as the beginning of a token. None if the term is blank
+    or holds a quotation mark. The columns are folded once and each word is one pattern on token boundaries."""
+    words = [[t for t in re.split(r"[^\w]|_", plain(w)) if t] for w in term.split()]
     if not words or '"' in term:
         return None
-    tokens = F.concat(*[search_tokens(F.coalesce(c, F.lit(""))) for c in columns])
-    begins = lambda w: F.exists(tokens, lambda t: F.startswith(t, F.get(search_tokens(F.lit(w)), F.lit(0))))
-    return reduce(lambda a, b: a & b, map(begins, words))
+    folded = unaccented(F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in columns]))
+    found = [folded.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}|]+".join(w)) for w in words if w]
+    return reduce(lambda a, b: a & b, found) if len(found) == len(words) else F.lit(False)
+
+
+def plain(term: str) -> str:
+    """A term folded as the columns are."""
+    return "".join(x for x in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(x))
 
 
 def search_files(files: DataFrame, term: str) -> DataFrame:

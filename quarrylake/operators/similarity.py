@@ -30,23 +30,36 @@ def representatives(sigs: DataFrame) -> DataFrame:
     return sigs.where("phash is not null and dhash is not null").groupBy("phash", "dhash").agg(F.min("id").alias("id"))
 
 
+def first_equal_band(difference: Column, n: int, bits: int) -> Column:
+    """The number of the first band in which no bit differs."""
+    out = F.when(band(difference, 0, n, bits) == 0, 0)
+    for i in range(1, n):
+        out = out.when(band(difference, i, n, bits) == 0, i)
+    return out
+
+
 def close_pairs(sigs: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
-    """a < b, distance (the larger of both hashes'), for all pairs of different ids within the gate."""
+    """a < b, distance (the larger of both hashes'), for all pairs of different ids within the gate. Of the keys that two rows share only the first gives the pair, so that
+    nothing has to be made distinct."""
     n = gate + 1
-    keys = F.array(*[F.struct(F.lit(i * n + j).alias("at"), band(F.col("phash"), i, n, bits).alias("p"), band(F.col("dhash"), j, n, bits).alias("d")) for i in range(n) for j in range(n)])
+    keys = F.array(*[F.struct(F.lit(i * n + j).alias("at"), (F.lit((i * n + j) << 40) + F.shiftleft(band(F.col("phash"), i, n, bits), 20) + band(F.col("dhash"), j, n, bits)).alias("k")) for i in range(n) for j in range(n)])
     keyed = sigs.where("phash is not null and dhash is not null").select("id", "phash", "dhash", F.explode(keys).alias("k")).select("id", "phash", "dhash", "k.*")
     a, b = keyed.alias("a"), keyed.alias("b")
-    distance = max_distance(F.col("a.phash"), F.col("a.dhash"), F.col("b.phash"), F.col("b.dhash"))
-    on = (F.col("a.at") == F.col("b.at")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance")).where(F.col("distance") <= gate).distinct()
+    p, d = F.col("a.phash").bitwiseXOR(F.col("b.phash")), F.col("a.dhash").bitwiseXOR(F.col("b.dhash"))
+    distance = F.greatest(F.bit_count(p), F.bit_count(d))
+    first = F.col("a.at") == first_equal_band(p, n, bits) * n + first_equal_band(d, n, bits)
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (distance <= gate) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component. Labels spread along edges and then jump to their label's label; each round is
     checkpointed to the shared folder."""
     sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # as in tests on one machine
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylake-"))
+    if not sc.getCheckpointDir():
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrylake-"))  # all in one process, as in tests
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
     before = None
@@ -72,8 +85,78 @@ def pools(sigs: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
 
 
 def keepers(groups: DataFrame, by: list[str]) -> DataFrame:
-    """groups: grp, id and the columns of by. Adds rank in the group; rank 1 stays."""
-    return groups.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*by)))
+    """groups: grp, id and the columns of by. Adds keeper_id, the group's first row by these columns and id, and kept. Keepers are partial minima; a large group's rows meet
+    theirs in a join that Spark can split."""
+    first = groups.groupBy("grp").agg(F.min(F.struct(*by, "id")).alias("__k")).select(F.col("grp").alias("__g"), F.col("__k.id").alias("keeper_id"))
+    return groups.join(first, F.col("grp") == F.col("__g")).drop("__g").withColumn("kept", F.col("id") == F.col("keeper_id"))
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """groups: grp, id, created_at. In the order in which groups are shown, the largest first: grp, n, keeper_id."""
+    g = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("created_at", "id")).alias("k"))
+    return g.where("n > 1").select("grp", "n", F.col("k.id").alias("keeper_id")).orderBy(F.col("n").desc(), "keeper_id")
+
+
+def live_groups(groups: DataFrame, items: DataFrame) -> DataFrame:
+    """groups: grp, id. Members that still exist, of groups that still have two."""
+    left = groups.join(items.select("id"), "id", "left_semi")
+    company = left.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("grp").alias("__g"))
+    return left.join(company, F.col("grp") == F.col("__g"), "left_semi").select(*groups.columns)
+
+
+def groups_with(groups: DataFrame, needle: str) -> DataFrame:
+    """groups: grp, id, filename, path. All members of groups of which some member's name or path has the needle in it."""
+    n = needle.strip().lower()
+    hit = groups.where(F.contains(F.lower("filename"), F.lit(n)) | F.contains(F.lower("path"), F.lit(n))).select(F.col("grp").alias("__g")).distinct()
+    return groups.join(hit, F.col("grp") == F.col("__g"), "left_semi") if n else groups
+
+
+def fast_duplicates(images: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
+    """images: id, created_at, phash, dhash. Groups by hashes alone: id, pool, keeper_id, kept."""
+    found = pools(images, gate, bits).withColumnRenamed("pool", "grp").join(images.select("id", "created_at"), "id")
+    return keepers(found, ["created_at"]).select("id", F.col("grp").alias("pool"), "keeper_id", "kept")
+
+
+def verified_duplicates(images: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
+    """images: id, created_at, phash, dhash, pixels. Groups by hashes, then by pixels within them: id, pool, leader."""
+    found = pools(images, gate, bits)
+    return greedy_groups(found.join(images.select("id", "created_at", "pixels"), "id"))
+
+
+def frame_groups(videos: DataFrame, gate: int, bits: int = 64, slots: tuple[str, ...] = ("anchor", "mid", "tail")) -> DataFrame:
+    """videos: id, created_at and for each slot {slot}_p and {slot}_d. Videos whose anchors are close are candidates; in the order of creation the first one left leads all left
+    whose every slot is close to its: id, leader, of groups of two and more. Close pairs are joined, distributed; leaders are settled in rounds, one for each link of the longest chain."""
+    pairs = close_pairs(videos.select("id", F.col(f"{slots[0]}_p").alias("phash"), F.col(f"{slots[0]}_d").alias("dhash")), gate, bits).select("a", "b")
+    side = lambda k: videos.select(F.col("id").alias(k), "created_at", *[F.col(f"{s}_{h}") for s in slots for h in "pd"]).alias(k)
+    j = pairs.join(side("a").withColumnsRenamed({f"{s}_{h}": f"a_{s}_{h}" for s in slots for h in "pd"} | {"created_at": "a_at"}), "a").join(side("b").withColumnRenamed("created_at", "b_at"), "b")
+    for s in slots[1:]:
+        j = j.where(max_distance(F.col(f"a_{s}_p"), F.col(f"a_{s}_d"), F.col(f"{s}_p"), F.col(f"{s}_d")) <= gate)
+    earlier = F.struct("a_at", "a") < F.struct("b_at", "b")
+    links = j.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("then"), F.least(F.struct(F.col("a_at").alias("t"), F.col("a").alias("i")), F.struct(F.col("b_at").alias("t"), F.col("b").alias("i"))).alias("order"))
+    return led(links)
+
+
+def led(links: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """links: first, then, order (of first). Greedy leaders: a row leads if no earlier neighbour leads; else it follows the earliest that does. A round settles all rows whose earlier neighbours are
+    settled; each is checkpointed."""
+    links = links.checkpoint()
+    nodes = links.select(F.col("first").alias("id")).unionAll(links.select(F.col("then").alias("id"))).distinct()
+    state = nodes.join(links.select(F.col("then").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")).checkpoint()
+    n, before = nodes.count(), -1
+    for _ in range(most_rounds):
+        now = state.count()
+        if now == n:
+            break
+        if now == before:
+            raise RuntimeError("leaders did not settle")
+        before = now
+        known = state.select(F.col("id").alias("first"), (F.col("leader") == F.col("id")).alias("leads"))
+        seen = links.join(known, "first", "left").groupBy("then").agg(F.count_if(F.col("leads").isNull()).alias("open"), F.min(F.when(F.col("leads"), F.struct("order", "first"))).alias("lead"), F.min(F.when(F.col("leads").isNull(), F.col("order"))).alias("open_order"))
+        # a leader that comes before all open neighbours decides as well
+        ready = seen.where("open = 0 or lead.order < open_order").select(F.col("then").alias("id"), F.coalesce("lead.first", "then").alias("leader"))
+        state = state.unionAll(ready.join(state.select("id"), "id", "left_anti")).checkpoint()
+    groups = state.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("leader").alias("__l"))
+    return state.join(groups, F.col("leader") == F.col("__l"), "left_semi")
 
 
 def group_totals(groups: DataFrame) -> DataFrame:
@@ -107,15 +190,29 @@ def greedy_groups(members: DataFrame) -> DataFrame:
     Rows stream through a sorted partition: what is held is the leaders of one pool, each row joins the first leader that it is close to."""
 
     def led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, leaders = None, []
+        pool, leaders, grids, held = None, {}, {}, {}
         for b in batches:
             out = []
             for p, i, px in zip(b["pool"], b["id"], b["pixels"], strict=True):
                 if p != pool:
-                    pool, leaders = p, []
-                lead = next((k for k, lp in leaders if pixels_close(lp, px)), None)
-                if lead is None:
-                    leaders.append((i, px))
+                    pool, leaders, grids, held = p, {}, {}, {}
+                px = px or b""
+                size = len(px)
+                lead = None
+                if size:
+                    mine = np.frombuffer(px, np.uint8).astype(np.int16)
+                    n = held.get(size, 0)
+                    if n:
+                        gap = np.abs(grids[size][:n] - mine)
+                        close = np.flatnonzero((gap.mean(axis=1) <= MEAN_MOST) & ((gap > LOUD).mean(axis=1) <= LOUD_SHARE))
+                        lead = leaders[size, int(close[0])] if len(close) else None
+                    if lead is None:
+                        if n == 0:
+                            grids[size] = np.empty((64, size), np.int16)
+                        elif n == len(grids[size]):
+                            grids[size] = np.concatenate([grids[size], np.empty_like(grids[size])])
+                        grids[size][n], held[size] = mine, n + 1
+                        leaders[size, n] = i
                 out.append((i, p, i if lead is None else lead))
             yield pd.DataFrame(out, columns=["id", "pool", "leader"])
 

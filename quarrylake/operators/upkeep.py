@@ -31,6 +31,11 @@ def recovered(messages: DataFrame, now: int) -> DataFrame:
     return j.withColumns(out).select(*messages.columns)
 
 
+def retained(events: DataFrame, cutoff: int) -> DataFrame:
+    """events: status, received_at. All but those that were done before the cutoff."""
+    return events.where(~F.coalesce((F.col("status") == "done") & (F.col("received_at") < cutoff), F.lit(False)))
+
+
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows whose key is the same but for case and outer white space the first stays; rows with a blank key all stay."""
     k = F.lower(F.regexp_replace(F.coalesce(F.col(key), F.lit("")), r"^\s+|\s+$", ""))

@@ -86,13 +86,6 @@ def path_moves(spark, d):
     return f.select("id", "path").join(patched.select("id", "filename"), "id").select("id", "path", "filename")
 
 
-@query(f"WITH {FILES}, r AS (SELECT id, dense_rank() OVER (ORDER BY lower(regexp_replace(path, '[^/]*$', ''))) AS k, regexp_replace(path, '[^/]*$', '') AS dir FROM files) SELECT min(id) AS id, lower(dir) AS dir_key FROM r GROUP BY lower(dir)")
-def roots_dedupe(spark, d):
-    """Folders that differ in case only are one, the first stays."""
-    f = files(spark, d).select("id", F.lower(F.regexp_replace("path", r"[^/]*$", "")).alias("dir_key"))
-    return f.groupBy("dir_key").agg(F.min("id").alias("id"))
-
-
 # --- progress and sorting: documents as videos ---
 
 DOCS = "docs AS (SELECT d.doc_id AS id, d.source AS filename, CAST(d.n_chars AS DOUBLE) AS duration, d.n_chars AS file_size, l.quality * (d.doc_id % 7) / 6.0 * d.n_chars AS position FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
@@ -121,22 +114,17 @@ def media_floor_filter(spark, d):
     return catalog.above_floors(v.join(p, "id", "left"), file_size=500, position=200).select("id", "duration", "position")
 
 
-@query(f"WITH {DOCS} SELECT id, position FROM docs ORDER BY position DESC NULLS LAST, id LIMIT 600")
+@query(f"WITH {DOCS} SELECT id, position FROM docs ")
 def sort_media_nulls_last(spark, d):
     v, p = videos(spark, d)
-    return v.join(p, "id", "left").orderBy(*catalog.sort_order("position", True)).limit(600).select("id", "position")
+    return v.join(p, "id", "left").orderBy(*catalog.sort_order("position", True)).select("id", "position")
 
 
-@query("SELECT c_custkey AS id, lower(regexp_replace(c_name, '[0-9]+', '')) || lpad(regexp_extract(c_name, '[0-9]+'), 12, '0') AS sort_key FROM customer")
+@query("SELECT c_custkey AS id, lower(regexp_replace(c_name, '[0-9]+', '')) || lpad(CAST(length(CAST(CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS VARCHAR)) AS VARCHAR), 8, '0') || CAST(CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS VARCHAR) AS sort_key FROM customer")
 def natural_sort_key(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), scalars.natural_key(F.col("c_name")).alias("sort_key"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size_text FROM documents")
-def size_labels(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), scalars.size_text(F.col("n_chars")).alias("size_text"))
-
-
 @query("SELECT CASE date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE CASE WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') BETWEEN 2 AND 6 THEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') || ' days ago' ELSE strftime(ts, '%Y-%m-%d') END END AS label, count(*) AS n FROM events GROUP BY 1")
 def play_history_days(spark, d):
     return _t(spark, d, "events").groupBy(scalars.day_label(F.to_date("ts"), F.lit("2024-01-20").cast("date")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -145,7 +133,7 @@ def play_history_days(spark, d):
 # --- loads ---
 
 
-@query("""WITH o AS (SELECT doc_id, text, source, n_chars, lang FROM documents WHERE doc_id % 2 = 0),
+@query("""WITH o AS (SELECT doc_id, text, source, n_chars, lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 > 0),
 n AS (SELECT doc_id, text, 'new' AS source, CASE WHEN doc_id % 5 > 0 THEN n_chars + doc_id % 2 + doc_id % 4 END AS n_chars, lang FROM documents WHERE doc_id % 3 = 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(n.n_chars, o.n_chars) AS n_chars,
 CASE WHEN o.doc_id IS NOT NULL AND n.doc_id IS NOT NULL AND n.n_chars IS NOT NULL AND n.n_chars IS DISTINCT FROM o.n_chars THEN NULL WHEN o.doc_id IS NULL THEN n.lang ELSE o.lang END AS lang
@@ -153,17 +141,17 @@ FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def upsert_merge(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "n_chars", "lang")
     new = docs.where("doc_id % 3 = 0").withColumn("source", F.lit("new")).withColumn("n_chars", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") + F.col("doc_id") % 2 + F.col("doc_id") % 4))
-    return ingest.upsert(docs.where("doc_id % 2 = 0"), new, "doc_id", keep=[], overwrite=["source"], fill=["n_chars"], reset={"lang": "n_chars"})
+    return ingest.upsert(docs.where("doc_id % 2 = 0 or doc_id % 3 > 0"), new, "doc_id", keep=[], overwrite=["source"], fill=["n_chars"], reset={"lang": "n_chars"})
 
 
-SLICES = r"""e AS (SELECT doc_id AS id, 'D:\vid' || (doc_id % 3) || '\' || doc_id || '.mp4' AS path, n_chars AS file_size FROM documents WHERE doc_id % 4 > 0),
+SLICES = r"""e AS (SELECT doc_id AS id, 'D:\vid' || (doc_id % 3) || '\' || doc_id || '.mp4' AS path, n_chars AS file_size FROM documents WHERE doc_id % 4 > 0 OR doc_id % 5 = 0),
 f AS (SELECT 'd:\VID' || (doc_id % 3) || '\' || doc_id || '.mp4' AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS file_size FROM documents WHERE doc_id % 5 > 0)"""
 
 
 def slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, d, "documents")
     path = lambda top: F.concat(F.lit(top), (F.col("doc_id") % 3).cast("string"), F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".mp4"))
-    e = docs.where("doc_id % 4 > 0").select(F.col("doc_id").alias("id"), path("D:\\vid").alias("path"), F.col("n_chars").alias("file_size"))
+    e = docs.where("doc_id % 4 > 0 or doc_id % 5 = 0").select(F.col("doc_id").alias("id"), path("D:\\vid").alias("path"), F.col("n_chars").alias("file_size"))
     return e, docs.where("doc_id % 5 > 0").select(path("d:\\VID").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("file_size"))
 
 
@@ -178,10 +166,10 @@ def tombstones_guarded(spark, d):
     return ingest.tombstones(e, f, "D:\\vid1", ["D:\\vid2\\broken"])
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'in' ELSE 'cur' END AS side, n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'in' ELSE 'cur' END AS side, n_chars FROM documents")
 def merge_by_id(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return ingest.merge_by_id(docs.where("id % 2 = 0").withColumn("side", F.lit("cur")), docs.where("id % 3 = 0").withColumn("side", F.lit("in")))
+    return ingest.merge_by_id(docs.where("id % 2 = 0 or id % 3 > 0").withColumn("side", F.lit("cur")), docs.where("id % 3 = 0").withColumn("side", F.lit("in")))
 
 
 @query("WITH n AS (SELECT md5(text) AS md5, min(doc_id) AS first_seen FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) SELECT md5, first_seen FROM n WHERE md5 NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -217,9 +205,9 @@ def hamming_pairs(spark, d):
     return similarity.close_pairs(sigs(spark, d), 9, 32)
 
 
-@query(f"WITH {SIGS}, t AS (SELECT * FROM sigs WHERE id = 7) SELECT s.id, CAST(bit_count(xor(s.phash, t.phash)) + bit_count(xor(s.dhash, t.dhash)) AS INTEGER) AS distance FROM sigs s, t WHERE s.id <> 7 AND bit_count(xor(s.phash, t.phash)) + bit_count(xor(s.dhash, t.dhash)) <= 26 ORDER BY distance, s.id LIMIT 100")
+@query(f"WITH {SIGS}, t AS (SELECT * FROM sigs WHERE id = 7) SELECT s.id, CAST(bit_count(xor(s.phash, t.phash)) + bit_count(xor(s.dhash, t.dhash)) AS INTEGER) AS distance FROM sigs s, t WHERE s.id <> 7 AND bit_count(xor(s.phash, t.phash)) + bit_count(xor(s.dhash, t.dhash)) <= 26")
 def template_topk(spark, d):
-    return similarity.like_template(sigs(spark, d), 7, 26).orderBy("distance", "id").limit(100)
+    return similarity.like_template(sigs(spark, d), 7, 26).orderBy("distance", "id")
 
 
 @query(f"WITH RECURSIVE {SIGS}, {PAIRS.format(8)}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS id, least(min(b), a) AS pool FROM reach GROUP BY a")
@@ -227,12 +215,11 @@ def similar_pools(spark, d):
     return similarity.pools(sigs(spark, d), 8, 32)
 
 
-@query("SELECT doc_id, md5(text) AS digest, min(doc_id) OVER (PARTITION BY md5(text)) AS keeper_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rank FROM documents")
+@query("SELECT doc_id, md5(text) AS digest, min(doc_id) OVER (PARTITION BY md5(text)) AS keeper_id, doc_id = min(doc_id) OVER (PARTITION BY md5(text)) AS kept FROM documents")
 def content_dedup(spark, d):
     """Content addresses: the smallest id of a digest stays."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    w = Window.partitionBy("digest").orderBy("doc_id")
-    return docs.select("doc_id", "digest", F.first("doc_id").over(w).alias("keeper_id"), F.row_number().over(w).alias("rank"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("grp"))
+    return similarity.keepers(docs, []).select(F.col("id").alias("doc_id"), F.col("grp").alias("digest"), "keeper_id", "kept")
 
 
 @query("SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS extras FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text)) WHERE n > 1")
@@ -242,10 +229,13 @@ def group_extras(spark, d):
 
 @query()
 def greedy_groups(spark, d):
-    """Groups by pixels: a document's first 64 bytes stand for its grid, its language and length class for its pool."""
-    docs = _t(spark, d, "documents").where("n_chars >= 64")
-    m = docs.select((F.xxhash64("lang") % 1000 * 100 + F.floor(F.log2("n_chars"))).cast("long").alias("pool"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.substring(F.col("text").cast("binary"), 1, 64).alias("pixels"))
-    return similarity.greedy_groups(m)
+    """Groups by pixels: how often each letter and each digit occurs in the whole text (36 shares, a byte each) stands for a picture's grid, its language and length class for its
+    pool. Empty texts have an empty grid, which is like no other."""
+    docs, text = _t(spark, d, "documents"), F.lower(F.coalesce("text", F.lit("")))
+    share = lambda c: F.lpad(F.hex(F.least(F.lit(255), F.floor((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * 2000 / F.length(text))).cast("long")), 2, "0")
+    grid = F.when(F.length(text) > 0, F.unhex(F.concat(*[share(c) for c in LOWER + "0123456789"])))
+    pool = (F.pmod(F.xxhash64("lang"), F.lit(1000)) * 100 + F.floor(F.log2(F.greatest("n_chars", F.lit(1))))).cast("long")
+    return similarity.greedy_groups(docs.select(pool.alias("pool"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), grid.alias("pixels")))
 
 
 # --- queue: events as downloads ---
@@ -284,7 +274,7 @@ def status_histogram_zero_filled(spark, d):
     return messages.histogram(downloads(spark, d), ["downloading", "dead", "archived", "dedup", "ok", "lost"])
 
 
-@query(f"WITH {EV} SELECT kind, name, count(*) AS n, arg_max(id, (coalesce(dead_at, -1), -id)) AS id, string_agg(id, ',' ORDER BY id) AS member_ids FROM ev WHERE dl = 'dead' GROUP BY kind, name HAVING count(*) >= 2")
+@query(f"WITH {EV} SELECT kind, name, count(*) AS n, arg_max(id, (coalesce(dead_at, -1), -id)) AS id, min(id) AS first_id, max(id) AS last_id FROM ev WHERE dl = 'dead' GROUP BY kind, name HAVING count(*) >= 2")
 def collapse_failures(spark, d):
     return messages.collapsed_failures(downloads(spark, d))
 
@@ -341,17 +331,18 @@ def backfill_streak(spark, d):
 
 # --- message lists: conversations ---
 
-MSG = """msg AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 END AS parent, CASE WHEN turn = 0 THEN 'forward' ELSE 'image' END AS kind,
+MSG = """msg AS (SELECT conv_id * 1000000 + turn * 1000 + nth AS id, CASE WHEN turn > 0 THEN conv_id * 1000000 + 1 END AS parent, CASE WHEN turn = 0 THEN 'forward' ELSE 'image' END AS kind,
 CASE role WHEN 'user' THEN 'ok' WHEN 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'busy' ELSE 'none' END ELSE 'dead' END AS dl, turn * 60 + conv_id AS ts, CASE WHEN role = 'user' THEN 1000 + length(text) END AS ok_at, CASE WHEN role = 'system' THEN length(text) END AS dead_at
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS nth FROM conversations) WHERE nth = 1)"""
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS nth FROM conversations))"""
 ORDER = "SELECT id, coalesce(parent, id) AS grp, max(CASE WHEN dl = 'busy' THEN 1 ELSE 0 END) OVER g AS hot, max(ok_at) OVER g AS done_at FROM x WHERE {} WINDOW g AS (PARTITION BY coalesce(parent, id))"
 
 
 def archive(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.*")
-    base, turn, n = F.col("conv_id") * 1000, F.col("turn"), F.char_length("text").cast("long")
+    """All utterances: those of a turn are numbered."""
+    c = _t(spark, d, "conversations").withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    base, turn, n = F.col("conv_id") * 1_000_000, F.col("turn"), F.char_length("text").cast("long")
     dl = F.when(F.col("role") == "user", "ok").when(F.col("role") == "assistant", F.when(turn % 3 == 0, "busy").otherwise("none")).otherwise("dead")
-    return c.select((base + turn).alias("id"), F.when(turn > 0, base).alias("parent"), F.when(turn == 0, "forward").otherwise("image").alias("kind"), dl.alias("dl"), (turn * 60 + F.col("conv_id")).alias("ts"), F.when(F.col("role") == "user", 1000 + n).alias("ok_at"), F.when(F.col("role") == "system", n).alias("dead_at"))
+    return c.select((base + turn * 1000 + F.col("nth")).alias("id"), F.when(turn > 0, base + 1).alias("parent"), F.when(turn == 0, "forward").otherwise("image").alias("kind"), dl.alias("dl"), (turn * 60 + F.col("conv_id")).alias("ts"), F.when(F.col("role") == "user", 1000 + n).alias("ok_at"), F.when(F.col("role") == "system", n).alias("dead_at"))
 
 
 @query(f"WITH {MSG}, x AS (SELECT m.* FROM msg m LEFT JOIN msg p ON m.parent = p.id WHERE (coalesce(p.ts, m.ts) >= 1200 OR m.ok_at >= 1200 OR m.dead_at >= 1200 OR m.dl IN ('busy', 'pending') OR p.dl = 'busy') AND m.kind <> 'forward') SELECT * FROM ({ORDER.format('true')})")
@@ -365,10 +356,11 @@ def history_list(spark, d):
     return messages.history(archive(spark, d), 200).orderBy(*messages.list_order()).select("id", "grp", "hot", "done_at")
 
 
-@query("SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user, max(turn) FILTER (WHERE role = 'assistant') AS last_reply FROM (SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1) GROUP BY conv_id")
+@query("SELECT conv_id, arg_max(text, (turn, text)) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS last_user, max(turn) FILTER (WHERE role = 'assistant') AS last_reply FROM conversations GROUP BY conv_id")
 def log_fold(spark, d):
-    c = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.max("text").alias("text"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    return folds.latest(c, "conv_id", F.col("turn"), {"last_user": F.when(F.col("role") == "user", F.col("text")), "last_reply": F.when(F.col("role") == "assistant", F.col("turn"))})
+    """The last of each kind; of several in one turn the greatest text."""
+    c = _t(spark, d, "conversations")
+    return folds.latest(c, "conv_id", F.struct("turn", "text"), {"last_user": F.when(F.col("role") == "user", F.col("text")), "last_reply": F.when(F.col("role") == "assistant", F.col("turn"))})
 
 
 # --- text ---
@@ -379,14 +371,13 @@ def fts_prefix(spark, d):
     return _t(spark, d, "documents").where(search.prefix_match([F.col("text")], "Eau MENT")).select("doc_id")
 
 
-@query("SELECT conv_id * 1000 + turn AS id, count(*) AS n FROM conversations WHERE contains(lower(text), 'er') GROUP BY 1 ORDER BY id DESC LIMIT 50")
+@query("SELECT conv_id * 1000 + turn AS id, turn AS ts, text FROM conversations WHERE contains(lower(text), 'ern') ORDER BY ts DESC, id DESC, text LIMIT 50")
 def fts_substring(spark, d):
-    c = _t(spark, d, "conversations").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").agg(F.count(F.lit(1)).alias("n"))
-    hits = c.where(F.contains(F.lower("text"), F.lit("er"))).groupBy("id").agg(F.sum("n").alias("n"))
-    return hits.orderBy(F.col("id").desc()).limit(50)
+    c = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("turn").alias("ts"), "text")
+    return search.search_messages(c, "ERN")
 
 
-LINKS = r"raw AS (SELECT page_id AS id, unnest(regexp_extract_all('see ' || url || ', or <' || url || '>. ' || html, 'https?://[A-Za-z0-9\-._~:/?#@!$&*+,;=%()\[\]]+')) AS raw FROM pages), links AS (SELECT id, regexp_replace(replace(raw, '&amp;', '&'), '[.,;:!?)\]]+$', '') AS link FROM raw)"
+LINKS = r"raw AS (SELECT page_id AS id, unnest(regexp_extract_all('see ' || url || ', or <' || url || '>. ' || html, 'https?://[A-Za-z0-9\-._~:/?#@!$&*+,;=%()\[\]]+')) AS raw FROM pages), links AS (SELECT id, rtrim(replace(raw, '&amp;', '&'), '.,;:!?)') AS link FROM raw)"
 
 
 @query(f"WITH {LINKS} SELECT lower(link) AS link_key, min(id) AS first_id, count(*) AS n FROM links GROUP BY 1")
@@ -395,14 +386,6 @@ def link_registry(spark, d):
     return search.link_registry(t).select("link_key", "first_id", "n")
 
 
-@query(f"SELECT event_id, {K} AS k, CASE WHEN {K} >= 50 THEN 'high' WHEN {K} IS NULL THEN 'none' ELSE 'low' END AS part FROM events")
-def segments_explode(spark, d):
-    """Segments of a payload with their kind."""
-    e = _t(spark, d, "events").select("event_id", F.from_json("props", "map<string,long>").alias("m"))
-    k = e.select("event_id", F.explode_outer("m").alias("key", "k"))
-    return k.select("event_id", "k", F.when(F.col("k") >= 50, "high").when(F.col("k").isNull(), "none").otherwise("low").alias("part"))
-
-
 # --- folds over time ---
 
 EVENT_T = f"e AS (SELECT user_id AS key, {T} AS t, event_type FROM events)"

@@ -91,4 +91,5 @@ def justified_layout(spark, d):
 @query(f"SELECT event_id AS id, {MIDNIGHT} - 86400 * 30 AS cutoff FROM events WHERE NOT (event_type = 'purchase' AND floor(epoch(ts)) < {MIDNIGHT} - 86400 * 30)")
 def event_retention(spark, d):
     cutoff = MIDNIGHT - 86400 * 30
-    return _t(spark, d, "events").where(~((F.col("event_type") == "purchase") & (scalars.epoch(F.col("ts")) < cutoff))).select(F.col("event_id").alias("id"), F.lit(cutoff).alias("cutoff"))
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "done").otherwise("new").alias("status"), scalars.epoch(F.col("ts")).alias("received_at"))
+    return upkeep.retained(e, cutoff).select("id", F.lit(cutoff).alias("cutoff"))

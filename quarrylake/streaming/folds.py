@@ -44,26 +44,26 @@ def cooled(alerts: DataFrame, seconds: int) -> DataFrame:
 
 
 def rates(samples: DataFrame) -> DataFrame:
-    """samples: key, t, busy, bytes. Bytes a second at each sample: over eight seconds and more, an early mean from two seconds on,
-    0 after fifteen seconds without progress or below 1."""
+    """samples: key, t, busy, bytes. Bytes a second at each sample: the mean since the window's start, from two seconds on while bytes come in; after eight seconds the window starts anew. 0 at
+    rest, after more than fifteen seconds without progress, and below 1. Fewer bytes than before are a new start."""
 
     def step(state: dict, row: tuple) -> tuple:
         key, t, busy, n = row
-        if not busy or not state or n < state["bytes"]:
-            state.update(t0=t, b0=n, moved=t, bytes=n, rate=0.0)
+        if not busy:
+            state.clear()
             return key, t, 0.0
-        if n > state["bytes"]:
-            state["moved"] = t
-        state["bytes"] = n
-        span = t - state["t0"]
-        if t - state["moved"] > 15:
-            state["rate"] = 0.0
-        elif span >= 8:
-            state["rate"] = (n - state["b0"]) / span
-            state.update(t0=t, b0=n)
-        elif span >= 2 and not state["rate"]:
-            return key, t, max(0.0, (n - state["b0"]) / span)
-        return key, t, state["rate"] if state["rate"] >= 1 else 0.0
+        if not state or n < state["last"]:
+            state.update(t0=t, b0=n, last=n, moved=t, rate=0.0)
+        else:
+            if n > state["last"]:
+                state["moved"] = t
+            state["last"] = n
+            span = t - state["t0"]
+            if span >= 8:
+                state.update(rate=(n - state["b0"]) / span, t0=t, b0=n)
+            elif span >= 2 and n > state["b0"]:
+                state["rate"] = (n - state["b0"]) / span
+        return key, t, 0.0 if t - state["moved"] > 15 or state["rate"] < 1 else state["rate"]
 
     return fold(samples.select("key", "t", "busy", "bytes"), "key", ["t", "bytes"], "key long, t long, rate double", step)
 

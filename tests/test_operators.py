@@ -119,7 +119,7 @@ def test_cooldown_in_batch_and_stream(spark, tmp_path):
 def test_rates(spark):
     rows = [(1, 0, True, 0), (1, 3, True, 3000), (1, 10, True, 10_000), (1, 12, True, 11_000), (1, 30, True, 11_000), (1, 31, False, 11_000)]
     got = [r.rate for r in folds.rates(spark.createDataFrame(rows, "key long, t long, busy boolean, bytes long")).orderBy("t").collect()]
-    assert got == [0.0, 1000.0, 1000.0, 1000.0, 0.0, 0.0]
+    assert got == [0.0, 1000.0, 1000.0, 500.0, 0.0, 0.0]
 
 
 def test_walk(spark, tmp_path):
