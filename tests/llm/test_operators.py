@@ -29,7 +29,9 @@ def fold(doc_id):
 def test_empty_and_all_null_tables(spark, op):
     assert rows_of(op(spark.createDataFrame([], SCHEMA))) == []
     nulls = spark.createDataFrame([(None,) * 13] * 3, SCHEMA)
-    assert len(rows_of(op(nulls))) <= 3
+    # null texts are equal: where copies go, one of the three rows stays; a mix of no words takes none
+    want = {exact_dedup.deduplicated: 1, mixing.mixed: 0}.get(op, 3)
+    assert len(rows_of(op(nulls))) == want
 
 
 def test_exact_dedup(spark):
