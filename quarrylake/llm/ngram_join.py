@@ -8,8 +8,8 @@
    is left of these prefixes is packed and dealt to buckets again; a bucket chains classes that
    share a shingle and whose sizes allow a link: a chain, never all pairs.
 4. Chains give candidate clusters (connected components by star contraction, distributed). Only their texts are shuffled.
-5. Within a cluster the ordered sets stand in a trie. Each set walks it once, sharing the overlap of common paths; a subtree is
-   left when overlap + what remains on both sides cannot reach the bound. Links feed a union-find.
+5. Within a cluster the ordered sets stand in a trie. Sets walk it in blocks, sharing the overlap of common paths; a set leaves a subtree
+   when overlap + what remains on both sides cannot reach the bound. Links unite labels.
    A cluster beyond max_cluster shingles is first thinned: all members are compared with a leader (salted join). Those that link to it
    are one component, and by the triangle inequality of Jaccard distance a member at distance r_m of it can
    link to a non-member at r_f only if r_m >= r_f - 0.25; whoever cannot matter any more leaves, and the rest are clustered anew. Where
@@ -293,67 +293,78 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-class _Node:
-    __slots__ = ("children", "run", "sets", "largest", "smallest")
-
-    def __init__(self, run: list[int]):
-        self.run, self.children, self.sets, self.largest, self.smallest = run, {}, [], 0, 1 << 62
-
-
-def _insert(root: _Node, seq: list[int], at: int) -> None:
-    """Adds the ordered set seq (set number at) to the path-compressed trie."""
-    node, i, n = root, 0, len(seq)
-    while True:
-        node.largest, node.smallest = max(node.largest, n), min(node.smallest, n)
-        if i == n:
-            node.sets.append(at)
-            return
-        child = node.children.get(seq[i])
-        if child is None:
-            leaf = _Node(seq[i:])
-            leaf.largest = leaf.smallest = n
-            leaf.sets.append(at)
-            node.children[seq[i]] = leaf
-            return
-        k, run = 0, child.run
-        while k < len(run) and i + k < n and run[k] == seq[i + k]:
-            k += 1
-        if k < len(run):
-            upper = _Node(run[:k])
-            upper.children[run[k]], child.run = child, run[k:]
-            upper.largest, upper.smallest = child.largest, child.smallest
-            node.children[seq[i]] = upper
-            child = upper
-        node, i = child, i + k
-
-
-def _links(root: _Node, seq: list[int], rank: dict[int, int], same) -> Iterator[int]:
-    """Numbers of the sets in the trie that link with seq. rank: place of each element of seq. A path's overlap is counted once for
-    all sets below it; place: how much of seq is passed. same(node) leaves out a leaf that is linked already."""
-    n = len(seq)
-    stack = [(root, 0, 0, 0)]
-    while stack:
-        node, depth, overlap, place = stack.pop()
-        ok = True
-        # what a pair of sizes n, m needs: overlap >= 75 (n + m) / 175; the smallest m below needs least
-        if DEN * node.largest < NUM * n or DEN * n < NUM * node.smallest:
-            continue
-        least = -(-NUM * (n + max(node.smallest, -(-NUM * n // DEN))) // (DEN + NUM))
-        for x in node.run:
-            depth += 1
-            r = rank.get(x)
-            if r is not None:
-                overlap += 1
-                place = r + 1
-            elif overlap + min(n - place, node.largest - depth) < least:
-                ok = False
-                break
-        if not ok:
-            continue
-        if node.sets and (NUM + DEN) * overlap >= NUM * (n + depth):
-            yield from (k for k in node.sets if not same(k))
-        if overlap + min(n - place, node.largest - depth) >= least:
-            stack += [(c, depth, overlap, place) for c in node.children.values()]
+def _in_tree_order(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The prefix tree of the sets. Its paths are the elements that two sets or more hold, as ranks in the order (in common, number of sets,
+    hash), rare ones first. Returns the order of the sets along the tree's leaves, their paths in that order, and how much of a path its predecessor shares."""
+    every = np.concatenate(sets)
+    h, back, n = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n, (n > 1) & np.isin(h, common)))] = np.arange(len(h))
+    lonely = int((n == 1).sum())
+    ranks = rank[back] - lonely
+    paths = [np.sort(x[x >= 0]) for x in np.split(ranks, np.cumsum([len(s) for s in sets])[:-1])]
+    order = np.array(sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes()))
+    paths = [paths[i] for i in order]
+    shared = np.zeros(len(paths), np.int64)
+    for i, (x, y) in enumerate(zip(paths, paths[1:]), 1):
+        k = min(len(x), len(y))
+        apart = np.flatnonzero(x[:k] != y[:k])
+        shared[i] = apart[0] if len(apart) else k
+    return order, paths, shared
+
+
+def _tree_join(sets: list[np.ndarray], common: np.ndarray, label: np.ndarray, matrix_bytes: int = 64 << 20, step: int = 64) -> None:
+    """Joins all sets and writes the components of their links to label (changed in place). A block of sets walks the tree at once: a node's overlap with each set
+    of the block is counted once for all paths below it, and a set leaves a subtree when overlap + what remains on both sides cannot reach the
+    bound, when the sizes below do not allow a link, or, at a leaf, when both are of one component already. A set looks only at those before it."""
+    order, paths, shared = _in_tree_order(sets, common)
+    sizes = np.array([len(sets[i]) for i in order])
+    lengths = np.array([len(x) for x in paths])
+    label_of = label[order]
+    width = int(max((x[-1] for x in paths if len(x)), default=-1)) + 1
+    block = int(np.clip(matrix_bytes // max(1, width), 8, 512))
+    for low in range(0, len(paths), block):
+        high = min(low + block, len(paths))
+        mine = paths[low:high]
+        column = np.repeat(np.arange(high - low), lengths[low:high])
+        element = np.concatenate(mine)
+        holds = np.zeros((width, high - low), np.uint8)
+        holds[element, column] = 1
+        # a set's place in the order: how many of its elements come up to a rank
+        flat, starts = column * width + element, np.cumsum(lengths[low:high]) - lengths[low:high]
+        n, length = sizes[low:high], lengths[low:high]
+        everyone = np.arange(high - low)
+        stack = [(0, high, 0, everyone, np.zeros(high - low, np.int64))]
+        while stack:
+            first, end, depth, active, overlap = stack.pop()
+            stop = lengths[first] if end - first == 1 else min(lengths[first], int(shared[first + 1 : end].min()))
+            least_size, most_size, longest = sizes[first:end].min(), sizes[first:end].max(), lengths[first:end].max()
+            keep = (active + low > first) & (DEN * most_size >= NUM * n[active]) & (DEN * n[active] >= NUM * least_size)
+            if end - first == 1:
+                keep &= label_of[low + active] != label_of[first]
+            active, overlap = active[keep], overlap[keep]
+            # what a pair of sizes n, m needs: overlap >= 75 (n + m) / 175; the smallest m below needs least
+            least = -(-NUM * (n[active] + np.maximum(least_size, -(-NUM * n[active] // DEN))) // (DEN + NUM))
+            while len(active) and depth < stop:
+                run = paths[first][depth : min(stop, depth + step)]
+                depth += len(run)
+                overlap = overlap + holds[run].sum(0, dtype=np.uint8)[active]
+                passed = np.searchsorted(flat, active * width + run[-1], "right") - starts[active]
+                keep = overlap + np.minimum(length[active] - passed, longest - depth) >= least
+                active, overlap, least = active[keep], overlap[keep], least[keep]
+            if not len(active):
+                continue
+            at = first
+            while at < end and lengths[at] == stop:
+                linked = label_of[low + active[(active + low > at) & ((NUM + DEN) * overlap >= NUM * (n[active] + sizes[at]))]]
+                others = np.unique(linked[linked != label_of[at]])
+                if len(others):
+                    label_of[np.isin(label_of, others)] = label_of[at]
+                at += 1
+            if at < end:
+                cuts = [at, *(at + 1 + np.flatnonzero(shared[at + 1 : end] == stop)).tolist(), end]
+                stack += [(x, y, stop, active, overlap) for x, y in zip(cuts, cuts[1:])]
+    label[order] = label_of
 
 
 def _linked_to(leader: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -369,43 +380,34 @@ def _linked_to(leader: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 
 def join_cluster(sets: list[np.ndarray], common: np.ndarray) -> list[int]:
     """The root (a set's number) of each of the distinct non-empty sets under links. Members near a leader are united with it and set
-    aside as far as the triangle inequality allows; the trie joins the rest."""
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    left = list(range(len(sets)))
+    aside as far as the triangle inequality allows; the tree joins the rest."""
+    label = np.arange(len(sets))
+    left = np.arange(len(sets))
     while len(left) > 16:
-        lead = max(left, key=lambda i: len(sets[i]) if len(left) > 64 else -i)
         group = [sets[i] for i in left]
-        over = _linked_to(sets[lead], group)
         sizes = np.array([len(s) for s in group])
-        union = sizes + len(sets[lead]) - over
+        lead = int(np.argmax(sizes)) if len(left) > 64 else 0
+        over = _linked_to(group[lead], group)
+        union = sizes + sizes[lead] - over
         near = DEN * over >= NUM * union
-        for i in np.array(left)[near]:
-            parent[find(int(i))] = find(lead)
+        label[np.isin(label, label[left[near]])] = label[left[lead]]
         r = 1 - over / union
         far = r[~near]
         # a little slack keeps rounding from setting a pair aside
         needed = ~near | (r >= (far.min() if len(far) else 9.0) - (1 - NUM / DEN) - 1e-9)
-        needed[left.index(lead)] = False
-        kept = [i for i, k in zip(left, needed, strict=True) if k]
-        if near.sum() < 4 and len(kept) > 0.9 * len(left):
-            left = kept
+        needed[lead] = False
+        few = near.sum() < 4 and needed.sum() > 0.9 * len(left)
+        left = left[needed]
+        if few:
             break
-        left = kept
-    seqs = {i: ordered(sets[i], common).tolist() for i in left}
-    root = _Node([])
-    for i in sorted(left, key=lambda i: len(seqs[i])):
-        rank = {x: k for k, x in enumerate(seqs[i])}
-        for k in list(_links(root, seqs[i], rank, lambda k, i=i: find(k) == find(i))):
-            parent[find(k)] = find(i)
-        _insert(root, seqs[i], i)
-    return [find(i) for i in range(len(sets))]
+    if len(left) > 1:
+        # components so far, as labels of those that are left; what the tree unites is then united everywhere
+        found = label[left].copy()
+        _tree_join([sets[i] for i in left], common, found)
+        place = np.arange(len(sets))
+        place[label[left]] = found
+        label = place[label]
+    return label.tolist()
 
 
 def _joined(common: np.ndarray):
