@@ -103,6 +103,32 @@ def test_ngram_join_of_a_large_family(spark):
     assert sorted(got) == brute_components(rows)
 
 
+def test_tree_join_in_blocks_equals_pairs():
+    """Blocks of few sets, short steps along a path, sets that are part of others, sizes far apart, and elements that only one set holds."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        universe = int(rng.integers(4, 300))
+        bases = [rng.integers(0, universe, int(rng.integers(1, 50))) for _ in range(3)]
+        found = {}
+        for _ in range(int(rng.integers(2, 60))):
+            one = bases[int(rng.integers(3))].copy()
+            edited = rng.random(len(one)) < 0.4 * rng.random()
+            one[edited] = rng.integers(0, universe, int(edited.sum()))
+            kept = np.unique(one).astype(np.uint64)
+            found[kept.tobytes()] = kept
+        sets = list(found.values())
+        label = np.arange(len(sets))
+        common = np.sort(rng.choice(universe, universe // 4, replace=False)).astype(np.uint64)
+        ngram_join._tree_join(sets, common, label, matrix_bytes=int(rng.integers(1, 4000)), step=int(rng.integers(1, 65)))
+        wanted = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                k = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                    wanted = [wanted[i] if x == wanted[j] else x for x in wanted]
+        assert all((label[i] == label[j]) == (wanted[i] == wanted[j]) for i in range(len(sets)) for j in range(i))
+
+
 def test_join_cluster_equals_pairs():
     rng = np.random.default_rng(3)
     for _ in range(40):
