@@ -42,6 +42,8 @@ SAMPLE_LEAST = 3
 COMMON_MOST = 1 << 17
 MAX_CLUSTER = 8 << 20
 BROADCAST_ROWS = 1_000_000
+#: A hub has more than a HUBS-th of all edges, and more than HUB_LEAST.
+HUBS, HUB_LEAST = 1024, 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -271,23 +273,33 @@ def _chains(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x.tobytes() for x in a], pa.binary()), "b": pa.array([x.tobytes() for x in b], pa.binary())})
 
 
+def _met(edges: DataFrame, key: str, least: DataFrame, n: int) -> DataFrame:
+    """The edges (a, b) with m, which least (k, m) holds for their column key, else null. Of n edges, fewer than HUBS nodes have more than n / HUBS:
+    these hubs' m is broadcast, so that no task gets all edges of a hub; other nodes meet theirs by shuffle."""
+    hubs = edges.groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(HUB_LEAST, n // HUBS)).select("hub")
+    known = F.broadcast(hubs.join(least, F.col("hub") == F.col("k"), "left").select("hub", "m"))
+    of_hubs = edges.join(known, F.col(key) == F.col("hub")).select("a", "b", "m")
+    rest = edges.join(known, F.col(key) == F.col("hub"), "left_anti")
+    return of_hubs.unionAll(rest.join(least, F.col(key) == F.col("k"), "left").select("a", "b", "m"))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """node and the smallest node of its component, for the edges (a, b). Alternates large-star and small-star steps; each
     round's edges are a table in the shared folder."""
     e = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
+    state, n = None, e.count()
     for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        smaller = e.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("m"))
+        # large star: a node's larger neighbours meet at its smallest neighbour, or at itself where it has no smaller one
+        large = _met(e, "a", smaller, n).select(F.coalesce("m", "a").alias("a"), "b").distinct()
         # small star: a larger node's smaller neighbours meet at the smallest of them
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        least = large.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("m"))
+        small = _met(large, "b", least, n).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         e = stored(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == tuple(now):
             break
-        state = tuple(now)
+        state, n = tuple(now), now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -103,6 +103,24 @@ def test_ngram_join_of_a_large_family(spark):
     assert sorted(got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hub_least", [256, 3])
+def test_components_with_hubs(spark, monkeypatch, hub_least):
+    """Stars whose hub is the smallest, the largest or a middle node and holds over a third of all edges, a path, a cycle, repeated edges, loops, and no edges."""
+    monkeypatch.setattr(ngram_join, "HUB_LEAST", hub_least)
+    stars = [(0, i) for i in range(1, 40)] + [(i, 199) for i in range(100, 150)] + [(75, i) for i in range(60, 90) if i != 75]
+    edges = [*stars, *[(i, i + 1) for i in range(200, 230)], (300, 301), (301, 302), (302, 300), (300, 301), (301, 300), (310, 310), (39, 75)]
+    wanted = {i: i for pair in edges for i in pair if pair[0] != pair[1]}
+    for _ in wanted:
+        for a, b in edges:
+            if a != b:
+                wanted[a] = wanted[b] = min(wanted[a], wanted[b])
+    name = lambda i: i.to_bytes(2, "big")
+    frame_of = lambda rows: spark.createDataFrame([(name(a), name(b)) for a, b in rows], "a binary, b binary")
+    got = [(bytes(r.node), bytes(r.root)) for r in ngram_join.components(frame_of(edges)).collect()]
+    assert sorted(got) == sorted((name(i), name(r)) for i, r in wanted.items())
+    assert ngram_join.components(frame_of([])).count() == 0
+
+
 def test_tree_join_in_blocks_equals_pairs():
     """Blocks of few sets, short steps along a path, sets that are part of others, sizes far apart, and elements that only one set holds."""
     rng = np.random.default_rng(7)
