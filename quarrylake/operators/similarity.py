@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import max_distance, sum_distance
 
 GATE, TEMPLATE_MOST = 7, 48
+#: A key of more than a HUBS-th of all rows, and more than HUB_LEAST, is joined by broadcast.
+HUBS, HUB_LEAST = 1024, 256
 #: Fixed values of the pixel comparison.
 MEAN_MOST, LOUD, LOUD_SHARE = 2.0, 16, 0.10
 
@@ -51,6 +53,17 @@ def close_pairs(sigs: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (distance <= gate) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
 
 
+def met(rows: DataFrame, key: str, found: DataFrame, n: int) -> DataFrame:
+    """rows, at most n, with the column m of found (k, m) for their key, else null. Keys of more than a HUBS-th of n are fewer than HUBS, and are
+    broadcast, so that no task gets all rows of a large one; the rest join by shuffle."""
+    if n <= HUB_LEAST:  # no key can have more
+        return rows.join(found, F.col(key) == F.col("k"), "left").select(*rows.columns, "m")
+    hubs = rows.groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(HUB_LEAST, n // HUBS)).select("hub")
+    known = F.broadcast(hubs.join(found, F.col("hub") == F.col("k"), "left").select("hub", "m"))
+    rest = rows.join(known, F.col(key) == F.col("hub"), "left_anti").join(found, F.col(key) == F.col("k"), "left")
+    return rows.join(known, F.col(key) == F.col("hub")).select(*rows.columns, "m").unionAll(rest.select(*rows.columns, "m"))
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component. Labels spread along edges and then jump to their label's label; each round is
     checkpointed to the shared folder."""
@@ -62,12 +75,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrylake-"))  # all in one process, as in tests
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
-    before = None
+    before, n = None, both.count()
+    named = lambda rows: rows.select(F.col("u").alias("k"), F.col("label").alias("m"))
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label")
+        near = met(both, "v", named(labels), n).select("u", F.col("m").alias("label"))
         spread = near.unionAll(labels).groupBy("u").agg(F.min("label").alias("label"))
-        up = spread.select(F.col("u").alias("__l"), F.col("label").alias("__up"))
-        labels = spread.join(up, F.col("label") == F.col("__l"), "left").select("u", F.least("label", "__up").alias("label")).checkpoint()
+        labels = met(spread, "label", named(spread), n).select("u", F.least("label", "m").alias("label")).checkpoint()
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select(F.col("u").alias("node"), "label")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.functions import display, scalars
@@ -161,3 +162,16 @@ def test_members_of_failures_and_caches(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "cache")).count() == members.count()
     assert [r[0] for r in spark.range(3).select(mutations.restored_is_stale(F.col("id"), F.lit(1))).collect()] == [False, False, True]
     assert display.UNITS[1] == "KB" and chat.GROUP and library.CLOSE
+
+
+@pytest.mark.parametrize("hub_least", [256, 3])
+def test_components_with_hubs(spark, monkeypatch, hub_least):
+    """Stars whose hub is the smallest or the largest node and holds over a third of all edges, a path, a cycle, and repeated edges."""
+    monkeypatch.setattr(similarity, "HUB_LEAST", hub_least)
+    edges = [*[(0, i) for i in range(1, 40)], *[(i, 199) for i in range(100, 150)], *[(i, i + 1) for i in range(200, 212)], (300, 301), (301, 302), (302, 300), (300, 301)]
+    wanted = {i: i for pair in edges for i in pair}
+    for _ in wanted:
+        for a, b in edges:
+            wanted[a] = wanted[b] = min(wanted[a], wanted[b])
+    got = [tuple(r) for r in similarity.components(spark.createDataFrame(edges, "a long, b long")).select("node", "label").collect()]
+    assert sorted(got) == sorted(wanted.items())
