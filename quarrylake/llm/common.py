@@ -48,12 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; a lost executor then costs no recomputation."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts the lineage with a Parquet table in the shared folder; a lost executor then costs no recomputation. The table and where it stands."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return stored_at(df)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that stored_at has written and nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
