@@ -2,9 +2,9 @@
 
 1. Each map task folds its documents into runs (lang, term, source, document, df, n): documents are whole there, so a run's document frequency
    is exact, and a word that every document has leaves a task once for each flush and source.
-2. Runs are dealt by (lang, term, salt), sorted by (lang, term, source, document) and scanned once: equal (lang, term, source) are one run of the
-   scan, whose df and n go out as a partial row. Salts split what a very frequent term has; a sum puts its parts together.
-3. Terms in LEAST_DOCS documents of a language are kept. With the totals of groups and languages each count has its p.
+2. Runs are dealt by (lang, term), sorted by (lang, term, source, document) and scanned once: equal (lang, term, source) are one run of the
+   scan, whose df and n go out as one row at the end of its term, unless the term is in fewer than LEAST_DOCS documents of the language.
+3. With the totals of groups and languages each count has its p.
 4. Pairs: terms are dealt to chunks and sources to blocks; a unit (lang, chunk, block, block) gives for each pair of sources the sum of f over its terms, less
    what these terms would add if neither source had them. That share is added for all V terms at the end, so that absent terms cost nothing.
 5. Terms: a group's terms above their language's p, the first TERM_RANKS by rank.
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from .common import each_released, pieces_of, released, small_batches, stored, table, text_of
 
 LEAST_DOCS, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
-SALTS, BLOCK, CHUNK_TERMS, MOST_CHUNK_TERMS = 64, 512, 1000, 20_000
+BLOCK, CHUNK_TERMS, MOST_CHUNK_TERMS = 512, 1000, 20_000
+PIECE_BYTES, PIECES_A_SALT = 64 << 20, 1 << 14
 #: A task's runs go out when there are so many.
 FLUSH_RUNS = 400_000
 #: Bytes that make no terms become spaces, A-Z become a-z; bytes outside ASCII stay.
 _FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 RUNS = "lang string, term string, source string, document long, df long, n long"
-SCANNED = "lang string, term string, source string, df long, n long"
+SCANNED = "lang string, term string, source string, df long, n long, lang_df long, lang_n long, first boolean"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -72,50 +73,65 @@ def _folded(flush_runs: int = FLUSH_RUNS):
     return folded
 
 
-@released
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition in the order (lang, term, source, document): each run of equal (lang, term, source) as one row. A run may go on in the next batch."""
-    keys = ("lang", "term", "source")
-    last: list | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = np.zeros(b.num_rows, bool)
-        new[0] = True
-        for k in keys:
-            c = b.column(k)
-            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new)
-        runs = [b.column(k).take(pa.array(starts)) for k in keys]
-        df, n = (np.add.reduceat(b.column(k).to_numpy(), starts) for k in ("df", "n"))
-        if last is not None:
-            if [r[0].as_py() for r in runs] == last[:3]:
-                df[0], n[0] = df[0] + last[3], n[0] + last[4]
-            else:
-                yield _rows([last])
-        last = [*(r[-1].as_py() for r in runs), int(df[-1]), int(n[-1])]
-        if len(starts) > 1:
-            yield pa.RecordBatch.from_arrays([*(r.slice(0, len(starts) - 1) for r in runs), pa.array(df[:-1]), pa.array(n[:-1])], [*keys, "df", "n"])
-    if last is not None:
-        yield _rows([last])
-
-
-def _rows(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "term", "source", "df", "n"])
-
-
-def term_counts(docs: DataFrame, flush_runs: int = FLUSH_RUNS, salts: int = SALTS) -> DataFrame:
-    """lang, term, source, df, n of all that occurs; a group has a row of an empty term, with 0 and 0."""
+def _scanned(least_docs: int):
+    @released
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One partition in the order (lang, term, source, document): each run of equal (lang, term, source) as one row, with its term's df and n over all sources, and
+        whether it is the first of its term. Terms below least_docs go. A term's runs, one a source, are held until the term ends."""
+        keys, held = ("lang", "term", "source"), None
+
+        def starts_of(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            for k in names:
+                c = t.column(k)
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)).to_numpy(zero_copy_only=False)
+            return np.flatnonzero(new)
+
+        def reduced(t: pa.Table) -> pa.Table:
+            at = starts_of(t, keys)
+            return pa.table([*(t.column(k).take(pa.array(at)) for k in keys), *(pa.array(np.add.reduceat(t.column(k).to_numpy(), at)) for k in ("df", "n"))], [*keys, "df", "n"])
+
+        def ended(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            at = starts_of(t, ("lang", "term"))
+            df, n = (np.add.reduceat(t.column(k).to_numpy(), at) for k in ("df", "n"))
+            sizes = np.diff(np.append(at, t.num_rows))
+            first = np.zeros(t.num_rows, bool)
+            first[at] = True
+            out = t.append_column("lang_df", pa.array(np.repeat(df, sizes))).append_column("lang_n", pa.array(np.repeat(n, sizes))).append_column("first", pa.array(first))
+            yield from out.filter(pc.or_(pc.greater_equal(out.column("lang_df"), least_docs), pc.equal(out.column("term"), ""))).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b]).select([*keys, "df", "n"])
+                t = reduced(t if held is None else pa.concat_tables([held, t]).combine_chunks())
+                last = int(starts_of(t, ("lang", "term"))[-1])
+                held = t.slice(last).combine_chunks()
+                if last:
+                    yield from ended(t.slice(0, last))
+        if held is not None:
+            yield from ended(held)
+
+    return scanned
+
+
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, flush_runs: int = FLUSH_RUNS, salts: int | None = None) -> DataFrame:
+    """lang, term, source, df, n, lang_df, lang_n and first (one row of each term) of all kept terms that occur; a group has a row of an empty term too. A term leaves a flush once for each
+    of its sources, so only tables of very many partitions need salts; what these part is put together by sums."""
     spark = docs.sparkSession
     small_batches(spark)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(named("lang"), named("source"), F.monotonically_increasing_id().alias("document"), text_of().alias("text"))
     runs = rows.mapInArrow(_folded(flush_runs), RUNS)
-    n_bytes = docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    salt = F.pmod(F.xxhash64("document"), F.lit(salts))
-    dealt = runs.repartition(pieces_of(spark, n_bytes, 64 << 20), "lang", "term", salt).sortWithinPartitions("lang", "term", "source", "document")
-    return dealt.mapInArrow(_scanned, SCANNED).groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    pieces = pieces_of(spark, docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0, PIECE_BYTES)
+    salts = salts or -(-pieces // PIECES_A_SALT)
+    dealt = runs.repartition(pieces, "lang", "term", *([F.pmod(F.xxhash64("document"), F.lit(salts))] if salts > 1 else [])).sortWithinPartitions("lang", "term", "source", "document")
+    found = dealt.mapInArrow(_scanned(least_docs if salts == 1 else 0), SCANNED)
+    if salts == 1:
+        return found
+    parts = found.groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    whole = parts.groupBy("lang", "term").agg(F.sum("df").alias("lang_df"), F.sum("n").alias("lang_n"), F.min("source").alias("least")).where((F.col("lang_df") >= least_docs) | (F.col("term") == ""))
+    return parts.join(whole, ["lang", "term"]).select("lang", "term", "source", "df", "n", "lang_df", "lang_n", (F.col("source") == F.col("least")).alias("first"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -129,47 +145,49 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pair_sums(key, t: pa.Table) -> pa.Table:
-    """One unit: for the sources of block bi against those of block bj the sum over its terms of f(p, q) - f(p0, q0), p0 and q0 being those of an absent term."""
-    lang, _, bi, bj = (k.as_py() for k in key)
-    absent = pc.is_null(t.column("term"))
-    heads, counts = t.filter(absent), t.filter(pc.invert(absent))
-    codes = counts.column("term").combine_chunks().dictionary_encode()
-    n_terms, code = len(codes.dictionary), codes.indices.to_numpy()
-    nth, p = counts.column("nth").to_numpy(), counts.column("p").to_numpy()
-    head_nth, head_p = heads.column("nth").to_numpy(), heads.column("p").to_numpy()
-
-    def side(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mine = head_nth // BLOCK == block
-        order = np.argsort(head_nth[mine])
-        sources, base = head_nth[mine][order], head_p[mine][order]
-        dense = np.broadcast_to(base, (n_terms, len(base))).copy()
-        inside = nth // BLOCK == block
-        dense[code[inside], np.searchsorted(sources, nth[inside])] = p[inside]
-        return sources, base, dense
-
-    gs, g0, gp = side(bi)
-    hs, h0, hp = side(bj)
-    sums = np.zeros((len(gs), len(hs)), np.int64)
-    step = max(1, (4 << 20) // max(1, len(hs)))
-    for low in range(0, n_terms, step):
-        q = hp[low : low + step]
-        for k in range(len(gs)):
-            d = gp[low : low + step, k : k + 1] - q
-            d *= d
-            sums[k] += (d // q).sum(0)
-    off = g0[:, None] - h0[None, :]
-    sums -= n_terms * (off * off // h0)
-    size = len(gs) * len(hs)
-    return pa.table([pa.array([lang] * size, pa.string()), pa.array(np.repeat(gs, len(hs))), pa.array(np.tile(hs, len(gs))), pa.array(sums.ravel())], ["lang", "g", "h", "value"])
-
-
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_RANKS, flush_runs: int = FLUSH_RUNS, salts: int = SALTS, chunk_terms: int = CHUNK_TERMS) -> DataFrame:
+def _pair_sums(block_size: int):
+    def pair_sums(key, t: pa.Table) -> pa.Table:
+        """One unit: for the sources of block bi against those of block bj the sum over its terms of f(p, q) - f(p0, q0), p0 and q0 being those of an absent term."""
+        lang, _, bi, bj = (k.as_py() for k in key)
+        absent = pc.is_null(t.column("term"))
+        heads, counts = t.filter(absent), t.filter(pc.invert(absent))
+        codes = counts.column("term").combine_chunks().dictionary_encode()
+        n_terms, code = len(codes.dictionary), codes.indices.to_numpy()
+        nth, p = counts.column("nth").to_numpy(), counts.column("p").to_numpy()
+        head_nth, head_p = heads.column("nth").to_numpy(), heads.column("p").to_numpy()
+
+        def side(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mine = head_nth // block_size == block
+            order = np.argsort(head_nth[mine])
+            sources, base = head_nth[mine][order], head_p[mine][order]
+            dense = np.broadcast_to(base, (n_terms, len(base))).copy()
+            inside = nth // block_size == block
+            dense[code[inside], np.searchsorted(sources, nth[inside])] = p[inside]
+            return sources, base, dense
+
+        gs, g0, gp = side(bi)
+        hs, h0, hp = side(bj)
+        sums = np.zeros((len(gs), len(hs)), np.int64)
+        step = max(1, (4 << 20) // max(1, len(hs)))
+        for low in range(0, n_terms, step):
+            q = hp[low : low + step]
+            for k in range(len(gs)):
+                d = gp[low : low + step, k : k + 1] - q
+                d *= d
+                sums[k] += (d // q).sum(0)
+        off = g0[:, None] - h0[None, :]
+        sums -= n_terms * (off * off // h0)
+        size = len(gs) * len(hs)
+        return pa.table([pa.array([lang] * size, pa.string()), pa.array(np.repeat(gs, len(hs))), pa.array(np.tile(hs, len(gs))), pa.array(sums.ravel())], ["lang", "g", "h", "value"])
+
+    return pair_sums
+
+
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_RANKS, flush_runs: int = FLUSH_RUNS, salts: int | None = None, chunk_terms: int = CHUNK_TERMS, block_size: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank."""
-    counts = stored(term_counts(docs, flush_runs, salts))
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n")).where(F.col("df") >= least_docs).select("lang", "term", "lang_n")
-    used = stored(counts.where("n > 0").join(kept, ["lang", "term"]).select("lang", "term", "source", "n", "lang_n"))
-    langs = used.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("lang_total"))
+    counts = stored(term_counts(docs, least_docs, flush_runs, salts))
+    used = counts.where("n > 0")
+    langs = used.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # a language's sources are numbered: as many rows as its sources, whose pairs the result has anyway
     line = Window.partitionBy("lang").orderBy("source")
@@ -177,22 +195,22 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_
     known = known.select("lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
     known = known.select("*", (F.row_number().over(line) - 1).cast("long").alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("sources"), share(F.lit(0), F.col("total"), F.col("v")).alias("p0"))
     groups = stored(known)
-    placed = stored(used.join(groups, ["lang", "source"]).select("lang", "term", "source", "lang_n", "v", "lang_total", "nth", "sources", share(F.col("n"), F.col("total"), F.col("v")).alias("p")))
-    return pairs(placed, groups, chunk_terms).unionByName(distinctive(placed, term_ranks))
+    placed = used.join(groups, ["lang", "source"]).select("lang", "term", "source", "lang_n", "v", "lang_total", "nth", "sources", share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
+    return pairs(placed, groups, chunk_terms, block_size).unionByName(distinctive(placed, term_ranks))
 
 
-def pairs(placed: DataFrame, groups: DataFrame, chunk_terms: int = CHUNK_TERMS) -> DataFrame:
+def pairs(placed: DataFrame, groups: DataFrame, chunk_terms: int = CHUNK_TERMS, block_size: int = BLOCK) -> DataFrame:
     """The divergence of each group from each other source of its language. A count goes to the units of its chunk of terms that hold its block of sources, and so do the
-    shares of absent terms; with BLOCK sources or fewer that is one unit a chunk."""
+    shares of absent terms; with block_size sources or fewer that is one unit a chunk."""
     n_chunks = F.ceil(F.col("v") / F.least(F.greatest(F.lit(chunk_terms), F.col("sources")), F.lit(MOST_CHUNK_TERMS))).cast("long")
-    block = F.floor(F.col("nth") / BLOCK).cast("long")
-    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / BLOCK).cast("long"))
+    block = F.floor(F.col("nth") / block_size).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / block_size).cast("long"))
     meets = F.array_distinct(F.concat(F.transform(every, lambda x: F.struct(block.alias("bi"), x.alias("bj"))), F.transform(every, lambda x: F.struct(x.alias("bi"), block.alias("bj")))))
     of_terms = placed.select("lang", F.pmod(F.xxhash64("term"), n_chunks).alias("chunk"), "nth", "term", "p", F.explode(meets).alias("b"))
     heads = groups.where("v > 0").select("lang", "nth", "p0", meets.alias("bs"), F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"))
     heads = heads.select("lang", "chunk", "nth", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode("bs").alias("b"))
     units = of_terms.unionByName(heads).select("lang", "chunk", "b.bi", "b.bj", "nth", "term", "p")
-    sums = units.groupBy("lang", "chunk", "bi", "bj").applyInArrow(each_released(_pair_sums), "lang string, g long, h long, value long").groupBy("lang", "g", "h").agg(F.sum("value").alias("more"))
+    sums = units.groupBy("lang", "chunk", "bi", "bj").applyInArrow(each_released(_pair_sums(block_size)), "lang string, g long, h long, value long").groupBy("lang", "g", "h").agg(F.sum("value").alias("more"))
     g = groups.select("lang", "source", "v", F.col("nth").alias("g"), F.col("p0").alias("g0"))
     h = groups.select("lang", F.col("source").alias("item"), F.col("nth").alias("h"), F.col("p0").alias("h0"))
     both = g.join(h, "lang").where("g <> h").join(sums, ["lang", "g", "h"], "left")
