@@ -18,6 +18,7 @@
 
 Defined results: null or blank text has an empty set, n_shingles 0, links with nothing and is its own component;
 fewer than five words: the whole sequence is the one shingle; a very long text is one set like any other; other columns are not looked at, whatever their names; rows that repeat are equal sets, hence linked;
+rows of one doc_id and different texts are different sets, each judged for itself;
 a row whose doc_id is null takes no part in links and its component_id is null; empty table: empty result.
 Hashes of 64 bits stand for shingles and 128 bits for sets: a false link needs a collision.
 """
@@ -100,7 +101,7 @@ def common_part(s: np.ndarray, common: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(x.as_py()) for x in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], ["doc_id", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], ["doc_id", "digest", "n", "sig"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +440,7 @@ def _joined(common: np.ndarray):
                         yield out()
                     cluster, sigs, sets = c.as_py(), [], []
                 mine = shingle_set(x.as_py())
-                if signature(mine) == s.as_py():  # else it is another row with the same doc_id
+                if signature(mine) == s.as_py():  # else the digests of two texts of one doc_id collide
                     sigs.append(s.as_py())
                     sets.append(mine)
         if len(sets) > 1:
@@ -467,12 +468,30 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["sig", "lead", "r", "near"])
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its digest, which tells apart the texts of one doc_id."""
+    return docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("digest"))
+
+
+def classes(nodes: DataFrame, *more) -> DataFrame:
+    """One row for each set, of nodes (doc_id, digest, n, sig): sig, the row that stands for it (doc_id, digest, and its copies of one id and text), n, its rows, and more aggregates."""
+    each = nodes.where("n > 0 and doc_id is not null").groupBy("sig", "doc_id", "digest").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), *more)
+    kept = [c for c in each.columns if c not in ("sig", "doc_id", "digest", "n", "copies")]
+    found = each.groupBy("sig").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("s"), F.first("n").alias("n"), F.sum("copies").alias("rows"), *[F.first(c, True).alias(c) for c in kept])
+    return found.select("sig", "s.doc_id", "s.digest", "s.copies", "n", "rows", *kept)
+
+
 def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs: int = SAMPLE_DOCS, salts: int = 16) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
+    return linked(docs, max_cluster, sample_docs, salts).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs: int = SAMPLE_DOCS, salts: int = 16) -> DataFrame:
+    """One row for each row of docs: doc_id, digest (of its text), n_shingles, component_id, component_digest (of the text of the component's first row)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", text_of().alias("text"))
-    nodes = stored(rows.mapInArrow(released(_sets), "doc_id long, n long, sig binary"))
+    rows = texts(docs)
+    nodes = stored(rows.mapInArrow(released(_sets), "doc_id long, digest long, n long, sig binary"))
     n_rows, n_shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
     # the order's sample: bounded, and of no effect on which pairs link
     part = min(1.0, sample_docs / max(1, n_rows))
@@ -482,7 +501,7 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
     n_buckets = pieces_of(spark, int(n_shingles or 0) * 8, 12 << 20)
     edges = stored(candidate_edges(rows.where("doc_id is not null"), common, n_buckets))
     # one row stands for each class
-    stand = nodes.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    stand = classes(nodes)
     proven: list[DataFrame] = []
     before = None
     while True:
@@ -497,55 +516,70 @@ def link_components(docs: DataFrame, max_cluster: int = MAX_CLUSTER, sample_docs
             chunk = F.pmod(F.xxhash64("sig", F.lit(3)), k)
             parts = clusters.join(large.select("cluster", "size"), "cluster").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
             pair = F.concat("cluster", F.concat_ws("-", F.least(chunk, "other"), F.greatest(chunk, "other")).cast("binary"))
-            held = held.select("sig", "doc_id", "n", "cluster").unionAll(parts.select("sig", "doc_id", "n", pair.alias("cluster")))
+            held = held.select("sig", "doc_id", "digest", "copies", "n", "cluster").unionAll(parts.select("sig", "doc_id", "digest", "copies", "n", pair.alias("cluster")))
             large, now = large.limit(0), 0
         n_held = clusters.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        proven.append(stored(_with_text(rows, held).repartition(pieces_of(spark, n_held * 16, 12 << 20), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
+        proven.append(stored(with_text(rows, held).repartition(pieces_of(spark, n_held * 16, 12 << 20), "cluster").sortWithinPartitions("cluster").mapInArrow(released(_joined(common)), "a binary, b binary")))
         if not now:
             break
         before = now
         # one distributed round against a leader; leaders are repeated over salts, members dealt to them
-        texts = stored(_with_text(rows, clusters.join(large, "cluster")))
-        members = texts.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)))
-        leaders = texts.where("sig = lead").select("lead", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+        crowd = stored(with_text(rows, clusters.join(large, "cluster")))
+        members = crowd.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)))
+        leaders = crowd.where("sig = lead").select("lead", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         far = stored(members.join(leaders, ["lead", "salt"]).select("sig", "lead", "text", "lead_text").mapInArrow(released(_distances), "sig binary, lead binary, r double, near boolean"))
         proven.append(far.where("near and sig <> lead").select(F.col("sig").alias("a"), F.col("lead").alias("b")))
         least = far.where("not near").groupBy("lead").agg(F.min("r").alias("r_far"))
         rest = far.join(least, "lead").where(~F.col("near") | (F.col("r") >= F.col("r_far") - (1 - NUM / DEN) - 1e-9)).where("sig <> lead").select("sig")
         rest = stored(rest)
         # written, since the places of its rows name them
-        again = stored(_with_text(rows, stand.join(rest, "sig").withColumn("cluster", F.col("sig"))).select("text"))
+        again = stored(with_text(rows, stand.join(rest, "sig")).select("text"))
         edges = stored(candidate_edges(again, common, n_buckets))
     links = proven[0]
     for more in proven[1:]:
         links = links.unionAll(more)
+    return by_row(nodes, stand, links)
+
+
+def by_row(nodes: DataFrame, stand: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of links (a, b: signatures) for each row of nodes."""
     roots = components(links)
-    # from here on one row a class, until classes meet their rows: a join that Spark can split where a class has many rows
-    linked = stored(stand.join(roots, F.col("sig") == F.col("node")).select("sig", "root", "doc_id"))
-    least = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    joined = linked.join(least, "root").select(F.col("sig").alias("__sig"), "component_id")
-    several = stand.join(joined, F.col("sig") == F.col("__sig"), "left").where("rows > 1 or component_id is not null").select(F.col("sig").alias("__sig"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # one row a class, until classes meet their rows: a join that Spark can split where a class has many rows
+    of_class = stored(stand.join(roots, F.col("sig") == F.col("node")).select("sig", "root", "doc_id", "digest"))
+    least = stored(of_class.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")))
+    joined = of_class.join(least, "root").select(F.col("sig").alias("__sig"), "first")
+    several = stand.join(joined, F.col("sig") == F.col("__sig"), "left").where("rows > 1 or first is not null").select(F.col("sig").alias("__sig"), F.coalesce("first", F.struct("doc_id", "digest")).alias("first"))
     out = nodes.join(stored(several), (F.col("sig") == F.col("__sig")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     # the empty set is no class: each such row is its own component
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.digest", "digest").alias("component_digest"))
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that stand for their component (the smallest doc_id), with all columns; rows without a link stay, those
-    with a null doc_id too."""
-    links = link_components(docs, **parameters)
-    gone = links.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    """The rows of docs that stand for their component (the smallest doc_id, then the smallest digest of the text), with all columns. Rows go by doc_id and text, so that of the rows of
+    one doc_id each text is judged for itself; rows of one doc_id and text stay or go together; rows without a link stay, those with a null doc_id too."""
+    links = linked(docs, **parameters)
+    gone = links.where("doc_id <> component_id or digest <> component_digest").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
     # counted: a small table of ids is broadcast, a large one joined by shuffle
     gone = stored(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64(text_of()) == F.col("__digest")), "left_anti")
+
+
+def with_text(rows: DataFrame, wanted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """wanted (doc_id, digest, copies, sig, cluster and more) with one text for each row. Ids are broadcast if they are counted to be few, else joined by shuffle. Where
+    rows of one doc_id and text repeat, one of them is taken."""
+    others = [c for c in wanted.columns if c not in ("doc_id", "digest", "copies", "n", "rows")]
+    ids = wanted.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies"), *others)
+    n, repeated = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("__copies") > 1, 1)), F.lit(0))).first()
 
+    def found(ids: DataFrame, n: int) -> DataFrame:
+        every = rows.where("doc_id is not null").join(F.broadcast(ids) if n <= broadcast_rows else ids, (F.col("doc_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")))
+        return every.select("text", *others)
 
-def _with_text(rows: DataFrame, wanted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """wanted (doc_id, sig, n, ...) with one text for each sig. Ids are broadcast if they are counted to be few, else joined by shuffle."""
-    ids = wanted.select(F.col("doc_id").alias("__id"), "sig", "cluster", *[c for c in wanted.columns if c == "lead"])
-    n = ids.count()
-    found = rows.where("doc_id is not null").join(F.broadcast(ids) if n <= broadcast_rows else ids, F.col("doc_id") == F.col("__id"))
-    return found.drop("__id", "doc_id")
+    if not repeated:
+        return found(ids, n)
+    once = found(ids.where("__copies > 1"), repeated).groupBy(*others).agg(F.first("text").alias("text")).select("text", *others)
+    return found(ids.where("__copies = 1"), n).unionAll(once)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
