@@ -124,9 +124,13 @@ def _packed_block(block: int, docs: list[tuple[int | None, bool, bytes]]) -> tup
     return block, press(head), press(b"".join(t for _, _, t in docs))
 
 
-@released
-def _pack(batches: Iterator[pa.RecordBatch], flush_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+def _pack(n_blocks: int, flush_bytes: int = 64 << 20):
+    return released(lambda batches: _packed(batches, n_blocks, flush_bytes))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], n_blocks: int, flush_bytes: int) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, list] = {}
+    copies: dict[int, int] = {}  # of equal rows the next one goes to the next block
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -135,20 +139,21 @@ def _pack(batches: Iterator[pa.RecordBatch], flush_bytes: int = 64 << 20) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "heads", "texts"])
 
     for b in batches:
-        for block, doc_id, flag, text in zip(b.column("block").to_pylist(), b.column("doc_id").to_pylist(), b.column("flag").to_pylist(), b.column("text").to_pylist(), strict=True):
-            blocks.setdefault(block, []).append((doc_id, flag, text))
-            held += len(text)
+        for deal, doc_id, flag, text in zip(b.column("deal").to_pylist(), b.column("doc_id").to_pylist(), b.column("flag").to_pylist(), b.column("text").to_pylist(), strict=True):
+            nth = copies[deal] = copies.get(deal, -1) + 1
+            blocks.setdefault((deal + nth) % n_blocks, []).append((doc_id, flag, text))
+            held += len(text) + 64
         if held >= flush_bytes:
             yield from flush()
-            blocks, held = {}, 0
+            blocks, copies, held = {}, {}, 0
     yield from flush()
 
 
 def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """Deals documents (doc_id, flag boolean, text binary) to blocks by a hash of the id. Each map task sends its part of a block as one
-    compressed row (block, heads, texts), so that a shuffle of texts is about as small as their files."""
-    at = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", F.col("flag"), F.col("text"))
-    return at.mapInArrow(_pack, "block long, heads binary, texts binary").repartition(n_blocks, "block")
+    """Deals documents (doc_id, flag boolean, text binary) to blocks by a hash of id and text, equal rows in turn, so that no id, and no row that repeats, makes a block larger
+    than others. Each map task sends its part of a block as one compressed row (block, heads, texts), so that a shuffle of texts is about as small as their files."""
+    at = docs.select(F.xxhash64("doc_id", "text").alias("deal"), "doc_id", F.col("flag"), F.col("text"))
+    return at.mapInArrow(_pack(n_blocks), "block long, heads binary, texts binary").repartition(n_blocks, "block")
 
 
 def unpacked(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int | None, bool, bytes]]:

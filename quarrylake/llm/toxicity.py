@@ -10,7 +10,7 @@ Neither labels nor lang, source or doc_id enter a score.
 
 Defined results: null or empty text has no hit and gets the curve's value there (under 0.5); a very long text is read whole, and its hits are weighed against its length; entries that start
 at one place count once, by the heaviest; without usable labels (none, or one class)
-the built-in lexicon alone decides; repeated rows get equal scores; empty table: empty result.
+the built-in lexicon alone decides; repeated rows get equal scores; empty table: empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,9 +99,15 @@ def hits(a: ahocorasick.Automaton | None, text: str) -> tuple[float, float, int]
             best[start] = max(w, best.get(start, 0.0))
         else:
             spared.append((start, end))
-    for s, e in spared:
-        for at in [x for x in best if s <= x < e]:
-            del best[at]
+    if spared and best:
+        # exceptions and hits by place: a hit is spared if an exception that begins by then ends after it
+        spared.sort()
+        reach, k = -1, 0
+        for at in sorted(best):
+            while k < len(spared) and spared[k][0] <= at:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if at < reach:
+                del best[at]
     return sum(best.values()), max(best.values(), default=0.0), len(best)
 
 
