@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, divergence, exact_dedup, license_scan, lm_score, mixing, ngram_join, sentencepiece_codec, suffix_dedup, syncmers, toxicity, vector_codes
+from . import chat_format, divergence, exact_dedup, license_scan, lm_score, minhash, mixing, ngram_join, sentencepiece_codec, suffix_dedup, syncmers, toxicity, vector_codes
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_toxicity, lm_score.op2_lm_score, mixing.op3_mixing, license_scan.op4_license_scan, ngram_join.op5_ngram_join,
         suffix_dedup.op6_suffix_dedup, exact_dedup.op7_exact_dedup, syncmers.op8_syncmers, chat_format.op9_chat_format, sentencepiece_codec.op10_sentencepiece,
-        vector_codes.op12_vector_codes, divergence.op13_divergence,
+        minhash.op11_minhash, vector_codes.op12_vector_codes, divergence.op13_divergence,
     )
 }
 
