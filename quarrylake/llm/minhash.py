@@ -229,7 +229,8 @@ def near_links(rows: DataFrame, stand: DataFrame, miss: float = MISS, salt_rows:
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("mins", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])
     dealt = known.select("h", F.explode(keys).alias("key"))
     shared = lambda at: at.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("h").alias("lead")).where("members > 1")
-    open_ = stored(dealt.join(shared(dealt), "key").select("key", "h", "lead", "members"))
+    # what is counted by key is written before it meets the keys' members, so that Spark can split the join where a key has many
+    open_ = stored(dealt.join(stored(shared(dealt)), "key").select("key", "h", "lead", "members"))
     links, left = [], None
     while True:
         n, most = open_.agg(F.count(F.lit(1)), F.max("members")).first()
@@ -244,9 +245,10 @@ def near_links(rows: DataFrame, stand: DataFrame, miss: float = MISS, salt_rows:
         far = judged.where("not stays").select("h", "lead", (1 - F.col("upper")).alias("r"), F.lit(False).alias("near"))
         judged = far.unionAll(exact.select(F.xxhash64("sig").alias("h"), F.xxhash64("lead_sig").alias("lead"), "r", "near"))
         placed = stored(open_.where("h <> lead").join(judged, ["h", "lead"]).select("key", "h", "r", "near"))
-        nearest = placed.where("not near").groupBy("key").agg(F.min("r").alias("r_far"))
+        nearest = stored(placed.where("not near").groupBy("key").agg(F.min("r").alias("r_far")))
         rest = placed.join(nearest, "key").where(~F.col("near") | (F.col("r") >= F.col("r_far") - (1 - NUM / DEN) - SLACK)).select("key", "h")
-        open_ = stored(rest.join(shared(rest), "key").select("key", "h", "lead", "members"))
+        rest = stored(rest)
+        open_ = stored(rest.join(stored(shared(rest)), "key").select("key", "h", "lead", "members"))
     found = functools.reduce(DataFrame.unionAll, links) if links else spark.createDataFrame([], "a binary, b binary")
     if not n:
         return found
