@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .similarity import shared_checkpoints
 
 #: How many numbers a name may get, how many warnings are named, what counts as a short video.
 MOST_NUMBER, NAMED_WARNINGS, SHORT_SECONDS, SHORT_FRAMES = 999, 3, 5.0, 3
@@ -104,21 +106,59 @@ def taken(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("taken", F.coalesce(other, F.lit(False))).select(*wanted.columns, "taken")
 
 
+def _numbered(path: Column, n: Column) -> Column:
+    """The path itself for 1, else "name (n).ext"."""
+    dot = F.regexp_extract(path, r"(?<=[^\\/])(\.[^.\\/]*)\z", 1)
+    return F.when(n == 1, path).otherwise(F.concat(F.left(path, F.length(path) - F.length(dot)), F.lit(" ("), n.cast("string"), F.lit(")"), dot))
+
+
+def _names_taken(keys: DataFrame) -> DataFrame:
+    """keys: key of a path that is taken, and more. Which number it takes of which name: its own as 1, and of the name that it would be a number of."""
+    part = lambda k: F.regexp_extract("key", r"(?s)^(.*) \(([1-9]\d{0,2})\)((?:\.[^.\\/]*)?)\z", k)
+    of = keys.withColumn("name", F.concat(part(1), part(3))).withColumn("n", part(2).try_cast("int")).where((F.col("n") > 1) & (_numbered(F.col("name"), F.col("n")) == F.col("key")))
+    more = [c for c in keys.columns if c != "key"]
+    return keys.select(F.col("key").alias("name"), F.lit(1).alias("n"), *more).unionAll(of.select("name", "n", *more))
+
+
+def _dealt_numbers(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """One name: those who want it by id, at most MOST_NUMBER rows, each the first number that no file has, nobody before in this list, and nobody with a smaller id elsewhere."""
+    gone: dict[int, int] = {}
+    for n, holder in zip(right["n"], right["holder"], strict=True):
+        gone[n] = min(holder, gone.get(n, holder))
+    ids = sorted(left["id"])
+    out, free = [], list(range(1, MOST_NUMBER + 1))
+    for i in ids:
+        at = next((k for k, n in enumerate(free) if not gone.get(n, i) < i), None)
+        out.append((i, left["name"].iloc[0], None if at is None else free.pop(at)))
+    return pd.DataFrame(out, columns=["id", "name", "n"]).astype({"n": "Int32"})
+
+
 def free_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted: id, path. Each gets its path if that is free, else the first free "name (n).ext" with n from 2 to 999; several that want one path go by id. Null if all are
-    taken."""
+    """wanted: id (one each), path. In the order of ids each gets its path if that is free, else the first free "name (n).ext" with n from 2 to 999; null if all are taken. A path is free if no file has it and
+    nobody before got it, but for case and separators.
+
+    All who want one name deal its numbers among themselves; a path that two names come to goes to the smaller id, and the other name deals anew without it for larger ids. What is once
+    lost stays lost, so rounds go on until no path is there twice."""
+    shared_checkpoints(wanted.sparkSession)
     key = lambda c: F.lower(paths.norm_path(c))
-    dot = F.regexp_extract("path", r"(?<=[^\\/])(\.[^.\\/]*)$", 1)
-    numbered = F.concat(F.expr("left(path, length(path) - length(__dot))"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.col("__dot"))
-    asked = wanted.withColumn("__k", key(F.col("path"))).withColumn("nth", F.row_number().over(Window.partitionBy("__k").orderBy("id")))
-    have = files.select(key(F.col("path")).alias("__c")).distinct()
-    targets = asked.groupBy("__k").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("asked"))
-    hit = targets.join(have, F.col("__k") == F.col("__c"), "left").where((F.col("asked") > 1) | F.col("__c").isNotNull()).drop("__c")
-    tries = hit.withColumn("__dot", dot).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(MOST_NUMBER)))).withColumn("free", F.when(F.col("n") == 1, F.col("path")).otherwise(numbered))
-    free = tries.join(have, key(F.col("free")) == F.col("__c"), "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("__k").orderBy("n")))
-    crowded = hit.select("__k", F.lit(True).alias("__hit"))
-    j = asked.join(crowded, "__k", "left").join(free.select("__k", "nth", "free"), ["__k", "nth"], "left")
-    return j.select("id", "path", F.when(F.col("__hit"), F.col("free")).otherwise(F.col("path")).alias("free_path"))
+    asked = wanted.select("id", "path", key(F.col("path")).alias("name"))
+    # beyond so many of one name nobody gets a number
+    first = asked.withColumn("__nth", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("__nth") <= MOST_NUMBER).select("id", "name").checkpoint()
+    shown = asked.groupBy("name").agg(F.min("path").alias("shown"), F.count(F.lit(1)).alias("asked"))
+    lost = _names_taken(files.select(key(F.col("path")).alias("key")).distinct().withColumn("holder", F.lit(-(1 << 63)).cast("long")))
+    lost = lost.join(shown.select("name"), "name", "left_semi").checkpoint()
+    while True:
+        crowded = shown.where("asked > 1").select("name").unionAll(lost.select("name")).distinct()
+        alone = first.join(crowded, "name", "left_anti").select("id", "name", F.lit(1).alias("n"))
+        many = first.join(crowded, "name", "left_semi").groupBy("name").cogroup(lost.groupBy("name")).applyInPandas(_dealt_numbers, "id long, name string, n int")
+        got = alone.unionAll(many).join(shown, "name").withColumn("free_path", _numbered(F.col("shown"), F.col("n"))).select("id", "name", "n", "free_path", key(F.col("free_path")).alias("key")).checkpoint()
+        winner = got.where("n is not null").groupBy("key").agg(F.min("id").alias("holder"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "holder")
+        more = got.join(winner, "key").where("id <> holder").select("name", "n", "holder").checkpoint()
+        if not more.limit(1).count():
+            break
+        lost = lost.unionAll(more).checkpoint()
+    # a path of its own keeps its letters
+    return asked.join(got.select("id", "n", "free_path"), "id", "left").select("id", "path", F.when(F.col("n") == 1, F.col("path")).otherwise(F.col("free_path")).alias("free_path"))
 
 
 def short_videos(videos: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +67,17 @@ def gap_backfill(history: DataFrame, archive: DataFrame, down_since: int, now: i
     return unknown_messages(history.where(F.col("ts") >= down_since - LEAD_IN).join(active, ["scope", "peer_id"], "left_semi"), archive)
 
 
-def backed_off(attempts: DataFrame) -> DataFrame:
-    """attempts: key, t, failed. Those that are made: after k failures in a row a key waits min(30 k, 600) seconds; a success starts anew. With waits that grow by the
-    number of failures, what is skipped depends on what was tried before: a fold."""
-    from ..streaming.folds import fold
+def backed_off(attempts: DataFrame, rows_a_piece: int | None = None) -> DataFrame:
+    """attempts: key, t, failed. Those that are made: after k failures in a row a key waits min(30 k, 600) seconds; a success starts anew. Which attempt is next depends on the one made
+    and on the failures so far, as far as they change the wait: a chain of jumps with that many states."""
+    from ..streaming import jumps
 
-    def step(state: dict, row: tuple) -> tuple | None:
-        key, t, failed = row
-        if state.get("fails") and t - state["last"] < min(WATCH_STEP * state["fails"], WATCH_MOST):
-            return None
-        state.update(last=t, fails=state.get("fails", 0) + 1 if failed else 0)
-        return key, t, failed
-
-    return fold(attempts.select("key", "t", "failed"), "key", ["t"], "key long, t long, failed boolean", step)
+    most = WATCH_MOST // WATCH_STEP
+    failed = lambda rows: rows["failed"].fillna(False).to_numpy(bool)
+    fails = lambda rows, so_far: np.where(failed(rows), min(so_far + 1, most), 0)
+    chain = jumps.Chain(lambda rows: rows["t"].to_numpy(), lambda rows, s: rows["t"].to_numpy() + WATCH_STEP * fails(rows, s), fails, most + 1)
+    made = lambda _, rows, at, *__: rows.iloc[at][["key", "t", "failed"]]
+    return jumps.taken(attempts.select("key", "t", "failed"), ["key"], ["t", "failed"], chain, made, "key long, t long, failed boolean", rows_a_piece or jumps.ROWS_A_PIECE)
 
 
 def heal_due(quiet_for: Column, since_last: Column) -> Column:

@@ -42,9 +42,11 @@ def link_rows(messages: DataFrame, magnets: bool = False) -> DataFrame:
     pattern = MAGNET if magnets else URL
     # a line with links falls into what stands before each link and the link
     lines = messages.select("*", F.posexplode(F.split("text", "\n")).alias("__line", "line"))
-    found = lines.select("*", F.posexplode(F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).alias("__at", "raw"))
-    # what stands before a link: the line up to its place among the line's links
-    before = F.expr("substring_index(line, raw, 1)")
+    found = lines.withColumn("__links", F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).select("*", F.posexplode("__links").alias("__at", "raw"))
+    # what stands before a link: the line up to it, as long as what the pattern parts and the links before it
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    at = length(F.slice(F.split("line", pattern), F.lit(1), F.col("__at") + 1)) + length(F.slice("__links", F.lit(1), F.col("__at")))
+    before = F.left(F.col("line"), at)
     head = F.regexp_replace(F.regexp_replace(before, r"^[ ：:\x{3000}\t]+|[ ：:\x{3000}\t]+$", ""), FORWARD_PREFIX, "")
     link = F.col("raw") if magnets else normal_url(F.col("raw"))
     when = F.timestamp_seconds("ts")

@@ -1,16 +1,21 @@
 """Perceptual-hash similarity: id, created_at, phash, dhash (64-bit patterns as bigint).
 
 Rows that share both hashes stand for one another before anything is joined, so a group of copies, however large, is one node.
-Two rows within gate g of each other in both hashes agree in one of g + 1 bands of each; the join is on a pair of bands."""
+Two hashes within gate g of each other differ by at most g // m bits in one of m bands. The join is on bands of one hash or of both, one side asking for
+all variants of a band within that radius; how many bands, and how wide, follows from the number of rows."""
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import max_distance, sum_distance
@@ -32,25 +37,103 @@ def representatives(sigs: DataFrame) -> DataFrame:
     return sigs.where("phash is not null and dhash is not null").groupBy("phash", "dhash").agg(F.min("id").alias("id"))
 
 
-def first_equal_band(difference: Column, n: int, bits: int) -> Column:
-    """The number of the first band in which no bit differs."""
-    out = F.when(band(difference, 0, n, bits) == 0, 0)
-    for i in range(1, n):
-        out = out.when(band(difference, i, n, bits) == 0, i)
+class Bands(NamedTuple):
+    """n bands of a hash (0: it is not in the key), of which one differs by at most radius bits."""
+
+    n: int
+    radius: int
+
+    def widths(self, bits: int) -> list[int]:
+        return [bits * (i + 1) // self.n - bits * i // self.n for i in range(self.n)]
+
+    def variants(self, width: int) -> int:
+        return sum(math.comb(width, k) for k in range(self.radius + 1))
+
+
+class KeyPlan(NamedTuple):
+    """Bands of both hashes; keys a row has on the side that varies the first hash and on the other one; the share of all pairs that meet by chance."""
+
+    p: Bands
+    d: Bands
+    keys: tuple[int, int]
+    met: float
+
+
+#: What a key of a row costs, in candidates; keys a row may have; differing bits that a band may have.
+KEY_COST, KEYS_MOST, RADIUS_MOST = 20, 700, 2
+
+
+def key_plan(rows: int, gate: int, bits: int) -> KeyPlan:
+    """The plan that makes the least of keys and candidates for so many rows of even hashes: few keys for few rows, wide ones for many, so that candidates do not grow with the square of the rows.
+    Any plan finds all pairs."""
+    options = [Bands(n, r) for r in range(RADIUS_MOST + 1) if (n := -(-(gate + 1) // (r + 1))) <= bits]
+    plans = []
+    for p in options or [Bands(0, 0)]:
+        for d in [Bands(0, 0), *options]:
+            wp, wd = p.widths(bits) if p.n else [0], d.widths(bits) if d.n else [0]
+            vp, vd = (sum(x.variants(w) for w in ws) if x.n else 1 for x, ws in ((p, wp), (d, wd)))
+            share = lambda x, ws: sum(x.variants(w) / 2**w for w in ws) if x.n else 1.0
+            plans.append(KeyPlan(p, d, (vp * len(wd), len(wp) * vd), share(p, wp) * share(d, wd)))
+    cost = lambda x: KEY_COST * rows * sum(x.keys) + rows * rows / 2 * x.met
+    return min((x for x in plans if sum(x.keys) <= KEYS_MOST or not options), key=cost)
+
+
+def _keys(plan: KeyPlan, bits: int, varied: str) -> Column:
+    """The places of a row's keys: of each pair of bands where they begin, how long they are and which bits of the varied hash are turned."""
+    cuts = lambda b: [(bits * i // b.n, w) for i, w in enumerate(b.widths(bits))] if b.n else [(0, 0)]
+    turned = lambda b, w: [sum(1 << x for x in c) for k in range(b.radius + 1) for c in itertools.combinations(range(w), k)] if b.n else [0]
+    out = []
+    for i, (plo, pw) in enumerate(cuts(plan.p)):
+        for j, (dlo, dw) in enumerate(cuts(plan.d)):
+            for x in turned(plan.p, pw) if varied == "phash" else turned(plan.d, dw):
+                out.append({"pi": i, "di": j, "plo": plo, "pk": (1 << pw) - 1, "dlo": dlo, "dk": (1 << dw) - 1, "px": x if varied == "phash" else 0, "dx": x if varied == "dhash" else 0})
+    return F.from_json(F.lit(json.dumps(out)), "array<struct<pi:int,di:int,plo:int,pk:bigint,dlo:int,dk:bigint,px:bigint,dx:bigint>>")
+
+
+def first_close_band(difference: Column, bands: Bands, bits: int) -> Column:
+    """The number of the first band in which at most radius bits differ; 0 without bands."""
+    if not bands.n:
+        return F.lit(0)
+    close = lambda i: F.bit_count(band(difference, i, bands.n, bits)) <= bands.radius
+    out = F.when(close(0), 0)
+    for i in range(1, bands.n):
+        out = out.when(close(i), i)
     return out
 
 
-def close_pairs(sigs: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
-    """a < b, distance (the larger of both hashes'), for all pairs of different ids within the gate. Of the keys that two rows share only the first gives the pair, so that
-    nothing has to be made distinct."""
-    n = gate + 1
-    keys = F.array(*[F.struct(F.lit(i * n + j).alias("at"), (F.lit((i * n + j) << 40) + F.shiftleft(band(F.col("phash"), i, n, bits), 20) + band(F.col("dhash"), j, n, bits)).alias("k")) for i in range(n) for j in range(n)])
-    keyed = sigs.where("phash is not null and dhash is not null").select("id", "phash", "dhash", F.explode(keys).alias("k")).select("id", "phash", "dhash", "k.*")
-    a, b = keyed.alias("a"), keyed.alias("b")
+def close_candidates(sigs: DataFrame, gate: int = GATE, bits: int = 64, plan: KeyPlan | None = None) -> DataFrame:
+    """Pairs (a, b: rows of id, phash, dhash) that meet in a key, a.id < b.id, once for each key."""
+    known = sigs.where("phash is not null and dhash is not null").select("id", "phash", "dhash")
+    plan = plan or key_plan(known.count(), gate, bits)
+
+    def side(varied: str) -> DataFrame:
+        at = known.select("*", F.explode(_keys(plan, bits, varied)).alias("k"))
+        part = lambda h: F.expr(f"(shiftrightunsigned({h}hash, k.{h}lo) & k.{h}k) ^ k.{h}x").alias(f"k{h}")
+        return at.select("id", "phash", "dhash", "k.pi", "k.di", part("p"), part("d"))
+
+    a, b = side("phash").alias("a"), side("dhash").alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("pi", "di", "kp", "kd")]
+    return a.join(b, same[0] & same[1] & same[2] & same[3] & (F.col("a.id") < F.col("b.id")))
+
+
+def close_pairs(sigs: DataFrame, gate: int = GATE, bits: int = 64, plan: KeyPlan | None = None) -> DataFrame:
+    """a < b, distance (the larger of both hashes'), for all pairs of different ids within the gate. Of the keys in which two rows meet only that of the first close bands gives the pair, so
+    that nothing has to be made distinct."""
+    plan = plan or key_plan(sigs.where("phash is not null and dhash is not null").count(), gate, bits)
     p, d = F.col("a.phash").bitwiseXOR(F.col("b.phash")), F.col("a.dhash").bitwiseXOR(F.col("b.dhash"))
     distance = F.greatest(F.bit_count(p), F.bit_count(d))
-    first = F.col("a.at") == first_equal_band(p, n, bits) * n + first_equal_band(d, n, bits)
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (distance <= gate) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
+    first = (F.col("a.pi") == first_close_band(p, plan.p, bits)) & (F.col("a.di") == first_close_band(d, plan.d, bits))
+    return close_candidates(sigs, gate, bits, plan).where((distance <= gate) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """checkpoint() needs the folder that driver and executors share."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrylake-"))  # all in one process, as in tests
 
 
 def met(rows: DataFrame, key: str, found: DataFrame, n: int) -> DataFrame:
@@ -67,12 +150,7 @@ def met(rows: DataFrame, key: str, found: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component. Labels spread along edges and then jump to their label's label; each round is
     checkpointed to the shared folder."""
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrylake-"))  # all in one process, as in tests
+    shared_checkpoints(edges.sparkSession)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
     before, n = None, both.count()
@@ -138,38 +216,76 @@ def verified_duplicates(images: DataFrame, gate: int = GATE, bits: int = 64) ->
 
 def frame_groups(videos: DataFrame, gate: int, bits: int = 64, slots: tuple[str, ...] = ("anchor", "mid", "tail")) -> DataFrame:
     """videos: id, created_at and for each slot {slot}_p and {slot}_d. Videos whose anchors are close are candidates; in the order of creation the first one left leads all left
-    whose every slot is close to its: id, leader, of groups of two and more. Close pairs are joined, distributed; leaders are settled in rounds, one for each link of the longest chain."""
-    pairs = close_pairs(videos.select("id", F.col(f"{slots[0]}_p").alias("phash"), F.col(f"{slots[0]}_d").alias("dhash")), gate, bits).select("a", "b")
-    side = lambda k: videos.select(F.col("id").alias(k), "created_at", *[F.col(f"{s}_{h}") for s in slots for h in "pd"]).alias(k)
-    j = pairs.join(side("a").withColumnsRenamed({f"{s}_{h}": f"a_{s}_{h}" for s in slots for h in "pd"} | {"created_at": "a_at"}), "a").join(side("b").withColumnRenamed("created_at", "b_at"), "b")
+    whose every slot is close to its: id, leader, of groups of two and more. Videos that share all hashes are one: whatever leads the first of them leads the others."""
+    hashes = [f"{s}_{h}" for s in slots for h in "pd"]
+    whole = videos.where(" and ".join(f"{h} is not null" for h in hashes))
+    firsts = whole.groupBy(*hashes).agg(F.min(F.struct("created_at", "id")).alias("k")).select("k.created_at", "k.id", *hashes)
+    pairs = close_pairs(firsts.select("id", F.col(f"{slots[0]}_p").alias("phash"), F.col(f"{slots[0]}_d").alias("dhash")), gate, bits).select("a", "b")
+    side = lambda k: firsts.select(F.col("id").alias(k), "created_at", *hashes).alias(k)
+    j = pairs.join(side("a").withColumnsRenamed({h: f"a_{h}" for h in hashes} | {"created_at": "a_at"}), "a").join(side("b").withColumnRenamed("created_at", "b_at"), "b")
     for s in slots[1:]:
         j = j.where(max_distance(F.col(f"a_{s}_p"), F.col(f"a_{s}_d"), F.col(f"{s}_p"), F.col(f"{s}_d")) <= gate)
     earlier = F.struct("a_at", "a") < F.struct("b_at", "b")
     links = j.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("then"), F.least(F.struct(F.col("a_at").alias("t"), F.col("a").alias("i")), F.struct(F.col("b_at").alias("t"), F.col("b").alias("i"))).alias("order"))
-    return led(links)
+    of_first = firsts.select(F.col("id").alias("rep"), *hashes).join(leaders(links).withColumnRenamed("id", "rep"), "rep", "left").select(F.coalesce("leader", "rep").alias("leader"), *hashes)
+    return in_company(whole.join(of_first, hashes).select("id", "leader"))
+
+
+def in_company(led: DataFrame) -> DataFrame:
+    """id, leader: those of groups of two and more."""
+    groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("leader").alias("__l"))
+    return led.join(groups, F.col("leader") == F.col("__l"), "left_semi")
+
+
+def led(links: DataFrame) -> DataFrame:
+    """The leaders of links, of groups of two and more."""
+    return in_company(leaders(links))
 
 
-def led(links: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """links: first, then, order (of first). Greedy leaders: a row leads if no earlier neighbour leads; else it follows the earliest that does. A round settles all rows whose earlier neighbours are
-    settled; each is checkpointed."""
+#: Rounds that settle most graphs before chains are contracted.
+PLAIN_ROUNDS = 3
+
+
+def leaders(links: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
+    """links: first, then, order (of first). Greedy leaders of all rows that links name: a row leads if no earlier neighbour leads; else it follows the earliest that does.
+
+    A row leads if none of its literals holds; at first these are its earlier neighbours. A round puts in what is known, and settles rows of which one literal holds or none is left.
+    A row with one open literal equals it or its contrary, so it is a pointer with a sign; pointers double until they end at rows that are no pointers, which halves chains instead of taking a
+    link a round, and literals are replaced by where they point. A row that waits for another and for its contrary does not lead. The first open row is
+    settled in each round, so rounds go on until none is open: nothing is capped. Chains in which each row waits for one are done in log n rounds; where rows wait for several, a
+    round may settle no more than the first few of each chain."""
+    shared_checkpoints(links.sparkSession)
     links = links.checkpoint()
-    nodes = links.select(F.col("first").alias("id")).unionAll(links.select(F.col("then").alias("id"))).distinct()
-    state = nodes.join(links.select(F.col("then").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")).checkpoint()
-    n, before = nodes.count(), -1
-    for _ in range(most_rounds):
-        now = state.count()
-        if now == n:
-            break
-        if now == before:
-            raise RuntimeError("leaders did not settle")
-        before = now
-        known = state.select(F.col("id").alias("first"), (F.col("leader") == F.col("id")).alias("leads"))
-        seen = links.join(known, "first", "left").groupBy("then").agg(F.count_if(F.col("leads").isNull()).alias("open"), F.min(F.when(F.col("leads"), F.struct("order", "first"))).alias("lead"), F.min(F.when(F.col("leads").isNull(), F.col("order"))).alias("open_order"))
-        # a leader that comes before all open neighbours decides as well
-        ready = seen.where("open = 0 or lead.order < open_order").select(F.col("then").alias("id"), F.coalesce("lead.first", "then").alias("leader"))
-        state = state.unionAll(ready.join(state.select("id"), "id", "left_anti")).checkpoint()
-    groups = state.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("leader").alias("__l"))
-    return state.join(groups, F.col("leader") == F.col("__l"), "left_semi")
+    wait = links.select(F.col("then").alias("v"), F.col("first").alias("u"), F.lit(False).alias("s")).distinct().checkpoint()
+    known = links.select(F.col("first").alias("v")).distinct().join(wait.select("v").distinct(), "v", "left_anti").select("v", F.lit(True).alias("leads")).checkpoint()
+    n, rounds = wait.count(), 0
+    while n:
+        now = met(wait, "u", known.select(F.col("v").alias("k"), F.col("leads").alias("m")), n)
+        seen = now.groupBy("v").agg(F.max(F.coalesce(F.col("m") != F.col("s"), F.lit(False))).alias("holds"), F.count_if(F.col("m").isNull()).alias("open"))
+        settled = seen.where("holds or open = 0").select("v", (~F.col("holds")).alias("leads")).checkpoint()
+        known = known.unionAll(settled).checkpoint()
+        wait = now.where("m is null").select("v", "u", "s").join(settled.select("v"), "v", "left_anti").checkpoint()
+        n, rounds = wait.count(), rounds + 1
+        if not n or rounds < plain_rounds:
+            continue
+        # a row with one literal (u, s) leads unless u differs from s: it is u turned by not s
+        one = wait.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.first("u").alias("u"), (~F.first("s")).alias("t")).where("n = 1").select("v", "u", "t").checkpoint()
+        if not one.limit(1).count():
+            continue
+        while True:
+            hop = met(one, "u", one.select(F.col("v").alias("k"), F.struct("u", "t").alias("m")), n).checkpoint()
+            if not hop.where("m is not null").limit(1).count():
+                break
+            one = hop.select("v", F.coalesce("m.u", "u").alias("u"), (F.col("t") != F.coalesce("m.t", F.lit(False))).alias("t")).checkpoint()
+        put = met(wait.join(one.select("v"), "v", "left_anti"), "u", one.select(F.col("v").alias("k"), F.struct("u", "t").alias("m")), n)
+        put = put.select("v", F.coalesce("m.u", "u").alias("u"), (F.col("s") != F.coalesce("m.t", F.lit(False))).alias("s")).distinct()
+        both = put.groupBy("v", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v").distinct().checkpoint()
+        known = known.unionAll(both.select("v", F.lit(False).alias("leads"))).checkpoint()
+        wait = put.join(both, "v", "left_anti").unionAll(one.select("v", "u", (~F.col("t")).alias("s"))).checkpoint()
+        n = wait.count()
+    lead = known.where("leads").select(F.col("v").alias("first"))
+    follow = links.join(lead, "first").join(lead.withColumnRenamed("first", "then"), "then", "left_anti").groupBy("then").agg(F.min(F.struct("order", "first")).alias("m"))
+    return lead.select(F.col("first").alias("id"), F.col("first").alias("leader")).unionAll(follow.select(F.col("then").alias("id"), F.col("m.first").alias("leader")))
 
 
 def group_totals(groups: DataFrame) -> DataFrame:
@@ -196,39 +312,80 @@ def pixels_close(a: bytes | None, b: bytes | None) -> bool:
     return mean <= MEAN_MOST and loud <= LOUD_SHARE
 
 
-def greedy_groups(members: DataFrame) -> DataFrame:
+#: Projections of a grid; each moves by at most as much as the grid's mean difference, so grids that are close lie in cells that touch.
+PROJECTIONS = 3
+#: Rounds in which the first rows of their surroundings lead and take what is close, before links of the rows left are made.
+THIN_ROUNDS = 3
+_PLACE = ["pool", "size", *[f"c{k}" for k in range(PROJECTIONS)]]
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size and the cells of each grid: its sum, and its sum with the sign turned by halves, by quarters and so on, in steps of twice the size, the greatest total difference of close grids."""
+    signs: dict[int, np.ndarray] = {}
+    for b in batches:
+        sizes, cells = [], []
+        for x in b.column("pixels"):
+            grid = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
+            n = len(grid)
+            if n not in signs:
+                part = np.arange(n) * (1 << PROJECTIONS) // n
+                signs[n] = np.stack([np.ones(n, np.int64), *[1 - 2 * (part >> (PROJECTIONS - k) & 1) for k in range(1, PROJECTIONS)]])
+            sizes.append(n)
+            cells.append(signs[n] @ grid // int(MEAN_MOST * n))
+        made = [pa.array(sizes, pa.int64()), *[pa.array([int(c[k]) for c in cells], pa.int64()) for k in range(PROJECTIONS)]]
+        yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *_PLACE[1:]])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        close = [pixels_close(x.as_py(), y.as_py()) for x, y in zip(b.column("a_pixels"), b.column("b_pixels"), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+
+def _touching(rows: DataFrame) -> DataFrame:
+    """rows, once for each cell that touches theirs."""
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=PROJECTIONS)]
+    at = rows.withColumn("__s", F.explode(F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")))
+    return at.withColumns({f"c{k}": F.col(f"c{k}") + F.col("__s")[k] for k in range(PROJECTIONS)}).drop("__s")
+
+
+def _close_to(leads: DataFrame, rows: DataFrame, grids: DataFrame) -> DataFrame:
+    """Pairs (a, b) of leads and later rows (pool, id, created_at and cells) that are close."""
+    a = _touching(leads.select(F.col("id").alias("a"), F.col("created_at").alias("a_at"), *_PLACE))
+    pairs = a.join(rows.select(F.col("id").alias("b"), F.col("created_at").alias("b_at"), *_PLACE), _PLACE).where(F.struct("a_at", "a") < F.struct("b_at", "b")).select("a", "b")
+    grid = lambda k: grids.select(F.col("id").alias(k), F.col("pixels").alias(f"{k}_pixels"))
+    return pairs.join(grid("a"), "a").join(grid("b"), "b").select("a", "b", "a_pixels", "b_pixels").mapInArrow(_compared, pairs.schema)
+
+
+def greedy_groups(members: DataFrame, thin_rounds: int = THIN_ROUNDS) -> DataFrame:
     """members: pool, id, created_at, pixels. In the order of creation the first row left leads a group and takes all rows left that are
     close to it; so similarity is not handed on. id, pool, leader of groups of two and more.
 
-    Rows stream through a sorted partition: what is held is the leaders of one pool, each row joins the first leader that it is close to."""
-
-    def led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, leaders, grids, held = None, {}, {}, {}
-        for b in batches:
-            out = []
-            for p, i, px in zip(b["pool"], b["id"], b["pixels"], strict=True):
-                if p != pool:
-                    pool, leaders, grids, held = p, {}, {}, {}
-                px = px or b""
-                size = len(px)
-                lead = None
-                if size:
-                    mine = np.frombuffer(px, np.uint8).astype(np.int16)
-                    n = held.get(size, 0)
-                    if n:
-                        gap = np.abs(grids[size][:n] - mine)
-                        close = np.flatnonzero((gap.mean(axis=1) <= MEAN_MOST) & ((gap > LOUD).mean(axis=1) <= LOUD_SHARE))
-                        lead = leaders[size, int(close[0])] if len(close) else None
-                    if lead is None:
-                        if n == 0:
-                            grids[size] = np.empty((64, size), np.int16)
-                        elif n == len(grids[size]):
-                            grids[size] = np.concatenate([grids[size], np.empty_like(grids[size])])
-                        grids[size][n], held[size] = mine, n + 1
-                        leaders[size, n] = i
-                out.append((i, p, i if lead is None else lead))
-            yield pd.DataFrame(out, columns=["id", "pool", "leader"])
-
-    ordered = members.repartition("pool").sortWithinPartitions("pool", "created_at", "id").select("pool", "id", "pixels")
-    made = ordered.mapInPandas(led, "id long, pool long, leader long")
-    return made.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pool", "leader"))).where("n > 1").drop("n")
+    Equal grids of a pool are one row. Grids are placed in cells by projections that differ by no more than the grids do on average, so that a row can be close only to rows of the cells
+    that touch its own. A row that is the first left in its surroundings leads, and takes what is close, which leaves little of a crowd of near copies; after thin_rounds such rounds close rows of
+    those left are linked and leaders() settles them. At the end each row meets the leaders around it and follows the first that is close. So a pool that holds a third of all rows is
+    as many tasks' work as others."""
+    shared_checkpoints(members.sparkSession)
+    order = F.struct("created_at", "id")
+    own = members.where("pixels is not null and length(pixels) > 0").select("pool", "id", "created_at", "pixels")
+    firsts = own.groupBy("pool", "pixels").agg(F.min(order).alias("k")).select("pool", "pixels", "k.created_at", "k.id")
+    added = "".join(f", {c} long" for c in _PLACE[1:])
+    rows = firsts.mapInArrow(_placed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in firsts.schema) + added).checkpoint()
+    grids, left = rows.select("id", "pixels"), rows.drop("pixels")
+    every, lead = left, left.limit(0)
+    for _ in range(thin_rounds):
+        around = _touching(left.groupBy(*_PLACE).agg(F.min(order).alias("f"))).groupBy(*_PLACE).agg(F.min("f").alias("f"))
+        new = left.join(around, _PLACE).where(order == F.col("f")).drop("f").select(*left.columns).checkpoint()
+        taken = _close_to(new, left, grids).select(F.col("b").alias("id")).unionAll(new.select("id")).distinct()
+        left, lead = left.join(taken, "id", "left_anti").select(*every.columns).checkpoint(), lead.unionAll(new)
+        if not left.limit(1).count():
+            break
+    links = _close_to(left, left, grids).checkpoint()
+    at = left.select(F.col("id").alias("a"), order.alias("order"))
+    led_rows = leaders(links.join(at, "a").select(F.col("a").alias("first"), F.col("b").alias("then"), "order"))
+    followers = led_rows.where("id <> leader").select("id")
+    lead = lead.unionAll(left.join(followers, "id", "left_anti").select(*every.columns)).checkpoint()
+    follow = _close_to(lead, every.join(lead.select("id"), "id", "left_anti").select(*every.columns), grids)
+    follow = follow.join(lead.select(F.col("id").alias("a"), order.alias("order")), "a").groupBy("b").agg(F.min("order").alias("m")).select(F.col("b").alias("rep"), F.col("m.id").alias("leader"))
+    of_first = rows.select("pool", "pixels", F.col("id").alias("rep")).join(follow, "rep", "left").select("pool", "pixels", F.coalesce("leader", "rep").alias("leader"))
+    return in_company(own.join(of_first, ["pool", "pixels"]).select("id", "pool", "leader"))

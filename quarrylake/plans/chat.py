@@ -117,7 +117,8 @@ TEXTS = r"texts AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'group'
 
 def link_texts(spark: SparkSession, d: str) -> DataFrame:
     i, p = F.col("page_id"), _t(spark, d, "pages")
-    text = F.concat(F.lit("first line\nann(12:00:01): see ： "), F.when(i % 3 > 0, F.col("url")).otherwise("magnet"), F.lit("。 and more"))
+    line = F.concat(F.lit("see "), F.when(i % 3 == 1, F.concat("url", F.lit("/all of it, then "))).otherwise(""), F.lit("： "), F.when(i % 3 > 0, F.col("url")).otherwise("magnet"), F.lit("。 and more"))
+    text = F.concat(F.lit("first line\nann(12:00:01): "), line)
     return p.select(i.alias("id"), F.when(i % 2 == 0, "group").otherwise("private").alias("scope"), (i % 9).alias("peer_id"), F.concat(F.lit("n"), (i % 5).cast("string")).alias("sender_nick"), (i * 100).alias("ts"), text.alias("text"))
 
 
@@ -127,9 +128,10 @@ def link_cursor(spark, d):
     return registry.to_scan(t, 20, t.where("id % 7 = 0")).select("id")
 
 
-@query(f"""WITH {TEXTS}, l AS (SELECT *, lower(url) AS k FROM texts WHERE shown <> 'magnet'), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS nth FROM l),
+@query(f"""WITH {TEXTS}, l AS (SELECT *, lower(url) AS k, url AS link, 1 AS pos, CASE WHEN id % 3 = 1 THEN 'see ' || url || '/all of it, then' ELSE 'see' END AS title FROM texts WHERE shown <> 'magnet'
+UNION ALL SELECT *, lower(url) || '/all', url || '/all', 0, 'see' FROM texts WHERE id % 3 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id, pos) AS nth FROM l),
 n AS (SELECT * FROM o WHERE nth = 1 AND k NOT IN (SELECT lower(url) FROM pages WHERE page_id % 10 = 1))
-SELECT id, url AS link, 'see' AS title, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS first_date, strftime(make_timestamp(ts * 1000000), '%H:%M:%S') AS first_time, nick AS sender, CASE WHEN scope = 'group' THEN CAST(peer_id AS VARCHAR) ELSE '' END AS gid, 41 + row_number() OVER (ORDER BY id) AS seq FROM n""")
+SELECT id, link, title, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS first_date, strftime(make_timestamp(ts * 1000000), '%H:%M:%S') AS first_time, nick AS sender, CASE WHEN scope = 'group' THEN CAST(peer_id AS VARCHAR) ELSE '' END AS gid, 41 + row_number() OVER (ORDER BY id, pos) AS seq FROM n""")
 def registry_append(spark, d):
     known = _t(spark, d, "pages").where("page_id % 10 = 1").select(F.col("url").alias("link"), F.lit(41).cast("long").alias("seq"))
     return registry.appended(known, registry.link_rows(link_texts(spark, d))).select("id", "link", "title", "first_date", "first_time", "sender", "gid", "seq")

@@ -92,13 +92,16 @@ def path_taken(spark, d):
     return mutations.taken(f, f).select("id", "taken")
 
 
-@query("""WITH w AS (SELECT doc_id AS id, doc_id % 50 AS k, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS nth FROM documents), f AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n) AS nth FROM unnest(range(50)) AS a(k), unnest(range(1, 1000)) AS b(n) WHERE NOT (k % 2 = 0 AND n IN (1, 3)))
-SELECT w.id, CASE WHEN n IS NULL THEN NULL WHEN n = 1 THEN 'D:\\F' || w.k || '.jpg' ELSE 'D:\\F' || w.k || ' (' || n || ').jpg' END AS free_path FROM w LEFT JOIN f ON w.k = f.k AND w.nth = f.nth""")
+@query(r"""WITH RECURSIVE w AS (SELECT id, k, path, row_number() OVER (ORDER BY id) AS pos FROM (SELECT c_custkey AS id, c_custkey % 20 AS k, 'D:\F' || c_custkey % 20 || CASE WHEN c_custkey % 7 = 0 THEN ' (' || 2 + c_custkey % 5 || ')' WHEN c_custkey % 11 = 0 THEN ' (2) (2)' ELSE '' END || '.jpg' AS path FROM customer)),
+g(pos, used, id, free_path) AS (SELECT 0::BIGINT, list_concat(['d:\f' || x || '.jpg' FOR x IN range(0, 20, 2)], ['d:\f' || x || ' (3).jpg' FOR x IN range(0, 20, 2)]), NULL::BIGINT, NULL::VARCHAR
+ UNION ALL SELECT w.pos, CASE WHEN f.p IS NULL THEN g.used ELSE list_append(g.used, lower(f.p)) END, w.id, f.p FROM g JOIN w ON w.pos = g.pos + 1, LATERAL (SELECT [c FOR c IN [CASE WHEN n = 1 THEN w.path ELSE left(w.path, len(w.path) - 4) || ' (' || n || ').jpg' END FOR n IN range(1, 1000)] IF NOT list_contains(g.used, lower(c))][1] AS p) f)
+SELECT id, free_path FROM g WHERE id IS NOT NULL""")
 def free_paths(spark, d):
-    """Many rows that want fifty names, of which some are taken."""
-    k = (F.col("doc_id") % 50).cast("string")
-    wanted = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("D:\\F"), k, F.lit(".jpg")).alias("path"))
-    have = spark.range(50).where("id % 2 = 0").select(F.explode(F.array(F.lit(".jpg"), F.lit(" (3).JPG"))).alias("e"), F.col("id").cast("string").alias("k")).select(F.concat(F.lit("d:/f"), "k", "e").alias("path"))
+    """Many rows that want twenty names or numbers of them, of which some are taken."""
+    i = F.col("c_custkey")
+    number = F.when(i % 7 == 0, F.concat(F.lit(" ("), (i % 5 + 2).cast("string"), F.lit(")"))).when(i % 11 == 0, " (2) (2)").otherwise("")
+    wanted = _t(spark, d, "customer").select(i.alias("id"), F.concat(F.lit("D:\\F"), (i % 20).cast("string"), number, F.lit(".jpg")).alias("path"))
+    have = spark.range(20).where("id % 2 = 0").select(F.explode(F.array(F.lit(".jpg"), F.lit(" (3).JPG"))).alias("e"), F.col("id").cast("string").alias("k")).select(F.concat(F.lit("d:/f"), "k", "e").alias("path"))
     return mutations.free_paths(wanted, have).select("id", "free_path")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import jumps
+
 
 def fold(rows: DataFrame, key: str, order: list[str], schema: str, step: Callable[[dict, tuple], tuple | None]) -> DataFrame:
     """step(state, row) changes the key's state and gives an output row or None."""
@@ -31,41 +34,60 @@ def fold(rows: DataFrame, key: str, order: list[str], schema: str, step: Callabl
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(folded, schema)
 
 
-def cooled(alerts: DataFrame, seconds: int) -> DataFrame:
+def cooled(alerts: DataFrame, seconds: int, rows_a_piece: int = jumps.ROWS_A_PIECE) -> DataFrame:
     """alerts: key, t. Those that come at least so many seconds after the last one that was let through."""
+    t = lambda rows: rows["t"].to_numpy()
+    chain = jumps.Chain(t, lambda rows, _: t(rows) + seconds, lambda rows, _: np.zeros(len(rows), np.int64))
+    let = lambda _, rows, at, *__: rows.iloc[at][["key", "t"]]
+    return jumps.taken(alerts.select("key", "t"), ["key"], ["t"], chain, let, "key long, t long", rows_a_piece)
 
-    def step(state: dict, row: tuple) -> tuple | None:
-        if "last" in state and row[1] - state["last"] < seconds:
-            return None
-        state["last"] = row[1]
-        return row[0], row[1]
 
-    return fold(alerts.select("key", "t"), "key", ["t"], "key long, t long", step)
+#: Fixed values of displayed speed, in seconds and bytes a second: a window's length, from when on it shows, how long without progress counts as moving, the least shown.
+WINDOW, SHOWN_FROM, STALLED, LEAST_RATE = 8, 2, 15, 1
 
 
-def rates(samples: DataFrame) -> DataFrame:
+def rates(samples: DataFrame, rows_a_piece: int = jumps.ROWS_A_PIECE) -> DataFrame:
     """samples: key, t, busy, bytes. Bytes a second at each sample: the mean since the window's start, from two seconds on while bytes come in; after eight seconds the window starts anew. 0 at
-    rest, after more than fifteen seconds without progress, and below 1. Fewer bytes than before are a new start."""
-
-    def step(state: dict, row: tuple) -> tuple:
-        key, t, busy, n = row
-        if not busy:
-            state.clear()
-            return key, t, 0.0
-        if not state or n < state["last"]:
-            state.update(t0=t, b0=n, last=n, moved=t, rate=0.0)
-        else:
-            if n > state["last"]:
-                state["moved"] = t
-            state["last"] = n
-            span = t - state["t0"]
-            if span >= 8:
-                state.update(rate=(n - state["b0"]) / span, t0=t, b0=n)
-            elif span >= 2 and n > state["b0"]:
-                state["rate"] = (n - state["b0"]) / span
-        return key, t, 0.0 if t - state["moved"] > 15 or state["rate"] < 1 else state["rate"]
-
-    return fold(samples.select("key", "t", "busy", "bytes"), "key", ["t", "bytes"], "key long, t long, rate double", step)
+    rest, after more than fifteen seconds without progress, and below 1. Fewer bytes than before are a new start.
+
+    Samples fall into runs (busy ones whose bytes do not shrink). A run's windows are a greedy chain, so that each sample knows where its window began; its mean is shown if it may be, else
+    the last one shown in the run."""
+
+    def starts(rows: pd.DataFrame, before: dict | None) -> np.ndarray:
+        busy, n = rows["busy"].to_numpy(bool), rows["bytes"].to_numpy()
+        was, least = (before["busy"], before["bytes"]) if before else (False, 0)
+        return ~busy | ~np.append(was, busy[:-1]) | (n < np.append(least, n[:-1]))
+
+    at = jumps.runs(samples.select("key", "t", "busy", "bytes"), ["key"], ["t", "bytes"], starts, rows_a_piece).drop("prior_t")
+    moving = at.where("busy").select("key", "run", "t", "bytes", (F.col("prior_bytes").isNull() | (F.col("bytes") > F.col("prior_bytes"))).alias("moves"))
+    t = lambda rows: rows["t"].to_numpy()
+    chain = jumps.Chain(t, lambda rows, _: t(rows) + WINDOW, lambda rows, _: np.zeros(len(rows), np.int64))
+
+    def windows(_, rows: pd.DataFrame, places: np.ndarray, bound: float | None, __) -> pd.DataFrame:
+        """Each sample's window: the last start before it, by time; null for a run's first."""
+        begun = np.searchsorted(places, np.arange(len(rows)), "left") - 1
+        came = np.nan if bound is None else bound - WINDOW
+        full = np.zeros(len(rows), bool)
+        full[places] = True
+        since = np.where(begun < 0, came, t(rows)[places[np.maximum(begun, 0)]]) if len(places) else np.full(len(rows), came)
+        return rows[["key", "run", "t", "bytes", "moves"]].assign(since=since, starts=full)
+
+    placed = jumps.taken(moving, ["key", "run"], ["t", "bytes"], chain, windows, "key long, run long, t long, bytes long, moves boolean, since double, starts boolean", rows_a_piece).checkpoint()
+    # a window starts at the first sample at its time that does
+    begins = placed.where("starts").groupBy("key", "run", F.col("t").cast("double").alias("since")).agg(F.min("bytes").alias("b0"))
+    span, more = F.col("t") - F.col("since"), F.col("bytes") - F.col("b0")
+    mean = F.when((span >= WINDOW) | ((span >= SHOWN_FROM) & (more > 0)), more / span)
+    known = placed.join(begins, ["key", "run", "since"], "left").select("key", "run", "t", "bytes", F.when(F.col("since").isNull(), F.lit(0.0)).otherwise(mean).alias("mean"), F.when(F.col("moves"), F.col("t")).alias("moved"))
+    last = lambda part, c, then: (lambda x: float(x.iloc[-1]) if len(x) else then)(part[c].dropna())
+
+    def shown(_, part: pd.DataFrame, carry: list | None) -> pd.DataFrame:
+        mean, moved = (part[c].astype("float64").ffill().fillna(carry[k] if carry else 0.0).to_numpy() for k, c in enumerate(("mean", "moved")))
+        rate = np.where((part["t"].to_numpy() - moved > STALLED) | (mean < LEAST_RATE), 0.0, mean)
+        return part[["key", "t"]].assign(rate=rate)
+
+    after = lambda carry, s: [s[k] if s[k] is not None else carry[k] for k in range(2)]
+    out = jumps.scanned(known, ["key", "run"], ["t", "bytes"], lambda part: [last(part, c, None) for c in ("mean", "moved")], after, shown, "key long, t long, rate double", rows_a_piece)
+    return out.unionAll(samples.where("not busy").select("key", "t", F.lit(0.0).alias("rate")))
 
 
 def sessions(events: DataFrame, gap: int) -> DataFrame:
@@ -76,19 +98,26 @@ def sessions(events: DataFrame, gap: int) -> DataFrame:
     return runs.groupBy("key", "run").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")).select("key", "first_t", "last_t", "n", (F.col("last_t") + gap).alias("fires_at"))
 
 
-def capped_sessions(events: DataFrame, quiet: int, most: int) -> DataFrame:
+def capped_sessions(events: DataFrame, quiet: int, most: int, rows_a_piece: int = jumps.ROWS_A_PIECE) -> DataFrame:
     """events: key, t. Bursts that end with a silence of quiet, or with the first event at least `most` after their first: key, first_t, last_t, n,
-    fires_at."""
+    fires_at. Silences cut runs; in a run the next burst begins after the first event that is `most` beyond this one's beginning."""
+
+    def starts(rows: pd.DataFrame, before: dict | None) -> np.ndarray:
+        t = rows["t"].to_numpy()
+        return np.diff(t, prepend=before["t"] if before else t[0]) >= quiet
+
+    at = jumps.runs(events.select("key", "t"), ["key"], ["t"], starts, rows_a_piece)
+    chain = jumps.Chain(lambda rows: rows["prior_t"].fillna(-np.inf).to_numpy(), lambda rows, _: rows["t"].to_numpy() + most, lambda rows, _: np.zeros(len(rows), np.int64))
 
-    def step(state: dict, row: tuple) -> tuple:
-        key, t = row
-        if not state or t - state["last"] >= quiet or state["last"] - state["first"] >= most:
-            state.update(first=t, burst=state.get("burst", 0) + 1)
-        state["last"] = t
-        return key, t, state["burst"]
+    def parts(_, rows: pd.DataFrame, places: np.ndarray, bound: float | None, __) -> pd.DataFrame:
+        t = rows["t"].to_numpy()
+        cuts = np.unique(np.append(0, places))
+        first = np.where(np.isin(cuts, places), t[cuts], 0 if bound is None else bound - most)
+        ends = np.append(cuts[1:], len(t))
+        return pd.DataFrame({"key": rows["key"].iloc[0], "run": rows["run"].iloc[0], "first_t": first.astype(np.int64), "last_t": t[ends - 1], "n": ends - cuts})
 
-    bursts = fold(events.select("key", "t"), "key", ["t"], "key long, t long, burst long", step)
-    out = bursts.groupBy("key", "burst").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n"))
+    made = jumps.taken(at, ["key", "run"], ["t"], chain, parts, "key long, run long, first_t long, last_t long, n long", rows_a_piece)
+    out = made.groupBy("key", "run", "first_t").agg(F.max("last_t").alias("last_t"), F.sum("n").alias("n"))
     fires = F.when(F.col("last_t") - F.col("first_t") >= most, F.col("last_t")).otherwise(F.col("last_t") + quiet)
     return out.select("key", "first_t", "last_t", "n", fires.alias("fires_at"))
 
