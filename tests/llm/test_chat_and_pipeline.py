@@ -57,7 +57,7 @@ def test_crowded_turn(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet(['{SF}/{t}.parquet'])")
     df = QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
@@ -65,7 +65,7 @@ def test_sql_gives_the_same(spark, name):
 
 
 def test_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == [n.split("_")[0] + "_" for n in QUERIES]
+    assert [f"op{n}_" for n in range(1, 14)] == [n.split("_")[0] + "_" for n in QUERIES]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
