@@ -16,11 +16,6 @@ def walk(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFra
     return files.where(paths.extension(F.col("path")).isin(*extensions) & ~system & ~paths.basename(F.col("path")).startswith(".")).withColumn("filename", paths.basename(F.col("path")))
 
 
-def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of log lines without colour codes; offsets are kept in the query's checkpoint."""
-    return spark.readStream.text(folder).select(F.regexp_replace("value", r"\x1b\[[^A-Za-z]*[A-Za-z]", "").alias("line"))
-
-
 def write_diary(messages: DataFrame, folder: str) -> None:
     """One line for each message, in a folder for each day of its time: messages has day and line."""
     messages.select("day", F.col("line").alias("value")).write.mode("append").partitionBy("day").text(folder)
