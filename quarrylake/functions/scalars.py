@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,26 +60,52 @@ def search_tokens(c: Column) -> Column:
     return F.filter(F.split(unaccented(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-#: Closing marks that do not belong to a link; named entities.
-CLOSING = ".,;:!?、。；，！？：）)】》»\"'"
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+#: Fixed value: closing marks that do not belong to a link.
+CLOSING = ".,;:!?、。，；！？：）)】》»\"'"
+#: What may follow an ampersand that begins an entity.
+_ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def unescaped(c: Column) -> Column:
-    """Named and numbered HTML entities undone; those that stand for an ampersand last."""
-    number = F.regexp_extract_all(c, F.lit(r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1))
-    code = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("int")
-    real = lambda x: ((code(x) > 0) & (code(x) < 0xD800)) | ((code(x) > 0xDFFF) & (code(x) < 0x110000))
-    letter = lambda x: F.when(real(x), F.decode(F.unhex(F.lpad(F.hex(code(x).cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")
-    plain = F.aggregate(F.array_distinct(number), c, lambda s, x: F.replace(s, F.concat(F.lit("&#"), x, F.lit(";")), letter(x)))
-    for name, value in ENTITIES.items():
-        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(value))
-    return plain
+def _lookup(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+#: Names in XML cards: its five, and the hard space.
+XML_NAMES = {k: html5[k] for k in ("lt;", "gt;", "quot;", "apos;", "amp;", "nbsp;")}
+
+
+def unescaped(c: Column, names: dict[str, str] = html5) -> Column:
+    """HTML entities, named and numbered, undone in one pass from left to right, as browsers read them: names are those of HTML 5, some of which need no semicolon and may begin a longer
+    word; numbers of the C1 range are Windows-1252, those that are no characters go, those beyond Unicode are replaced."""
+    shown = {str(k): bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)} | {"0": "�", "13": "\r"}
+    named, numbered = _lookup(names), _lookup(shown)
+
+    def undone(part: Column) -> Column:
+        m = F.regexp_extract(part, _ENTITY, 1)
+        rest = F.substring(part, F.length(m) + 1, F.length(part))
+        hexed = F.regexp_extract(m, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+        decimal = F.regexp_extract(m, r"^#0*([0-9]*)", 1)
+        is_hex = m.rlike("^#[xX]")
+        digits = F.when(is_hex, hexed).otherwise(decimal)
+        code = F.when(F.length(digits) > 8, F.lit(0x110000)).when(is_hex, F.conv(hexed, 16, 10)).otherwise(F.when(decimal == "", "0").otherwise(decimal)).cast("long")
+        code = F.coalesce(code, F.lit(0))
+        none = code.between(0x1, 0x8) | (code == 0xB) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.coalesce(F.try_element_at(numbered, code.cast("string")), F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "�").when(none, "").otherwise(letter))
+        # the whole name, or the longest that it begins with of those that need no semicolon, which have two to six letters
+        lengths = F.concat(F.array(F.length(m)), F.array(*[F.lit(k) for k in range(6, 1, -1)]))
+        known = F.filter(F.transform(lengths, lambda k: F.struct(k.alias("k"), F.try_element_at(named, F.left(m, k)).alias("v"))), lambda x: x["v"].isNotNull() & (x["k"] <= F.length(m)))
+        name = F.coalesce(F.get(F.transform(known, lambda x: F.concat(x["v"], F.substr(m, x["k"] + 1))), F.lit(0)), F.concat(F.lit("&"), m))
+        return F.concat(F.when(m == "", "&").when(m.startswith("#"), number).otherwise(name), rest)
+
+    parts = F.split(c, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), undone), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def normal_url(c: Column) -> Column:
-    """Entities undone, white space and closing punctuation cut off."""
-    return F.rtrim(F.trim(unescaped(c)), F.lit(CLOSING))
+    """Entities undone, white space of any kind and closing punctuation cut off."""
+    return F.rtrim(F.regexp_replace(unescaped(c), r"(?U)^\s+|\s+$", ""), F.lit(CLOSING))
 
 
 def natural_key(c: Column) -> Column:
