@@ -67,23 +67,40 @@ class Segment:
 
 
 def segments(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The runs of equal keys in sorted batches."""
+    """The runs of equal keys in sorted batches; only a batch's last one may go on in the next."""
     held: list[pd.DataFrame] = []
+    last: tuple | None = None
     for b in batches:
         if not len(b):
             continue
-        keys = b[by]
-        cuts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        columns = [b[c].to_numpy() for c in by]
+        new = np.zeros(len(b), bool)
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(new)
         for low, high in zip(cuts, [*cuts[1:], len(b)], strict=True):
-            part = b.iloc[low:high]
-            if held and tuple(held[-1][by].iloc[-1]) != tuple(part[by].iloc[0]):
-                whole = pd.concat(held, ignore_index=True)
-                yield tuple(whole[by].iloc[0]), whole
+            key = tuple(_plain(c[low]) for c in columns)
+            if held and key != last:
+                yield last, held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
                 held = []
-            held.append(part)
+            held.append(b.iloc[low:high])
+            last = key
     if held:
-        whole = pd.concat(held, ignore_index=True)
-        yield tuple(whole[by].iloc[0]), whole
+        yield last, held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+def gathered(frames: Iterator[pd.DataFrame], rows: int = 10_000, most: int = 2_000) -> Iterator[pd.DataFrame]:
+    """Small frames put together, so that a key of few rows does not travel alone."""
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= rows or len(held) >= most:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def pieces(rows: DataFrame, by: list[str], order: list[str], rows_a_piece: int = ROWS_A_PIECE) -> tuple[DataFrame, int]:
@@ -91,7 +108,8 @@ def pieces(rows: DataFrame, by: list[str], order: list[str], rows_a_piece: int =
     shared_checkpoints(rows.sparkSession)
     n = max(1, -(-rows.count() // rows_a_piece))
     told = rows.withColumn("__nth", F.monotonically_increasing_id())
-    dealt = told.repartitionByRange(n, *by, *order, "__nth") if n > 1 else told.coalesce(1)
+    # so few rows need not be split: keys stay whole
+    dealt = told.repartitionByRange(n, *by, *order, "__nth") if n > 1 else told.repartition(*by)
     at = dealt.sortWithinPartitions(*by, *order, "__nth").drop("__nth")
     return at.withColumns({"piece": F.spark_partition_id().cast("long"), "rid": F.monotonically_increasing_id()}).checkpoint(), n
 
@@ -121,8 +139,7 @@ def scanned(rows: DataFrame, by: list[str], order: list[str], summary: Callable[
     shared = rows.sparkSession.sparkContext.broadcast(carries)
 
     def scans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, part in segments(batches, by):
-            yield emit(key, part, shared.value.get(key, {}).get(int(part["piece"].iloc[0])))
+        yield from gathered(emit(key, part, shared.value.get(key, {}).get(int(part["piece"].iloc[0]))) for key, part in segments(batches, by))
 
     return at.mapInPandas(scans, schema)
 
@@ -177,8 +194,7 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
     if n == 1:
 
         def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for key, part in segments(batches, by):
-                yield emit(key, part, Segment(chain, part).walk(0), None, 0)
+            yield from gathered(emit(key, part, Segment(chain, part).walk(0), None, 0) for key, part in segments(batches, by))
 
         return at.mapInPandas(alone, schema)
     kinds = {f.name: f.dataType.simpleString() for f in at.schema}
@@ -278,4 +294,4 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
             here = at_pieces[k] == piece
             yield emit(key, part, s.walk(int(s.enter(np.array([bound]), np.array([state]))[0])) if here else np.empty(0, np.int64), bound, state)
 
-    return at.mapInPandas(walks, schema)
+    return at.mapInPandas(lambda batches: gathered(walks(batches)), schema)
