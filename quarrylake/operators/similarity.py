@@ -6,6 +6,7 @@ all variants of a band within that radius; how many bands, and how wide, follows
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -15,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,18 +314,20 @@ def pixels_close(a: bytes | None, b: bytes | None) -> bool:
     return mean <= MEAN_MOST and loud <= LOUD_SHARE
 
 
-#: Projections of a grid; each moves by at most as much as the grid's mean difference, so grids that are close lie in cells that touch.
+#: Projections of a grid; each moves by at most as much as two grids differ in all, so grids that are close lie in cells that touch.
 PROJECTIONS = 3
-#: Rounds in which the first rows of their surroundings lead and take what is close, before links of the rows left are made.
-THIN_ROUNDS = 3
-_PLACE = ["pool", "size", *[f"c{k}" for k in range(PROJECTIONS)]]
+#: Rows, in order, among which leaders are found in the first round; each round goes on to so many times the rows.
+PREFIX, PREFIX_GROWS = 2_000, 4
+#: Rows of a place that a unit of comparison holds of each side; pairs that are compared at once.
+CHUNK, TILE = 4_096, (128, 1_024)
+_SUMS, _PLACE = [f"p{k}" for k in range(PROJECTIONS)], ["pool", "size", *[f"c{k}" for k in range(PROJECTIONS)]]
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """size and the cells of each grid: its sum, and its sum with the sign turned by halves, by quarters and so on, in steps of twice the size, the greatest total difference of close grids."""
+    """size and the projections of each grid: its sum, and its sum with the sign turned by halves, by quarters and so on."""
     signs: dict[int, np.ndarray] = {}
     for b in batches:
-        sizes, cells = [], []
+        sizes, sums = [], []
         for x in b.column("pixels"):
             grid = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
             n = len(grid)
@@ -331,61 +335,162 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = np.arange(n) * (1 << PROJECTIONS) // n
                 signs[n] = np.stack([np.ones(n, np.int64), *[1 - 2 * (part >> (PROJECTIONS - k) & 1) for k in range(1, PROJECTIONS)]])
             sizes.append(n)
-            cells.append(signs[n] @ grid // int(MEAN_MOST * n))
-        made = [pa.array(sizes, pa.int64()), *[pa.array([int(c[k]) for c in cells], pa.int64()) for k in range(PROJECTIONS)]]
-        yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *_PLACE[1:]])
+            sums.append(signs[n] @ grid)
+        made = [pa.array(sizes, pa.int64()), *[pa.array([int(c[k]) for c in sums], pa.int64()) for k in range(PROJECTIONS)]]
+        yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "size", *_SUMS])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        close = [pixels_close(x.as_py(), y.as_py()) for x, y in zip(b.column("a_pixels"), b.column("b_pixels"), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+def _cell(k: int, turn: int) -> Column:
+    """Cells are twice as wide as close grids may differ in all, so that within this reach of a grid there are at most two."""
+    most = F.col("size") * MEAN_MOST
+    return F.floor((F.col(f"p{k}") + turn * most) / (2 * most))
 
 
 def _touching(rows: DataFrame) -> DataFrame:
-    """rows, once for each cell that touches theirs."""
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=PROJECTIONS)]
-    at = rows.withColumn("__s", F.explode(F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")))
-    return at.withColumns({f"c{k}": F.col(f"c{k}") + F.col("__s")[k] for k in range(PROJECTIONS)}).drop("__s")
-
-
-def _close_to(leads: DataFrame, rows: DataFrame, grids: DataFrame) -> DataFrame:
-    """Pairs (a, b) of leads and later rows (pool, id, created_at and cells) that are close."""
-    a = _touching(leads.select(F.col("id").alias("a"), F.col("created_at").alias("a_at"), *_PLACE))
-    pairs = a.join(rows.select(F.col("id").alias("b"), F.col("created_at").alias("b_at"), *_PLACE), _PLACE).where(F.struct("a_at", "a") < F.struct("b_at", "b")).select("a", "b")
-    grid = lambda k: grids.select(F.col("id").alias(k), F.col("pixels").alias(f"{k}_pixels"))
-    return pairs.join(grid("a"), "a").join(grid("b"), "b").select("a", "b", "a_pixels", "b_pixels").mapInArrow(_compared, pairs.schema)
+    """rows, once for each cell within reach."""
+    for k in range(PROJECTIONS):
+        rows = rows.withColumn(f"c{k}", F.explode(F.array_distinct(F.array(_cell(k, -1), _cell(k, 1)))))
+    return rows
+
+
+def _close_in(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of close grids in a tile: by coordinates over all pairs, and pair by pair as soon as few are left."""
+    n = a.shape[1]
+    most, step = MEAN_MOST * n, max(8, n // 8)
+    gaps = np.zeros((len(a), len(b)), np.uint32 if 255 * n > 65_535 else np.uint16)
+    by_a, by_b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for k in range(n):
+        x, y = by_a[k][:, None], by_b[k][None, :]
+        gaps += np.maximum(x, y) - np.minimum(x, y)
+        if k % step == step - 1 and np.count_nonzero(gaps <= most) * 16 <= gaps.size:
+            break
+    i, j = np.nonzero(gaps <= most)
+    close, at_once = np.zeros(len(i), bool), max(1, (1 << 22) // n)
+    for low in range(0, len(i), at_once):
+        cut = slice(low, low + at_once)
+        gap = np.abs(a[i[cut]].astype(np.int16) - b[j[cut]])
+        close[cut] = (gap.sum(1, dtype=np.int64) <= most) & ((gap > LOUD).sum(1) / n <= LOUD_SHARE)
+    return i[close], j[close]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    key = lambda b, k: tuple(b.column(c)[k].as_py() for c in by)
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = bool(held) and key(held[-1], 0) != key(b, 0)
+        for c in by:
+            new[1:] |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        low = 0
+        for high in [*np.flatnonzero(new).tolist(), n]:
+            if high > low:
+                held.append(b.slice(low, high - low))
+            if high < n and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            low = high
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(every: bool):
+    """Of each unit the pairs (first, then) that are close, or only the first one of each."""
+
+    def sides(unit: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, lead = unit.column("at").to_numpy(), unit.column("leads").to_numpy()
+        grids = np.frombuffer(b"".join(unit.column("pixels").to_pylist()), np.uint8).reshape(len(at), -1)
+        for side in (lead, ~lead):
+            mine = np.flatnonzero(side)
+            mine = mine[np.argsort(at[mine])]
+            yield at[mine], grids[mine]
+
+    def found(unit: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (at, a), (bt, b) = sides(unit)
+        for i in range(0, len(at), TILE[0]):
+            some, open_ = slice(i, i + TILE[0]), np.ones(len(bt), bool)
+            for j in range(int(np.searchsorted(bt, at[i], "right")), len(bt), TILE[1]):
+                x, y = _close_in(a[some], b[j : j + TILE[1]])
+                later = at[some][x] < bt[j : j + TILE[1]][y]
+                x, y = x[later], y[later]
+                if not every:  # pairs come in the order of x
+                    y, one = np.unique(y, return_index=True)
+                    x = x[one]
+                    open_[j + y] = False
+                yield at[some][x], bt[j : j + TILE[1]][y]
+            if not every:
+                bt, b = bt[open_], b[open_]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _runs(batches, [*_PLACE, "ac", "bc"]):
+            for first, then in found(unit):
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(then)], ["first", "then"])
+
+    return compared
+
+
+def _close_to(leads: DataFrame, rows: DataFrame, every: bool) -> DataFrame:
+    """Pairs (first, then) of leads and later rows that are close; unless every, of a unit's pairs only the first of each row. Rows of a place are dealt to chunks, and each chunk of leads meets each of
+    rows in a unit of its own, so that a crowded place is many units, all of bounded size."""
+    a, b = _touching(leads), rows.withColumns({f"c{k}": _cell(k, 0) for k in range(PROJECTIONS)})
+    counted = a.select(*_PLACE, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(*_PLACE, F.lit(0), F.lit(1))).groupBy(*_PLACE).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = counted.where("a > 0 and b > 0").select(*_PLACE, F.ceil(F.col("a") / CHUNK).alias("na"), F.ceil(F.col("b") / CHUNK).alias("nb"))
+    own, all_of = lambda n: F.pmod(F.xxhash64("at"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    side = lambda x, ac, bc, lead: x.join(both, _PLACE).select(*_PLACE, "at", "pixels", F.lit(lead).alias("leads"), "na", "nb").withColumn("ac", ac).withColumn("bc", bc).drop("na", "nb")
+    met_ = side(a, own("na"), all_of("nb"), True).unionAll(side(b, all_of("na"), own("nb"), False))
+    unit = [*_PLACE, "ac", "bc"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met_.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_compared(every), "first long, then long")
+
+
+def _prefixes(rows: DataFrame, first: int) -> list[int | None]:
+    """Values of at up to which there are first rows, PREFIX_GROWS times as many and so on, and None for all."""
+    parts = sorted(rows.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    n, ends = sum(p["count"] for p in parts), []
+    while 0 < first < n:
+        before = 0
+        for p in parts:
+            if first < before + p["count"]:
+                ends.append((p["part"] << 33) + first - before)
+                break
+            before += p["count"]
+        first *= PREFIX_GROWS
+    return [*ends, None]
 
 
-def greedy_groups(members: DataFrame, thin_rounds: int = THIN_ROUNDS) -> DataFrame:
+def greedy_groups(members: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """members: pool, id, created_at, pixels. In the order of creation the first row left leads a group and takes all rows left that are
     close to it; so similarity is not handed on. id, pool, leader of groups of two and more.
 
-    Equal grids of a pool are one row. Grids are placed in cells by projections that differ by no more than the grids do on average, so that a row can be close only to rows of the cells
-    that touch its own. A row that is the first left in its surroundings leads, and takes what is close, which leaves little of a crowd of near copies; after thin_rounds such rounds close rows of
-    those left are linked and leaders() settles them. At the end each row meets the leaders around it and follows the first that is close. So a pool that holds a third of all rows is
-    as many tasks' work as others."""
+    Equal grids of a pool are one row. Grids are placed in cells by projections that differ by no more than the grids do in all, so that a row can be close only to rows of the cells
+    within its reach. Rounds go over ever longer beginnings of the order: close rows among those left of the beginning are linked, leaders() settles them, and the new leaders take what is close of all
+    later rows. In an order that does not follow the grids, so few rows then stay close to one another that the links of all rounds are about as many as the rows (times a logarithm), however
+    crowded the grids are. Rows are compared in numpy by units of bounded size, so a pool that holds a third of all rows is as many tasks' work as others. prefix 0: one round."""
     shared_checkpoints(members.sparkSession)
-    order = F.struct("created_at", "id")
-    own = members.where("pixels is not null and length(pixels) > 0").select("pool", "id", "created_at", "pixels")
-    firsts = own.groupBy("pool", "pixels").agg(F.min(order).alias("k")).select("pool", "pixels", "k.created_at", "k.id")
-    added = "".join(f", {c} long" for c in _PLACE[1:])
-    rows = firsts.mapInArrow(_placed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in firsts.schema) + added).checkpoint()
-    grids, left = rows.select("id", "pixels"), rows.drop("pixels")
-    every, lead = left, left.limit(0)
-    for _ in range(thin_rounds):
-        around = _touching(left.groupBy(*_PLACE).agg(F.min(order).alias("f"))).groupBy(*_PLACE).agg(F.min("f").alias("f"))
-        new = left.join(around, _PLACE).where(order == F.col("f")).drop("f").select(*left.columns).checkpoint()
-        taken = _close_to(new, left, grids).select(F.col("b").alias("id")).unionAll(new.select("id")).distinct()
-        left, lead = left.join(taken, "id", "left_anti").select(*every.columns).checkpoint(), lead.unionAll(new)
+    own = members.where("pixels is not null and length(pixels) > 0").select("pool", "id", "created_at", "pixels").checkpoint()
+    firsts = own.groupBy("pool", "pixels").agg(F.min(F.struct("created_at", "id")).alias("k")).select("pool", "pixels", "k.created_at", "k.id")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = firsts.repartitionByRange(parts, "created_at", "id").sortWithinPartitions("created_at", "id").select("pool", "id", "pixels", F.monotonically_increasing_id().alias("at"))
+    added = "".join(f", {c} long" for c in ["size", *_SUMS])
+    rows = at.mapInArrow(_placed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in at.schema) + added).checkpoint()
+    left, follow = rows.drop("id"), []
+    for end in _prefixes(rows, prefix):
+        head = left if end is None else left.where(F.col("at") < end)
+        mine = leaders(_close_to(head, head, True).withColumn("order", F.col("first"))).where("id <> leader").select(F.col("id").alias("then"), "leader").checkpoint()
+        follow.append(mine)
+        if end is None:
+            break
+        new, later = head.join(mine, F.col("at") == F.col("then"), "left_anti"), left.where(F.col("at") >= end)
+        taken = _close_to(new, later, False).groupBy("then").agg(F.min("first").alias("leader")).checkpoint()
+        follow.append(taken)
+        left = later.join(taken, F.col("at") == F.col("then"), "left_anti").checkpoint()
         if not left.limit(1).count():
             break
-    links = _close_to(left, left, grids).checkpoint()
-    at = left.select(F.col("id").alias("a"), order.alias("order"))
-    led_rows = leaders(links.join(at, "a").select(F.col("a").alias("first"), F.col("b").alias("then"), "order"))
-    followers = led_rows.where("id <> leader").select("id")
-    lead = lead.unionAll(left.join(followers, "id", "left_anti").select(*every.columns)).checkpoint()
-    follow = _close_to(lead, every.join(lead.select("id"), "id", "left_anti").select(*every.columns), grids)
-    follow = follow.join(lead.select(F.col("id").alias("a"), order.alias("order")), "a").groupBy("b").agg(F.min("order").alias("m")).select(F.col("b").alias("rep"), F.col("m.id").alias("leader"))
-    of_first = rows.select("pool", "pixels", F.col("id").alias("rep")).join(follow, "rep", "left").select("pool", "pixels", F.coalesce("leader", "rep").alias("leader"))
+    all_follow = functools.reduce(DataFrame.unionAll, follow)
+    named = all_follow.join(rows.select(F.col("at").alias("leader"), F.col("id").alias("leader_id")), "leader").select("then", "leader_id")
+    of_first = rows.join(named, F.col("at") == F.col("then"), "left").select("pool", "pixels", F.coalesce("leader_id", "id").alias("leader"))
     return in_company(own.join(of_first, ["pool", "pixels"]).select("id", "pool", "leader"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -227,15 +231,25 @@ def group_extras(spark, d):
     return similarity.group_totals(_t(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("grp")))
 
 
+def _letter_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pixels: how often, of 2000 characters, each letter and each digit occurs, at most 255; n is the text's length. Each text's bytes are counted in one pass."""
+    places = np.frombuffer((LOWER + "0123456789").encode(), np.uint8)
+    for b in batches:
+        grids = []
+        for text, n in zip(b.column("text"), b.column("n").to_pylist(), strict=True):
+            counts = np.bincount(np.frombuffer(text.as_buffer(), np.uint8), minlength=128)[places] if n else None
+            grids.append(np.minimum(255, counts * 2000 // n).astype(np.uint8).tobytes() if n else None)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pool", "id", "created_at")), pa.array(grids, pa.binary())], ["pool", "id", "created_at", "pixels"])
+
+
 @query()
 def greedy_groups(spark, d):
     """Groups by pixels: how often each letter and each digit occurs in the whole text (36 shares, a byte each) stands for a picture's grid, its language and length class for its
     pool. Empty texts have an empty grid, which is like no other."""
-    docs, text = _t(spark, d, "documents"), F.lower(F.coalesce("text", F.lit("")))
-    share = lambda c: F.lpad(F.hex(F.least(F.lit(255), F.floor((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * 2000 / F.length(text))).cast("long")), 2, "0")
-    grid = F.when(F.length(text) > 0, F.unhex(F.concat(*[share(c) for c in LOWER + "0123456789"])))
     pool = (F.pmod(F.xxhash64("lang"), F.lit(1000)) * 100 + F.floor(F.log2(F.greatest("n_chars", F.lit(1))))).cast("long")
-    return similarity.greedy_groups(docs.select(pool.alias("pool"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), grid.alias("pixels")))
+    docs = _t(spark, d, "documents").select(pool.alias("pool"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    grids = docs.withColumn("n", F.length("text")).mapInArrow(_letter_shares, "pool long, id long, created_at long, pixels binary")
+    return similarity.greedy_groups(grids)
 
 
 # --- queue: events as downloads ---

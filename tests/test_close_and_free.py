@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from quarrylake.operators import mutations, registry, similarity
@@ -151,3 +152,19 @@ def test_pixel_groups_where_one_pool_is_a_third(spark, thin_rounds):
     df = spark.createDataFrame(items, "pool long, id long, created_at int, pixels binary").repartition(4)
     got = similarity.greedy_groups(df, thin_rounds)
     assert {x.id: x.leader for x in got.collect()} == want and got.columns == ["id", "pool", "leader"]
+
+
+def test_pixel_groups_of_a_crowd(spark):
+    """One pool of 8,000 grids of which a third of all pairs are close: their links, made row by row, would be ten million."""
+    r = np.random.default_rng(5)
+    grids = np.clip(60 + r.normal(0, 1.7, (8000, 36)) + r.normal(0, 1, (8000, 1)), 0, 255).astype(np.uint8)
+    left, want = np.arange(8000), {}
+    while len(left):
+        gap = np.abs(grids[left].astype(int) - grids[left[0]])
+        close = (gap.mean(1) <= similarity.MEAN_MOST) & ((gap > similarity.LOUD).mean(1) <= similarity.LOUD_SHARE)
+        want |= {int(i): int(left[0]) for i in left[close]} if close.sum() > 1 else {}
+        left = left[~close]
+    began = time.time()
+    df = spark.createDataFrame([(1, i, i, bytes(g)) for i, g in enumerate(grids)], "pool long, id long, created_at long, pixels binary")
+    assert {x.id: x.leader for x in similarity.greedy_groups(df).collect()} == want and 20 < len(set(want.values()))
+    assert time.time() - began < 120
