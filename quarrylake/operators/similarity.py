@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import max_distance, sum_distance
@@ -60,9 +60,15 @@ class KeyPlan(NamedTuple):
     keys: tuple[int, int]
     met: float
 
+    def cost(self, rows: int) -> float:
+        """In candidates."""
+        return KEY_COST * rows * sum(self.keys) + rows * rows / 2 * self.met
+
 
 #: What a key of a row costs, in candidates; keys a row may have; differing bits that a band may have.
 KEY_COST, KEYS_MOST, RADIUS_MOST = 20, 700, 2
+#: What a joined candidate costs, in pairs compared in numpy; rows that a unit of comparison holds of each side; rows below which there are fewer units; pairs that are compared at once.
+JOINED, UNIT_ROWS, UNIT_LEAST, HASH_TILE = 20, 16_384, 512, (64, 4_096)
 
 
 def key_plan(rows: int, gate: int, bits: int) -> KeyPlan:
@@ -76,8 +82,7 @@ def key_plan(rows: int, gate: int, bits: int) -> KeyPlan:
             vp, vd = (sum(x.variants(w) for w in ws) if x.n else 1 for x, ws in ((p, wp), (d, wd)))
             share = lambda x, ws: sum(x.variants(w) / 2**w for w in ws) if x.n else 1.0
             plans.append(KeyPlan(p, d, (vp * len(wd), len(wp) * vd), share(p, wp) * share(d, wd)))
-    cost = lambda x: KEY_COST * rows * sum(x.keys) + rows * rows / 2 * x.met
-    return min((x for x in plans if sum(x.keys) <= KEYS_MOST or not options), key=cost)
+    return min((x for x in plans if sum(x.keys) <= KEYS_MOST or not options), key=lambda x: x.cost(rows))
 
 
 def _keys(plan: KeyPlan, bits: int, varied: str) -> Column:
@@ -120,14 +125,52 @@ def close_candidates(sigs: DataFrame, gate: int = GATE, bits: int = 64, plan: Ke
 
 def close_pairs(sigs: DataFrame, gate: int = GATE, bits: int = 64, plan: KeyPlan | None = None) -> DataFrame:
     """a < b, distance (the larger of both hashes'), for all pairs of different ids within the gate. Of the keys in which two rows meet only that of the first close bands gives the pair, so
-    that nothing has to be made distinct."""
-    plan = plan or key_plan(sigs.where("phash is not null and dhash is not null").count(), gate, bits)
+    that nothing has to be made distinct. Where hashes are so short, or rows so few, that keys spare little, all pairs are compared in numpy by units of bounded size."""
+    if plan is None:
+        rows = sigs.where("phash is not null and dhash is not null").count()
+        plan = key_plan(rows, gate, bits)
+        if rows * rows / 2 <= JOINED * plan.cost(rows):
+            return _compared_pairs(sigs, rows, gate, bits)
     p, d = F.col("a.phash").bitwiseXOR(F.col("b.phash")), F.col("a.dhash").bitwiseXOR(F.col("b.dhash"))
     distance = F.greatest(F.bit_count(p), F.bit_count(d))
     first = (F.col("a.pi") == first_close_band(p, plan.p, bits)) & (F.col("a.di") == first_close_band(d, plan.d, bits))
     return close_candidates(sigs, gate, bits, plan).where((distance <= gate) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
 
 
+def _compared_pairs(sigs: DataFrame, rows: int, gate: int, bits: int) -> DataFrame:
+    """close_pairs by comparing all pairs: rows are dealt to chunks, and each two chunks meet in a unit of their own."""
+    chunks = max(1, -(-rows // UNIT_ROWS), min(16, rows // UNIT_LEAST))
+    units = chunks * (chunks + 1) // 2
+    whole = np.uint32 if bits <= 32 else np.uint64
+
+    def half(unit: pa.Table, chunk: str) -> list[np.ndarray]:
+        mine = unit.filter(pc.equal(unit.column("own"), unit.column(chunk)))
+        return [mine.column("id").to_numpy(), *(mine.column(h).to_numpy().astype(np.uint64).astype(whole) for h in ("phash", "dhash"))]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _runs(batches, ["low", "high"]):
+            (ids, p, d), (to_ids, to_p, to_d) = half(unit, "low"), half(unit, "high")
+            same = unit.column("low")[0].as_py() == unit.column("high")[0].as_py()
+            for i in range(0, len(ids), HASH_TILE[0]):
+                for j in range(0, len(to_ids), HASH_TILE[1]):
+                    x, y = slice(i, i + HASH_TILE[0]), slice(j, j + HASH_TILE[1])
+                    gap = np.bitwise_count(p[x][:, None] ^ to_p[y][None, :])
+                    at = np.flatnonzero(gap <= gate)
+                    k, m = np.divmod(at, gap.shape[1])
+                    gaps = np.maximum(gap.ravel()[at], np.bitwise_count(d[x][k] ^ to_d[y][m]))
+                    a, b = ids[x][k], to_ids[y][m]
+                    near = (gaps <= gate) & ((a < b) if same else (a != b))
+                    if near.any():
+                        a, b, gaps = a[near], b[near], gaps[near]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a)), pa.array(gaps.astype(np.int32))], ["a", "b", "distance"])
+
+    at = sigs.where("phash is not null and dhash is not null").select("id", "phash", "dhash", F.pmod(F.xxhash64("id", "phash", "dhash"), F.lit(chunks)).alias("own"))
+    # a join, not an explode: Spark's estimate of the pairs then grows with the chunks, so that pairs are not taken for a small table and sent to the driver
+    met_ = at.join(F.broadcast(sigs.sparkSession.range(chunks).withColumnRenamed("id", "__x"))).select("id", "phash", "dhash", "own", F.least("own", "__x").alias("low"), F.greatest("own", "__x").alias("high"))
+    kind = sigs.schema["id"].dataType.simpleString()
+    return met_.repartition(min(units, 1_000), "low", "high").sortWithinPartitions("low", "high").mapInArrow(compared, f"a {kind}, b {kind}, distance int")
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """checkpoint() needs the folder that driver and executors share."""
     sc = spark.sparkContext
@@ -153,7 +196,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and the smallest node of its component. Labels spread along edges and then jump to their label's label; each round is
     checkpointed to the shared folder."""
     shared_checkpoints(edges.sparkSession)
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = edges.select(F.inline(ways)).checkpoint()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
     before, n = None, both.count()
     named = lambda rows: rows.select(F.col("u").alias("k"), F.col("label").alias("m"))
@@ -170,11 +214,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def pools(sigs: DataFrame, gate: int = GATE, bits: int = 64) -> DataFrame:
     """id and pool (its smallest id) of all rows that have company."""
-    reps = representatives(sigs)
+    shared_checkpoints(sigs.sparkSession)
+    reps = representatives(sigs).checkpoint()
     roots = components(close_pairs(reps, gate, bits))
     named = reps.join(roots, F.col("id") == F.col("node"), "left").select("phash", "dhash", F.coalesce("label", "id").alias("pool"))
     out = sigs.join(named, ["phash", "dhash"]).select("id", "pool")
-    return out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pool"))).where("n > 1").drop("n")
+    company = out.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("pool").alias("__p"))
+    return out.join(company, F.col("pool") == F.col("__p"), "left_semi")
 
 
 def keepers(groups: DataFrame, by: list[str]) -> DataFrame:
@@ -219,18 +265,20 @@ def verified_duplicates(images: DataFrame, gate: int = GATE, bits: int = 64) ->
 def frame_groups(videos: DataFrame, gate: int, bits: int = 64, slots: tuple[str, ...] = ("anchor", "mid", "tail")) -> DataFrame:
     """videos: id, created_at and for each slot {slot}_p and {slot}_d. Videos whose anchors are close are candidates; in the order of creation the first one left leads all left
     whose every slot is close to its: id, leader, of groups of two and more. Videos that share all hashes are one: whatever leads the first of them leads the others."""
+    shared_checkpoints(videos.sparkSession)
     hashes = [f"{s}_{h}" for s in slots for h in "pd"]
     whole = videos.where(" and ".join(f"{h} is not null" for h in hashes))
-    firsts = whole.groupBy(*hashes).agg(F.min(F.struct("created_at", "id")).alias("k")).select("k.created_at", "k.id", *hashes)
+    firsts = whole.groupBy(*hashes).agg(F.min(F.struct("created_at", "id")).alias("k")).select("k.created_at", "k.id", *hashes).checkpoint()
     pairs = close_pairs(firsts.select("id", F.col(f"{slots[0]}_p").alias("phash"), F.col(f"{slots[0]}_d").alias("dhash")), gate, bits).select("a", "b")
     side = lambda k: firsts.select(F.col("id").alias(k), "created_at", *hashes).alias(k)
-    j = pairs.join(side("a").withColumnsRenamed({h: f"a_{h}" for h in hashes} | {"created_at": "a_at"}), "a").join(side("b").withColumnRenamed("created_at", "b_at"), "b")
+    # by shuffle: rows of six hashes each are not sent to the driver
+    j = pairs.hint("merge").join(side("a").withColumnsRenamed({h: f"a_{h}" for h in hashes} | {"created_at": "a_at"}), "a").hint("merge").join(side("b").withColumnRenamed("created_at", "b_at"), "b")
     for s in slots[1:]:
         j = j.where(max_distance(F.col(f"a_{s}_p"), F.col(f"a_{s}_d"), F.col(f"{s}_p"), F.col(f"{s}_d")) <= gate)
     earlier = F.struct("a_at", "a") < F.struct("b_at", "b")
     links = j.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("then"), F.least(F.struct(F.col("a_at").alias("t"), F.col("a").alias("i")), F.struct(F.col("b_at").alias("t"), F.col("b").alias("i"))).alias("order"))
-    of_first = firsts.select(F.col("id").alias("rep"), *hashes).join(leaders(links).withColumnRenamed("id", "rep"), "rep", "left").select(F.coalesce("leader", "rep").alias("leader"), *hashes)
-    return in_company(whole.join(of_first, hashes).select("id", "leader"))
+    of_first = firsts.select(F.col("id").alias("rep"), *hashes).join(leaders(links).withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(F.coalesce("leader", "rep").alias("leader"), *hashes)
+    return in_company(whole.join(of_first.hint("merge"), hashes).select("id", "leader"))
 
 
 def in_company(led: DataFrame) -> DataFrame:
@@ -257,16 +305,22 @@ def leaders(links: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     settled in each round, so rounds go on until none is open: nothing is capped. Chains in which each row waits for one are done in log n rounds; where rows wait for several, a
     round may settle no more than the first few of each chain."""
     shared_checkpoints(links.sparkSession)
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # unions add up the partitions of their sides, round by round
+    written = lambda x: x.coalesce(parts).checkpoint()
     links = links.checkpoint()
     wait = links.select(F.col("then").alias("v"), F.col("first").alias("u"), F.lit(False).alias("s")).distinct().checkpoint()
     known = links.select(F.col("first").alias("v")).distinct().join(wait.select("v").distinct(), "v", "left_anti").select("v", F.lit(True).alias("leads")).checkpoint()
-    n, rounds = wait.count(), 0
+    # what is open names no row that was settled before the last round, so a round meets only what was settled in that
+    n, rounds, fresh, settled_in = wait.count(), 0, known, [known]
     while n:
-        now = met(wait, "u", known.select(F.col("v").alias("k"), F.col("leads").alias("m")), n)
+        now = met(wait, "u", fresh.select(F.col("v").alias("k"), F.col("leads").alias("m")), n)
         seen = now.groupBy("v").agg(F.max(F.coalesce(F.col("m") != F.col("s"), F.lit(False))).alias("holds"), F.count_if(F.col("m").isNull()).alias("open"))
         settled = seen.where("holds or open = 0").select("v", (~F.col("holds")).alias("leads")).checkpoint()
-        known = known.unionAll(settled).checkpoint()
-        wait = now.where("m is null").select("v", "u", "s").join(settled.select("v"), "v", "left_anti").checkpoint()
+        fresh, settled_in = settled, [*settled_in, settled]
+        if len(settled_in) >= 16:
+            settled_in = [written(functools.reduce(DataFrame.unionAll, settled_in))]
+        wait = written(now.where("m is null").select("v", "u", "s").join(settled.select("v"), "v", "left_anti"))
         n, rounds = wait.count(), rounds + 1
         if not n or rounds < plain_rounds:
             continue
@@ -275,16 +329,18 @@ def leaders(links: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
         if not one.limit(1).count():
             continue
         while True:
-            hop = met(one, "u", one.select(F.col("v").alias("k"), F.struct("u", "t").alias("m")), n).checkpoint()
+            hop = written(met(one, "u", one.select(F.col("v").alias("k"), F.struct("u", "t").alias("m")), n))
             if not hop.where("m is not null").limit(1).count():
                 break
-            one = hop.select("v", F.coalesce("m.u", "u").alias("u"), (F.col("t") != F.coalesce("m.t", F.lit(False))).alias("t")).checkpoint()
+            one = hop.select("v", F.coalesce("m.u", "u").alias("u"), (F.col("t") != F.coalesce("m.t", F.lit(False))).alias("t"))
         put = met(wait.join(one.select("v"), "v", "left_anti"), "u", one.select(F.col("v").alias("k"), F.struct("u", "t").alias("m")), n)
         put = put.select("v", F.coalesce("m.u", "u").alias("u"), (F.col("s") != F.coalesce("m.t", F.lit(False))).alias("s")).distinct()
         both = put.groupBy("v", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v").distinct().checkpoint()
-        known = known.unionAll(both.select("v", F.lit(False).alias("leads"))).checkpoint()
-        wait = put.join(both, "v", "left_anti").unionAll(one.select("v", "u", (~F.col("t")).alias("s"))).checkpoint()
+        no = both.select("v", F.lit(False).alias("leads"))
+        fresh, settled_in = written(fresh.unionAll(no)), [*settled_in, no]
+        wait = written(put.join(both, "v", "left_anti").unionAll(one.select("v", "u", (~F.col("t")).alias("s"))))
         n = wait.count()
+    known = functools.reduce(DataFrame.unionAll, settled_in)
     lead = known.where("leads").select(F.col("v").alias("first"))
     follow = links.join(lead, "first").join(lead.withColumnRenamed("first", "then"), "then", "left_anti").groupBy("then").agg(F.min(F.struct("order", "first")).alias("m"))
     return lead.select(F.col("first").alias("id"), F.col("first").alias("leader")).unionAll(follow.select(F.col("then").alias("id"), F.col("m.first").alias("leader")))

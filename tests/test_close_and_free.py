@@ -34,6 +34,31 @@ def test_close_pairs_under_all_plans(spark, bits, gate):
         assert sorted(map(tuple, similarity.close_pairs(df, gate, bits, plan).collect())) == want and want
 
 
+@pytest.mark.parametrize("bits, gate", [(64, 7), (32, 9)])
+def test_close_pairs_of_short_hashes_meet_in_units(spark, monkeypatch, bits, gate):
+    """All pairs in units of few rows, with partitions that stay few; no row of a candidate is joined. Repeated ids, ids out of order, negative hashes."""
+    monkeypatch.setattr(similarity, "UNIT_ROWS", 13)
+    monkeypatch.setattr(similarity, "HASH_TILE", (5, 7))
+    r = random.Random(bits)
+    base = [(r.getrandbits(bits), r.getrandbits(bits)) for _ in range(9)]
+    twist = lambda x: x ^ sum(1 << k for k in r.sample(range(bits), r.randint(0, gate + 1)))
+    rows = [(i * 37 % 101, *map(twist, r.choice(base))) for i in range(120)]
+    df = spark.createDataFrame([(i, signed(p, bits), signed(d, bits)) for i, p, d in rows], "id long, phash long, dhash long")
+    got = similarity.close_pairs(df, gate, bits)
+    assert sorted(map(tuple, got.collect())) == close(rows, gate)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() == 55
+
+
+def test_leaders_keep_few_partitions(spark, monkeypatch):
+    """Unions of each round used to add up their partitions, and each round met all that was ever settled."""
+    seen, kind = [], type(spark.range(1))
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: (lambda x: (seen.append(x.rdd.getNumPartitions()), x)[1])(plain(self, *a, **k)))
+    pairs = [(i, i + k) for i in range(10) for k in (1, 2, 5)]
+    assert led(spark, pairs) == greedy(15, pairs)
+    assert len(seen) > 10 and max(seen) <= max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def test_plans_widen_with_the_rows():
     """Candidates that are expected by chance grow clearly below the square of the rows."""
     met = {n: similarity.key_plan(n, 7, 64).met * n * n / 2 for n in (2_000, 183_000, 10_000_000, 10**9)}
