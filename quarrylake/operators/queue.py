@@ -76,7 +76,7 @@ def backed_off(attempts: DataFrame, rows_a_piece: int | None = None) -> DataFram
     failed = lambda rows: rows["failed"].fillna(False).to_numpy(bool)
     fails = lambda rows, so_far: np.where(failed(rows), min(so_far + 1, most), 0)
     chain = jumps.Chain(lambda rows: rows["t"].to_numpy(), lambda rows, s: rows["t"].to_numpy() + WATCH_STEP * fails(rows, s), fails, most + 1)
-    made = lambda _, rows, at, *__: rows.iloc[at][["key", "t", "failed"]]
+    made = lambda rows, _, at, __: rows.iloc[at][["key", "t", "failed"]]
     return jumps.taken(attempts.select("key", "t", "failed"), ["key"], ["t", "failed"], chain, made, "key long, t long, failed boolean", rows_a_piece or jumps.ROWS_A_PIECE)
 
 

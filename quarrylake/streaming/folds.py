@@ -38,7 +38,7 @@ def cooled(alerts: DataFrame, seconds: int, rows_a_piece: int = jumps.ROWS_A_PIE
     """alerts: key, t. Those that come at least so many seconds after the last one that was let through."""
     t = lambda rows: rows["t"].to_numpy()
     chain = jumps.Chain(t, lambda rows, _: t(rows) + seconds, lambda rows, _: np.zeros(len(rows), np.int64))
-    let = lambda _, rows, at, *__: rows.iloc[at][["key", "t"]]
+    let = lambda rows, _, at, __: rows.iloc[at][["key", "t"]]
     return jumps.taken(alerts.select("key", "t"), ["key"], ["t"], chain, let, "key long, t long", rows_a_piece)
 
 
@@ -63,13 +63,16 @@ def rates(samples: DataFrame, rows_a_piece: int = jumps.ROWS_A_PIECE) -> DataFra
     t = lambda rows: rows["t"].to_numpy()
     chain = jumps.Chain(t, lambda rows, _: t(rows) + WINDOW, lambda rows, _: np.zeros(len(rows), np.int64))
 
-    def windows(_, rows: pd.DataFrame, places: np.ndarray, bound: float | None, __) -> pd.DataFrame:
-        """Each sample's window: the last start before it, by time; null for a run's first."""
-        begun = np.searchsorted(places, np.arange(len(rows)), "left") - 1
-        came = np.nan if bound is None else bound - WINDOW
-        full = np.zeros(len(rows), bool)
+    def windows(rows: pd.DataFrame, keys: np.ndarray, places: np.ndarray, bound: float | None) -> pd.DataFrame:
+        """Each sample's window: the last start of its run before it, by time; null for a run's first."""
+        n = len(rows)
+        begun = np.searchsorted(places, np.arange(n), "left") - 1
+        start = places[np.maximum(begun, 0)] if len(places) else np.zeros(n, np.int64)
+        of = np.repeat(keys, np.diff(np.append(keys, n)))
+        came = np.where(of == 0, np.nan if bound is None else bound - WINDOW, np.nan)
+        full = np.zeros(n, bool)
         full[places] = True
-        since = np.where(begun < 0, came, t(rows)[places[np.maximum(begun, 0)]]) if len(places) else np.full(len(rows), came)
+        since = np.where((begun < 0) | (start < of), came, t(rows)[start])
         return rows[["key", "run", "t", "bytes", "moves"]].assign(since=since, starts=full)
 
     placed = jumps.taken(moving, ["key", "run"], ["t", "bytes"], chain, windows, "key long, run long, t long, bytes long, moves boolean, since double, starts boolean", rows_a_piece).checkpoint()
@@ -80,8 +83,11 @@ def rates(samples: DataFrame, rows_a_piece: int = jumps.ROWS_A_PIECE) -> DataFra
     known = placed.join(begins, ["key", "run", "since"], "left").select("key", "run", "t", "bytes", F.when(F.col("since").isNull(), F.lit(0.0)).otherwise(mean).alias("mean"), F.when(F.col("moves"), F.col("t")).alias("moved"))
     last = lambda part, c, then: (lambda x: float(x.iloc[-1]) if len(x) else then)(part[c].dropna())
 
-    def shown(_, part: pd.DataFrame, carry: list | None) -> pd.DataFrame:
-        mean, moved = (part[c].astype("float64").ffill().fillna(carry[k] if carry else 0.0).to_numpy() for k, c in enumerate(("mean", "moved")))
+    def shown(part: pd.DataFrame, keys: np.ndarray, carry: list | None) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(keys)), np.diff(np.append(keys, len(part))))
+        begin = np.where(of == 0, 1.0 if carry else 0.0, 0.0)
+        filled = (part[c].astype("float64").groupby(of).ffill().fillna(pd.Series(begin * (carry[k] if carry else 0.0), part.index)).to_numpy() for k, c in enumerate(("mean", "moved")))
+        mean, moved = filled
         rate = np.where((part["t"].to_numpy() - moved > STALLED) | (mean < LEAST_RATE), 0.0, mean)
         return part[["key", "t"]].assign(rate=rate)
 
@@ -109,12 +115,12 @@ def capped_sessions(events: DataFrame, quiet: int, most: int, rows_a_piece: int
     at = jumps.runs(events.select("key", "t"), ["key"], ["t"], starts, rows_a_piece)
     chain = jumps.Chain(lambda rows: rows["prior_t"].fillna(-np.inf).to_numpy(), lambda rows, _: rows["t"].to_numpy() + most, lambda rows, _: np.zeros(len(rows), np.int64))
 
-    def parts(_, rows: pd.DataFrame, places: np.ndarray, bound: float | None, __) -> pd.DataFrame:
+    def parts(rows: pd.DataFrame, keys: np.ndarray, places: np.ndarray, bound: float | None) -> pd.DataFrame:
         t = rows["t"].to_numpy()
-        cuts = np.unique(np.append(0, places))
+        cuts = np.union1d(keys, places).astype(np.int64)
         first = np.where(np.isin(cuts, places), t[cuts], 0 if bound is None else bound - most)
         ends = np.append(cuts[1:], len(t))
-        return pd.DataFrame({"key": rows["key"].iloc[0], "run": rows["run"].iloc[0], "first_t": first.astype(np.int64), "last_t": t[ends - 1], "n": ends - cuts})
+        return pd.DataFrame({"key": rows["key"].to_numpy()[cuts], "run": rows["run"].to_numpy()[cuts], "first_t": first.astype(np.int64), "last_t": t[ends - 1], "n": ends - cuts})
 
     made = jumps.taken(at, ["key", "run"], ["t"], chain, parts, "key long, run long, first_t long, last_t long, n long", rows_a_piece)
     out = made.groupBy("key", "run", "first_t").agg(F.max("last_t").alias("last_t"), F.sum("n").alias("n"))

@@ -34,16 +34,28 @@ class Chain(NamedTuple):
     n_states: int = 1
 
 
-class Segment:
-    """A key's rows in a piece. Nodes are row * n_states + state; those beyond the rows are the way out."""
+class Segments:
+    """The rows of whole keys, or of a key's part in a piece: key k has the rows from starts[k] on. Nodes are row * n_states + state; those beyond a key's rows are the way out."""
 
-    def __init__(self, chain: Chain, rows: pd.DataFrame):
-        self.k, self.n = chain.n_states, len(rows)
+    def __init__(self, chain: Chain, rows: pd.DataFrame, starts: np.ndarray):
+        self.k, n, self.starts = chain.n_states, len(rows), starts
+        self.ends = np.append(starts[1:], n)
         self.coordinate = chain.coordinate(rows)
         self.bound = np.stack([chain.demand(rows, s) for s in range(self.k)], 1)
         self.state = np.stack([chain.after(rows, s) for s in range(self.k)], 1)
-        at = np.maximum(np.searchsorted(self.coordinate, self.bound), np.arange(1, self.n + 1)[:, None])
-        self.next = np.where(at < self.n, at * self.k + self.state, NOWHERE).ravel()
+        end, after = np.repeat(self.ends, self.ends - starts), np.arange(1, n + 1)
+        at = [self.reach(self.bound[:, s], after, end) for s in range(self.k)]
+        self.next = np.stack([np.where(x < end, x * self.k + self.state[:, s], NOWHERE) for s, x in enumerate(at)], 1).ravel()
+
+    def reach(self, bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first places from low to high whose coordinates reach their bounds: binary searches side by side."""
+        low, high, last = low.copy(), high.copy(), len(self.coordinate) - 1
+        while (low < high).any():
+            middle = (low + high) // 2
+            below = (low < high) & (self.coordinate[np.minimum(middle, last)] < bounds)
+            high = np.where(below, high, np.minimum(middle, high))
+            low = np.where(below, middle + 1, low)
+        return low
 
     def last(self) -> np.ndarray:
         """Of each node the last of its chain here."""
@@ -55,52 +67,71 @@ class Segment:
             out = further
 
     def enter(self, bounds: np.ndarray, states: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.coordinate, bounds) * self.k + states
+        """Nodes of the first key."""
+        return np.searchsorted(self.coordinate[: self.ends[0]], bounds) * self.k + states
 
-    def walk(self, node: int) -> np.ndarray:
-        """The rows that are taken from a node on."""
+    def walk(self, nodes: np.ndarray) -> np.ndarray:
+        """The rows that are taken from nodes on, in order: all keys step side by side, and the last few one by one."""
         out = []
-        while node != NOWHERE:
-            out.append(node // self.k)
-            node = self.next[node]
-        return np.array(out, np.int64)
+        while len(nodes) > 16:
+            out.append(nodes // self.k)
+            nodes = self.next[nodes]
+            nodes = nodes[nodes != NOWHERE]
+        for node in nodes.tolist():
+            one = []
+            while node != NOWHERE:
+                one.append(node // self.k)
+                node = int(self.next[node])
+            out.append(np.array(one, np.int64))
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
-def segments(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The runs of equal keys in sorted batches; only a batch's last one may go on in the next."""
+#: Rows of whole keys that are worked on together.
+ROWS_A_BLOCK = 50_000
+
+
+def blocks(batches: Iterator[pd.DataFrame], by: list[str], rows_a_block: int = ROWS_A_BLOCK) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches put together so that no key is cut, with the places where keys begin."""
     held: list[pd.DataFrame] = []
-    last: tuple | None = None
+    n = 0
+
+    def begins(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for c in by:
+            x = rows[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    wanted = rows_a_block
     for b in batches:
-        if not len(b):
+        held.append(b)
+        n += len(b)
+        if n < wanted:
             continue
-        columns = [b[c].to_numpy() for c in by]
-        new = np.zeros(len(b), bool)
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(new)
-        for low, high in zip(cuts, [*cuts[1:], len(b)], strict=True):
-            key = tuple(_plain(c[low]) for c in columns)
-            if held and key != last:
-                yield last, held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(b.iloc[low:high])
-            last = key
-    if held:
-        yield last, held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
-
-
-def gathered(frames: Iterator[pd.DataFrame], rows: int = 10_000, most: int = 2_000) -> Iterator[pd.DataFrame]:
-    """Small frames put together, so that a key of few rows does not travel alone."""
-    held, n = [], 0
-    for f in frames:
-        held.append(f)
-        n += len(f)
-        if n >= rows or len(held) >= most:
-            yield pd.concat(held, ignore_index=True)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        rows = pd.concat(held, ignore_index=True)
+        starts = begins(rows)
+        cut = int(starts[-1])  # the last key may go on
+        if cut:
+            yield rows.iloc[:cut].reset_index(drop=True), starts[:-1]
+        held, n = [rows.iloc[cut:]], len(rows) - cut
+        wanted = max(rows_a_block, 2 * n)  # a long key is not put together anew with each batch
+    if n:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, begins(rows)
+
+
+def edges(batches: Iterator[pd.DataFrame], by: list[str]) -> list[tuple[tuple, pd.DataFrame]]:
+    """The first and the last key of a piece, with their rows; the others have all their rows here."""
+    first = last = None
+    for rows, starts in blocks(batches, by):
+        key = lambda k: tuple(_plain(rows[c].iloc[k]) for c in by)  # noqa: B023, E731
+        if first is None:
+            first = (key(0), rows.iloc[: starts[1] if len(starts) > 1 else len(rows)])
+            if len(starts) == 1:
+                continue
+        last = (key(int(starts[-1])), rows.iloc[int(starts[-1]) :].reset_index(drop=True))
+    return [x for x in (first, last) if x is not None]
 
 
 def pieces(rows: DataFrame, by: list[str], order: list[str], rows_a_piece: int = ROWS_A_PIECE) -> tuple[DataFrame, int]:
@@ -115,7 +146,7 @@ def pieces(rows: DataFrame, by: list[str], order: list[str], rows_a_piece: int =
 
 
 def scanned(rows: DataFrame, by: list[str], order: list[str], summary: Callable[[pd.DataFrame], Any], after: Callable[[Any, Any], Any], emit: Callable[..., pd.DataFrame], schema: str, rows_a_piece: int = ROWS_A_PIECE) -> DataFrame:
-    """A scan over each key's rows in order: emit(key, rows, carry) for each key in a piece. The carry comes from the key's pieces before: after(carry, summary of a piece), None at first. Summaries are small
+    """A scan over each key's rows in order: emit(rows, starts, carry) for blocks of keys, which begin at starts; only the first key of a piece can have a carry. It comes from the key's pieces before: after(carry, summary of a piece), None at first. Summaries are small
     (JSON); only those of keys that go on in another piece are made, two a piece, and put together on the driver."""
     at, n = pieces(rows, by, order, rows_a_piece)
     carries: dict[tuple, dict[int, Any]] = {}
@@ -123,9 +154,7 @@ def scanned(rows: DataFrame, by: list[str], order: list[str], summary: Callable[
         kinds = {f.name: f.dataType.simpleString() for f in at.schema}
 
         def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: list[tuple] = []
-            for key, part in segments(batches, by):
-                seen = [*seen[:1], (*key, int(part["piece"].iloc[0]), json.dumps(summary(part)))]
+            seen = [(*key, int(part["piece"].iloc[0]), json.dumps(summary(part))) for key, part in edges(batches, by)]
             yield pd.DataFrame(seen, columns=[*by, "piece", "summary"])
 
         found = at.mapInPandas(ends, ", ".join(f"{c} {kinds[c]}" for c in by) + ", piece long, summary string").toPandas().sort_values("piece")
@@ -139,7 +168,8 @@ def scanned(rows: DataFrame, by: list[str], order: list[str], summary: Callable[
     shared = rows.sparkSession.sparkContext.broadcast(carries)
 
     def scans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from gathered(emit(key, part, shared.value.get(key, {}).get(int(part["piece"].iloc[0]))) for key, part in segments(batches, by))
+        for rows, starts in blocks(batches, by):
+            yield emit(rows, starts, shared.value.get(tuple(_plain(rows[c].iloc[0]) for c in by), {}).get(int(rows["piece"].iloc[0])))
 
     return at.mapInPandas(scans, schema)
 
@@ -151,13 +181,8 @@ def runs(rows: DataFrame, by: list[str], order: list[str], starts: Callable[[pd.
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     row = lambda part, k: {c: _plain(part[c].iloc[k]) for c in columns}
 
-    def begins(part: pd.DataFrame, before: dict | None) -> np.ndarray:
-        out = np.asarray(starts(part, before), bool).copy()
-        out[0] |= before is None
-        return out
-
     def summary(part: pd.DataFrame) -> dict:
-        inside = np.flatnonzero(begins(part, None)[1:])
+        inside = np.flatnonzero(np.asarray(starts(part, None), bool)[1:])
         return {"first": row(part, 0), "rid": int(part["rid"].iloc[0]), "last": row(part, -1), "run": int(part["rid"].iloc[inside[-1] + 1]) if len(inside) else None}
 
     def after(carry: dict | None, s: dict) -> dict:
@@ -167,8 +192,9 @@ def runs(rows: DataFrame, by: list[str], order: list[str], starts: Callable[[pd.
             run = s["rid"] if new else carry["run"]
         return {"last": s["last"], "run": run}
 
-    def emit(_, part: pd.DataFrame, carry: dict | None) -> pd.DataFrame:
-        new = begins(part, carry and carry["last"])
+    def emit(part: pd.DataFrame, keys: np.ndarray, carry: dict | None) -> pd.DataFrame:
+        new = np.asarray(starts(part, carry and carry["last"]), bool).copy()
+        new[keys[1:] if carry else keys] = True
         at = np.maximum.accumulate(np.where(new, np.arange(len(part)), -1))
         rid = part["rid"].to_numpy()
         out = part[columns].assign(run=np.where(at < 0, carry["run"] if carry else 0, rid[at]))
@@ -188,13 +214,14 @@ def _plain(x):
 
 
 def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit: Callable[..., pd.DataFrame], schema: str, rows_a_piece: int = ROWS_A_PIECE, asked_a_task: int = ASKED_A_TASK) -> DataFrame:
-    """rows (numbers and booleans, none null in by) in the order of each key: emit(key, rows, taken places, bound, state) for each key in a piece, where bound is what the chain
-    brought into the piece, or None where it begins there; with no place taken, bound is what passes over the piece."""
+    """rows (numbers and booleans, none null in by) in the order of each key: emit(rows, starts, taken places, bound) for blocks of keys, which begin at starts. bound is what the chain of the first
+    key brought into the piece, or None where it begins there; with no place of that key taken, bound is what passes over the piece. All other keys begin in the piece."""
     at, n = pieces(rows, by, order, rows_a_piece)
     if n == 1:
 
         def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from gathered(emit(key, part, Segment(chain, part).walk(0), None, 0) for key, part in segments(batches, by))
+            for part, starts in blocks(batches, by):
+                yield emit(part, starts, Segments(chain, part, starts).walk(starts * chain.n_states), None)
 
         return at.mapInPandas(alone, schema)
     kinds = {f.name: f.dataType.simpleString() for f in at.schema}
@@ -202,10 +229,7 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The first and the last key of a piece: the others have all their rows here."""
-        seen = []
-        for key, part in segments(batches, by):
-            row = (*key, int(part["piece"].iloc[0]), float(chain.coordinate(part)[-1]))
-            seen = [*seen[:1], row]
+        seen = [(*key, int(part["piece"].iloc[0]), float(chain.coordinate(part)[-1])) for key, part in edges(batches, by)]
         yield pd.DataFrame(seen, columns=[*by, "piece", "reach"])
 
     # two rows a piece
@@ -226,10 +250,10 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
 
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Where the chains of a piece's rows go on, and of a key's first piece where the key's own chain does."""
-        for key, part in segments(batches, by):
+        for key, part in edges(batches, by):
             if key not in shared.value:
                 continue
-            s, piece = Segment(chain, part), int(part["piece"].iloc[0])
+            s, piece = Segments(chain, part, np.zeros(1, np.int64)), int(part["piece"].iloc[0])
             out = np.flatnonzero(s.next == NOWHERE)
             bound, state = s.bound.ravel()[out], s.state.ravel()[out]
             first = np.zeros(len(out), bool)
@@ -244,17 +268,23 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
     asked = at.mapInPandas(asks, f"{node_schema}, first boolean").groupBy(*node).agg(F.max("first").alias("first")).checkpoint()
     loads = asked.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / asked_a_task).cast("long").alias("loads"))
     split = asked.join(loads.withColumnRenamed("loads", "__n"), "piece").withColumn("load", F.pmod(F.xxhash64(*node), F.col("__n")))
-    rows_of = at.join(loads, "piece").withColumn("load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("loads") - 1)))
+
+    def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, part in edges(batches, by):
+            if key in shared.value:
+                yield part
+
+    rows_of = at.mapInPandas(spanning, at.schema).join(loads, "piece").withColumn("load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("loads") - 1)))
 
     def answers(_, part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """Asked places of one piece, with where their chains leave it."""
         out = []
         wanted = {k: g for k, g in asked.groupby(by, sort=False)}
-        for key, rows in segments(iter([part.sort_values("rid")]), by):
-            g = wanted.get(key)
+        for key, rows in edges(iter([part.sort_values("rid", ignore_index=True)]), by):
+            g = wanted.get(key if len(by) > 1 else key[0], wanted.get(key))
             if g is None or not len(g):
                 continue
-            s = Segment(chain, rows)
+            s = Segments(chain, rows, np.zeros(1, np.int64))
             end = s.last()[s.enter(g["bound"].to_numpy(), g["state"].to_numpy())]
             bound, state = s.bound.ravel()[end].astype(float), s.state.ravel()[end]
             out.append(g[node].assign(to_piece=target(key, int(g["piece"].iloc[0]), bound), to_bound=bound, to_state=state))
@@ -283,15 +313,14 @@ def taken(rows: DataFrame, by: list[str], order: list[str], chain: Chain, emit:
     doors = rows.sparkSession.sparkContext.broadcast({k: (np.array(sorted(v)), [v[p] for p in sorted(v)]) for k, v in entries.items()})
 
     def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, part in segments(batches, by):
-            s, piece = Segment(chain, part), int(part["piece"].iloc[0])
-            if key not in shared.value or shared.value[key][0][0] == piece:
-                yield emit(key, part, s.walk(0), None, 0)
-                continue
-            at_pieces, places = doors.value[key]
-            k = int(np.searchsorted(at_pieces, piece))
-            bound, state = places[k]  # the chain's next place is here, or its bound passes over this piece
-            here = at_pieces[k] == piece
-            yield emit(key, part, s.walk(int(s.enter(np.array([bound]), np.array([state]))[0])) if here else np.empty(0, np.int64), bound, state)
-
-    return at.mapInPandas(lambda batches: gathered(walks(batches)), schema)
+        for part, starts in blocks(batches, by):
+            s, piece, nodes, bound = Segments(chain, part, starts), int(part["piece"].iloc[0]), starts * chain.n_states, None
+            key = tuple(_plain(part[c].iloc[0]) for c in by)
+            if key in shared.value and shared.value[key][0][0] != piece:
+                at_pieces, places = doors.value[key]
+                k = int(np.searchsorted(at_pieces, piece))
+                bound, state = places[k]  # the chain's next place is here, or its bound passes over this piece
+                nodes = nodes[1:] if at_pieces[k] != piece else np.append(s.enter(np.array([bound]), np.array([state])), nodes[1:])
+            yield emit(part, starts, s.walk(nodes), bound)
+
+    return at.mapInPandas(walks, schema)
