@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylake.llm import exact_dedup, license_scan, lm_score, mixing, ngram_join, sentencepiece_codec, suffix_dedup, syncmers, toxicity
@@ -121,6 +122,56 @@ def test_components_with_hubs(spark, monkeypatch, hub_least):
     assert ngram_join.components(frame_of([])).count() == 0
 
 
+def roots_of(edges):
+    least = {i: i for pair in edges for i in pair if pair[0] != pair[1]}
+    while True:
+        now = dict(least)
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if now == least:
+            return least
+
+
+@pytest.mark.parametrize("most", [(0, 3), (0, 1 << 19), (1 << 17, 3)])
+def test_components_by_shuffle_and_by_broadcast(spark, monkeypatch, most):
+    """Random graphs, stars and a path over several partitions, with forests of few edges and hubs of few."""
+    for name, value in zip(("BROADCAST_EDGES", "FOREST_EDGES"), most):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "HUB_LEAST", 8)
+    rng = np.random.default_rng(11)
+    edges = [tuple(x) for x in rng.integers(0, 400, (260, 2)).tolist()] + [(500, i) for i in range(501, 530)] + [(i, 600) for i in range(560, 600)] + [(i, i + 1) for i in range(700, 760)]
+    df = spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long").repartition(7)
+    got = dict((r.node, r.root) for r in ngram_join.components(df).collect())
+    assert got == roots_of(edges)
+
+
+def test_components_in_few_stages(spark):
+    """Near copies give the same links in every bucket: a round of components, with its plan and tasks in the driver's memory, is taken only while edges are no stars."""
+    copies = [(i, i + 1) for i in range(0, 900) if i % 30 != 29]
+    df = spark.createDataFrame([e for k in range(6) for e in copies[k:]], "a long, b long").repartition(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    try:
+        assert dict((r.node, r.root) for r in ngram_join.components(df).collect()) == roots_of(copies)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("components")
+    assert len(jobs) <= 12
+
+
+def test_forests():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300):
+        edges = rng.integers(0, n, (n, 2)).tolist()
+        name = lambda i: i.to_bytes(3, "big") + bytes(13)
+        t = pa.table({k: pa.array([name(e[j]) for e in edges], pa.binary()) for j, k in enumerate("ab")})
+        wanted = {name(i): name(r) for i, r in roots_of(edges).items() if i != r}
+        assert dict(zip(ngram_join._forest(t)["b"].to_pylist(), ngram_join._forest(t)["a"].to_pylist())) == wanted
+        out = [tuple(r.values()) for b in ngram_join._forests(4)(iter(t.to_batches(2))) for r in b.to_pylist()]
+        assert {i: r for i, r in roots_of(out).items() if i != r} == wanted
+
+
 def test_tree_join_in_blocks_equals_pairs():
     """Blocks of few sets, short steps along a path, sets that are part of others, sizes far apart, and elements that only one set holds."""
     rng = np.random.default_rng(7)
