@@ -1,9 +1,9 @@
 """Source divergence audit: how far the vocabulary of each source lies from the other sources of its language, by sorted streaming.
 
-1. Each map task folds its documents into runs (lang, term, source, document, df, n): documents are whole there, so a run's document frequency
-   is exact, and a word that every document has leaves a task once for each flush and source.
-2. Runs are dealt by (lang, term), sorted by (lang, term, source, document) and scanned once: equal (lang, term, source) are one run of the
-   scan, whose df and n go out as one row at the end of its term, unless the term is in fewer than LEAST_DOCS documents of the language.
+1. Each map task sorts the occurrences of its documents' terms into runs (lang, term, source, document, df, n): documents are whole there, so a run's document
+   frequency is exact, and a word that every document has leaves a task once for each flush and source.
+2. Runs are dealt by (lang, term), sorted by (a hash of lang and term, lang, term, source, document), so that few comparisons look at strings, and scanned once: equal
+   (lang, term, source) are one run of the scan, whose df and n go out as one row at the end of its term, unless the term is in fewer than LEAST_DOCS documents of the language.
 3. With the totals of groups and languages each count has its p.
 4. Pairs: terms are dealt to chunks and sources to blocks; a unit (lang, chunk, block, block) gives for each pair of sources the sum of f over its terms, less
    what these terms would add if neither source had them. That share is added for all V terms at the end, so that absent terms cost nothing.
@@ -16,7 +16,6 @@ texts are folded whole; empty table: empty result; other columns are not looked
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +29,89 @@ from .common import each_released, pieces_of, released, small_batches, stored, t
 LEAST_DOCS, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 BLOCK, CHUNK_TERMS, MOST_CHUNK_TERMS = 512, 1000, 20_000
 PIECE_BYTES, PIECES_A_SALT = 64 << 20, 1 << 14
-#: A task's runs go out when there are so many.
-FLUSH_RUNS = 400_000
+#: A task's occurrences and documents go out as runs when there are so many.
+FLUSH_RUNS = 4_000_000
+#: Rows of a scan that are looked at together, and of a batch that a flush gives.
+SCAN_ROWS = 1 << 16
 #: Bytes that make no terms become spaces, A-Z become a-z; bytes outside ASCII stay.
 _FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 RUNS = "lang string, term string, source string, document long, df long, n long"
 SCANNED = "lang string, term string, source string, df long, n long, lang_df long, lang_n long, first boolean"
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts (strings without nulls), in order, and the place of each one's text."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    raw = np.frombuffer(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(_FOLD), np.uint8)
+    edges = ends - ends[0]
+    inside = raw != 0x20
+    starts, stops = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    # a text ends its last term, whatever the next one begins with
+    cuts = edges[(edges > 0) & (edges < len(raw))]
+    starts[cuts] = inside[cuts]
+    stops[cuts - 1] = inside[cuts - 1]
+    first, last = np.flatnonzero(starts), np.flatnonzero(stops)
+    offsets = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    return terms, np.searchsorted(edges, first, "right") - 1
+
+
+def _runs(held: list[tuple]) -> pa.Table:
+    """The runs of held documents: (groups, documents, terms, places) of each batch, groups being (lang, source) of each document. A group goes out with a row of an empty term too, so that
+    groups without terms are known."""
+    named = pa.concat_tables([pa.table({"lang": g[0], "source": g[1]}) for g, _, _, _ in held]).combine_chunks()
+    documents = np.concatenate([d for _, d, _, _ in held])
+    codes = [named.column(k).combine_chunks().dictionary_encode() for k in ("lang", "source")]
+    pair = codes[0].indices.to_numpy().astype(np.int64) * len(codes[1].dictionary) + codes[1].indices.to_numpy()
+    every, at, group = np.unique(pair, return_index=True, return_inverse=True)
+    # documents numbered along their groups, so that one integer orders occurrences by term, group and document
+    order = np.argsort(group, kind="stable")
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order))
+    bits, base, places = max(1, int(len(order)).bit_length()), 0, []
+    for _, d, _, at_text in held:
+        places.append(at_text + base)
+        base += len(d)
+    terms = pa.concat_arrays([t for _, _, t, _ in held]).dictionary_encode()
+    keys = (terms.indices.to_numpy().astype(np.int64) << bits) | nth[np.concatenate(places)]
+    keys.sort()
+    of = group[order][keys & ((1 << bits) - 1)]
+    term = keys >> bits
+    other = np.ones(len(keys), bool)
+    other[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+    begins = np.flatnonzero(other)
+    new = np.ones(len(keys), np.int64)
+    new[1:] = keys[1:] != keys[:-1]
+    df = np.add.reduceat(new, begins) if len(begins) else np.empty(0, np.int64)
+    n = np.diff(np.append(begins, len(keys)))
+    empty, rows = len(every), np.concatenate([np.arange(len(every)), of[begins]])
+    heads = named.take(pa.array(at)).combine_chunks()
+    found = terms.dictionary.take(pa.array(term[begins])).cast(pa.string())
+    nothing = np.zeros(empty, np.int64)
+    cols = [heads.column("lang").take(pa.array(rows)), pa.chunked_array([pa.array([""] * empty, pa.string()), found]), heads.column("source").take(pa.array(rows))]
+    return pa.table([*cols, pa.array(documents[at][rows]), pa.array(np.concatenate([nothing, df])), pa.array(np.concatenate([nothing, n]))], [x.split()[0] for x in RUNS.split(", ")])
 
 
 def _folded(flush_runs: int = FLUSH_RUNS):
     @released
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of a task's documents. A group goes out with a row of an empty term too, so that groups without terms are known."""
-        groups: dict[tuple[str, str], tuple[int, Counter, Counter]] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (document, df, n) in groups.items():
-                terms, size = [b"", *df], len(df) + 1
-                cols = [pa.array([lang] * size), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([source] * size), pa.array(np.full(size, document)), pa.array([0, *df.values()], pa.int64()), pa.array([0, *(n[t] for t in df)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RUNS.split(", ")])
-
+        """The runs of a task's documents."""
+        held, size = [], 0
         for b in batches:
-            for lang, source, document, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "document", "text")), strict=True):
-                if (lang, source) not in groups:
-                    groups[lang, source] = (document, Counter(), Counter())
-                _, df, n = groups[lang, source]
-                found = Counter(terms_of(text))
-                held -= len(df)
-                df.update(found.keys())
-                n.update(found)
-                held += len(df)
-                if held >= flush_runs:
-                    yield from flush()
-                    groups, held = {}, 0
-        yield from flush()
+            if not b.num_rows:
+                continue
+            terms, places = terms_of(b.column("text").cast(pa.string()))
+            # copies, so that whole texts are not held with them
+            groups = [b.column(k).take(pa.array(np.arange(b.num_rows))) for k in ("lang", "source")]
+            held.append((groups, b.column("document").to_numpy().copy(), terms, places))
+            size += len(terms) + b.num_rows
+            if size >= flush_runs:
+                yield from _runs(held).combine_chunks().to_batches(SCAN_ROWS)
+                held, size = [], 0
+        if held:
+            yield from _runs(held).combine_chunks().to_batches(SCAN_ROWS)
 
     return folded
 
@@ -76,7 +119,7 @@ def _folded(flush_runs: int = FLUSH_RUNS):
 def _scanned(least_docs: int):
     @released
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One partition in the order (lang, term, source, document): each run of equal (lang, term, source) as one row, with its term's df and n over all sources, and
+        """One partition, equal terms of a language together and in the order (source, document): each run of equal (lang, term, source) as one row, with its term's df and n over all sources, and
         whether it is the first of its term. Terms below least_docs go. A term's runs, one a source, are held until the term ends."""
         keys, held = ("lang", "term", "source"), None
 
@@ -101,14 +144,23 @@ def _scanned(least_docs: int):
             out = t.append_column("lang_df", pa.array(np.repeat(df, sizes))).append_column("lang_n", pa.array(np.repeat(n, sizes))).append_column("first", pa.array(first))
             yield from out.filter(pc.or_(pc.greater_equal(out.column("lang_df"), least_docs), pc.equal(out.column("term"), ""))).to_batches()
 
-        for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b]).select([*keys, "df", "n"])
-                t = reduced(t if held is None else pa.concat_tables([held, t]).combine_chunks())
-                last = int(starts_of(t, ("lang", "term"))[-1])
-                held = t.slice(last).combine_chunks()
-                if last:
-                    yield from ended(t.slice(0, last))
+        def together() -> Iterator[pa.Table]:
+            some, size = [], 0
+            for b in batches:
+                some.append(b)
+                size += b.num_rows
+                if size >= SCAN_ROWS:
+                    yield pa.Table.from_batches(some)
+                    some, size = [], 0
+            if size:
+                yield pa.Table.from_batches(some)
+
+        for t in together():
+            t = reduced((t if held is None else pa.concat_tables([held, t])).combine_chunks())
+            last = int(starts_of(t, ("lang", "term"))[-1])
+            held = t.slice(last).combine_chunks()
+            if last:
+                yield from ended(t.slice(0, last))
         if held is not None:
             yield from ended(held)
 
@@ -125,8 +177,10 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, flush_runs: int =
     runs = rows.mapInArrow(_folded(flush_runs), RUNS)
     pieces = pieces_of(spark, docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0, PIECE_BYTES)
     salts = salts or -(-pieces // PIECES_A_SALT)
-    dealt = runs.repartition(pieces, "lang", "term", *([F.pmod(F.xxhash64("document"), F.lit(salts))] if salts > 1 else [])).sortWithinPartitions("lang", "term", "source", "document")
-    found = dealt.mapInArrow(_scanned(least_docs if salts == 1 else 0), SCANNED)
+    dealt = runs.repartition(pieces, "lang", "term", *([F.pmod(F.xxhash64("document"), F.lit(salts))] if salts > 1 else []))
+    # a sort compares the first column as a number; languages begin alike, hashes do not
+    in_order = dealt.withColumn("at", F.xxhash64("lang", "term")).sortWithinPartitions("at", "lang", "term", "source", "document").select("lang", "term", "source", "df", "n")
+    found = in_order.mapInArrow(_scanned(least_docs if salts == 1 else 0), SCANNED)
     if salts == 1:
         return found
     parts = found.groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylake.llm import divergence, minhash, vector_codes
@@ -256,3 +257,37 @@ def test_divergence_of_a_hot_group(spark):
     rows = [(k, "common " + ("common rare%d" % k if k % 3 else "common"), "en", "big" if k % 10 else f"s{k}", *[None] * 9) for k in range(600)]
     rows.append((601, "long " * 200_000 + "common", "en", "big", *[None] * 9))
     assert sorted(map(tuple, divergence.audit(frame(spark, rows)).collect()), key=str) == brute_audit(rows)
+
+
+def test_terms_of_texts():
+    """Texts end terms, empty texts and those without terms have none, slices of a batch are read from their place."""
+    rng = np.random.default_rng(4)
+    texts = ["", "A", "b", " c", "d ", "", "1", "\u00e9\u00c9Z", "e f", *["".join(rng.choice(list("aB \t1\u00df\U0001f600"), int(rng.integers(0, 9)))) for _ in range(300)], ""]
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for low in (0, 3):
+        terms, places = divergence.terms_of(pa.array(texts).slice(low))
+        want = [(k, w.encode()) for k, t in enumerate(texts[low:]) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate(fold))]
+        assert list(zip(places.tolist(), terms.to_pylist(), strict=True)) == want
+    terms, places = divergence.terms_of(pa.array(["", "1 2"]))
+    assert len(terms) == len(places) == 0
+
+
+def test_runs_of_documents():
+    """One row a term and group however often it occurs, with an empty term for each group, whatever the batches."""
+    rng = np.random.default_rng(9)
+    rows = [("en de fr".split()[int(rng.integers(3))], f"s{int(rng.integers(4))}", k, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 12))))) for k in range(200)]
+    df, n = Counter(), Counter()
+    for lang, source, _, text in rows:
+        df.update({(lang, w, source) for w in text.split()})
+        n.update((lang, w, source) for w in text.split())
+        df[lang, "", source] = n[lang, "", source] = 0
+    t = pa.table([pa.array(x) for x in zip(*rows)], ["lang", "source", "document", "text"])
+    got = [r for b in divergence._folded()(iter(t.to_batches(7))) for r in b.to_pylist()]
+    assert len(got) == len(df)
+    assert {(r["lang"], r["term"], r["source"]): (r["df"], r["n"]) for r in got} == {k: (df[k], n[k]) for k in df}
+
+
+def test_the_scan_is_ordered_by_numbers_first(spark):
+    """Languages begin alike: a sort that begins with them compares whole strings."""
+    plan = divergence.term_counts(frame(spark, [(1, "a b", "en", "x", *[None] * 9)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Sort \[at#\d+L ASC", plan)
