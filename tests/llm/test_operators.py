@@ -104,6 +104,24 @@ def test_ngram_join_of_a_large_family(spark):
     assert sorted(got) == brute_components(rows)
 
 
+def test_chunk_pairs_meet_by_size(spark):
+    """Members whose sizes allow a link meet in a unit; a member goes to few units, not to one for each chunk; units stay near max_cluster; small clusters stay out."""
+    sizes = [n for n in range(20, 420, 2) for _ in range(3)] + [30] * 200 + [5000]
+    name = lambda i: i.to_bytes(16, "big")
+    members = [(name(i), name(0), i, 0, 1, n) for i, n in enumerate(sizes)] + [(name(9000 + i), name(1), 9000 + i, 0, 1, 10) for i in range(5)]
+    clusters = spark.createDataFrame(members, "sig binary, cluster binary, doc_id long, digest long, copies long, n long")
+    large = spark.createDataFrame([(name(0), sum(sizes))], "cluster binary, size long")
+    units = {}
+    for r in ngram_join.chunk_pairs(clusters, large, 8000).collect():
+        units.setdefault(bytes(r.cluster), []).append(r.doc_id)
+    of = {i: {u for u, ids in units.items() if i in ids} for i in range(len(sizes))}
+    assert sum(map(len, units.values())) == len({(u, i) for u, ids in units.items() for i in ids})
+    assert all(of[i] & of[k] for i in of for k in of if sizes[i] <= sizes[k] and 100 * sizes[i] >= 75 * sizes[k])
+    n_chunks = -(-2 * sum(sizes) // 8000)
+    assert sum(map(len, units.values())) < 0.5 * n_chunks * len(sizes)
+    assert all(sum(sizes[i] for i in ids) < 1.5 * 8000 for u, ids in units.items() if len(sizes) - 1 not in ids)
+
+
 @pytest.mark.parametrize("hub_least", [256, 3])
 def test_components_with_hubs(spark, monkeypatch, hub_least):
     """Stars whose hub is the smallest, the largest or a middle node and holds over a third of all edges, a path, a cycle, repeated edges, loops, and no edges."""
